@@ -2,26 +2,54 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docstrata.llm.common import stored
 from docstrata.llm.exact_dedup import drop_exact_duplicates
+from docstrata.llm.langid import UNKNOWN, detect_languages, train
+from docstrata.llm.minhash import drop_near_duplicates
+from docstrata.llm.packing import pack_documents
 from docstrata.llm.secrets import redact
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no language is found (no text, or no letter in it) go."""
+    verdicts = detect_languages(docs, train(docs), keep=COLUMNS)
+    return verdicts.filter(F.col("lang_pred") != UNKNOWN).select(*COLUMNS)
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the smallest id stays."""
     return drop_exact_duplicates(docs).select(*COLUMNS)
 
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (similarity 0.8 or more) the document with the smallest id stays."""
+    return drop_near_duplicates(docs).select(*COLUMNS)
+
+
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Credentials in the texts are masked; every document stays."""
     return redact(docs).select(*COLUMNS)
 
 
-STAGES = [("exact dedup", exact_stage), ("secret scans", secret_stage)]
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens, a row per piece."""
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language id", language_stage),
+    ("exact dedup", exact_stage),
+    ("near dedup", near_stage),
+    ("secret scans", secret_stage),
+    ("packing", packing_stage),
+]
+#: A trained network and a packing plan have no SQL; tests hold the rows against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,3 +60,17 @@ def held_out(doc_id: str | Column) -> Column:
     """True where crc32 of the id's decimal text leaves 1 modulo 3; a null id is never held out."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors' Python this package, once a session, wherever the driver was started."""
+    context = spark.sparkContext
+    if getattr(context, "_docstrata_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="docstrata-")) / "docstrata.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._docstrata_shipped = True
