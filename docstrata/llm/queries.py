@@ -15,9 +15,15 @@ from docstrata.llm.langid import detect_languages, train
 from docstrata.llm.minhash import near_duplicates
 from docstrata.llm.packing import pack_documents
 from docstrata.llm.secrets import scan_secrets
+from docstrata.llm.toxicity import fit, score_documents
 from docstrata.llm.url_filter import judge_urls
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return score_documents(docs, fit(docs, read_table(spark, sf_dir, "labels", "doc_id", "toxic"))).drop("evidence")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"), keep="largest")
 
