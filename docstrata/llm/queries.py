@@ -15,6 +15,7 @@ from docstrata.llm.langid import detect_languages, train
 from docstrata.llm.minhash import near_duplicates
 from docstrata.llm.packing import pack_documents
 from docstrata.llm.secrets import scan_secrets
+from docstrata.llm.suffix_dedup import remove_repeats
 from docstrata.llm.toxicity import fit, score_documents
 from docstrata.llm.url_filter import judge_urls
 
@@ -58,6 +59,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
