@@ -5,10 +5,9 @@ place; in the second half round ``i`` fills its own place, so every place is fil
 as many rounds.  A place keeps the smallest (round, hash).  Two sketches agree in a place with the
 probability of their sets' Jaccard similarity, concentrated as if places were independent.
 
-Documents whose sketches agree in all rows of a band share a bucket.  Inside buckets a few pivots at a
-time are compared with all members of other components; links join components, so large groups of
-copies collapse after few pairs, and the number of pivots grows until no bucket holds two components
-that have not been compared.  Every link is confirmed on the full shingle sets.
+Documents whose sketches agree in all rows of a band share a bucket, and buckets that share documents
+form a family.  Families are compared in blocks on the full shingle sets, which confirms or refutes
+every link inside; what the links connect is a component.
 """
 
 from __future__ import annotations
@@ -19,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docstrata.llm.common import ship_package, stored
@@ -30,6 +29,10 @@ WORDS = 5
 #: 32 bands of 4 rows: a pair of similarity 0.8 is missed with probability 5e-8, one of 0.85 with 1e-10.
 BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
+#: Nodes of a family that are compared in one place with each other or with as many others.
+BLOCK = 256
+#: Columns of shingles that are counted at a time.
+COLUMNS = 4096
 #: Words whose hashes a worker remembers; beyond, it forgets all and goes on.
 WORD_CACHE = 400_000
 _M1, _M2, _STEP = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), 0x9E3779B97F4A7C15
@@ -119,31 +122,46 @@ def sketch_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n_shingles bigint, set_key binary, bands array<bigint>")
 
 
-def compare(pairs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``pairs(a, b, text_a, text_b)`` to a, b and the sizes of intersection and union of their sets."""
+def similar_pairs(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """The links between sets of side 0 and sets of side 1, or among all if there is one side alone.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near: tuple[str | None, np.ndarray] = (None, np.zeros(0, np.uint64))
-        for batch in batches:
-            common, union = [], []
-            for x, y in zip(batch.column("text_a"), batch.column("text_b"), strict=True):
-                if (text := x.as_py() or "") != near[0]:
-                    near = (text, shingles(text, words))
-                other = shingles(y.as_py() or "", words)
-                n = len(np.intersect1d(near[1], other, assume_unique=True))
-                common.append(n)
-                union.append(len(near[1]) + len(other) - n)
-            yield pa.RecordBatch.from_pydict(
-                {"a": batch.column("a"), "b": batch.column("b"), "common": pa.array(common, pa.int64()), "total": pa.array(union, pa.int64())}
-            )
-
-    kind = pairs.schema["a"].dataType.simpleString()
-    return pairs.mapInArrow(run, f"a {kind}, b {kind}, common bigint, total bigint")
-
-
-def _fits(percent: int):
-    """Sets of very unequal sizes cannot be similar enough."""
-    return F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    Intersections are counted as products of columns of shingles that at least two sets hold.
+    """
+    sizes = np.array([len(x) for x in sets], np.int64)
+    _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    shared = counts[column] > 1
+    row, column = row[shared], (np.cumsum(counts > 1) - 1)[column[shared]]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int((counts > 1).sum()), COLUMNS):
+        here = (column >= low) & (column < low + COLUMNS)
+        table = np.zeros((len(sets), COLUMNS), np.float32)
+        table[row[here], column[here] - low] = 1
+        common += table @ table.T
+    common = np.rint(common).astype(np.int64)
+    link = common * 100 >= (sizes[:, None] + sizes - common) * percent
+    wanted = np.triu(np.ones(link.shape, bool), 1)
+    if side.any() and not side.all():
+        wanted &= side[:, None] != side
+    return list(zip(*(x.tolist() for x in np.nonzero(link & wanted)), strict=True))
+
+
+def _forest(n: int, links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Links that connect the same as all: one fewer than there are members in each component."""
+    root, kept = list(range(n)), []
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            kept.append((a, b))
+    return kept
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, words: int = WORDS) -> DataFrame:
@@ -160,63 +178,77 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     drawn = stored(sketch_documents(rows, words), "sketches")
     # Equal sets are one node, named by their smallest id.
     nodes = drawn.filter("set_key IS NOT NULL AND id IS NOT NULL").groupBy("set_key").agg(
-        F.min("id").alias("node"), F.min_by("bands", "id").alias("bands"), F.first("n_shingles").alias("n")
+        F.min("id").alias("node"), F.min_by("bands", "id").alias("bands")
     )
     nodes = stored(nodes, "nodes")
-    seats = nodes.select(F.explode("bands").alias("band"), "node", "n")
-    shared = seats.groupBy("band").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("band")
-    members = stored(seats.join(shared, "band"), "members")
-    links = _links(rows, members, percent, words)
+    seats = nodes.select(F.explode("bands").alias("band"), "node")
+    shared = seats.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
+    near = seats.join(shared, "band").filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    families = connected_components(near)
+    links = connected_components(_links(rows, families, percent, words))
     components = nodes.select("set_key", "node").join(links, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
     out = drawn.select("id", "n_shingles", "set_key").join(components, "set_key", "left")
     out = out.withColumn("component_id", F.when(F.col("set_key").isNull(), F.col("id")).otherwise(F.col("component_id")))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _links(rows: DataFrame, members: DataFrame, percent: int, words: int) -> DataFrame:
-    """``members(band, node, n)`` to (node, component) for every node with a link."""
-    wanted = members.select("node").distinct()
-    one = rows.join(wanted, F.col("id") == F.col("node"), "left_semi").groupBy("id").agg(F.max("body").alias("body"))
-    texts = stored(one.select(F.col("id").alias("node"), "body"), "texts")
-    node_kind = members.schema["node"].dataType.simpleString()
-    spark = rows.sparkSession
-    components = spark.createDataFrame([], f"node {node_kind}, component {node_kind}")
-    tried = None
-    found = spark.createDataFrame([], f"a {node_kind}, b {node_kind}")
-    done, pivots = 0, 1
-    while True:
-        # Buckets that still hold nodes of different components, and their members.
-        now = members.join(components, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("component"))
-        open_bands = now.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m"))
-        open_bands = open_bands.filter(f"low <> high AND m > {done}").select("band")
-        now = stored(now.join(open_bands, "band"), "open")
-        if now.isEmpty():
-            break
-        order = Window.partitionBy("band").orderBy(F.xxhash64("band", "node"), "node")
-        chosen = now.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= done + pivots)
-        chosen = chosen.filter(F.col("k") > done).select("band", F.col("node").alias("p"), F.col("n").alias("n_p"), F.col("component").alias("c_p"))
-        pairs = now.join(chosen, "band").filter("component <> c_p")
-        first = F.col("node") < F.col("p")
-        pairs = pairs.select(
-            F.least("node", "p").alias("a"),
-            F.greatest("node", "p").alias("b"),
-            F.when(first, F.col("n")).otherwise(F.col("n_p")).alias("n_a"),
-            F.when(first, F.col("n_p")).otherwise(F.col("n")).alias("n_b"),
-        )
-        pairs = pairs.filter(_fits(percent)).select("a", "b").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        left = texts.select(F.col("node").alias("a"), F.col("body").alias("text_a"))
-        right = texts.select(F.col("node").alias("b"), F.col("body").alias("text_b"))
-        judged = stored(compare(pairs.join(left, "a").join(right, "b"), words), "judged")
-        linked = judged.filter(f"common * 100 >= total * {percent}").select("a", "b")
-        found = stored(found.unionByName(linked), "found")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        if not linked.isEmpty():
-            components = connected_components(found)
-        done, pivots = done + pivots, pivots * 4
-    return components
+def _links(rows: DataFrame, families: DataFrame, percent: int, words: int) -> DataFrame:
+    """``families(node, component)`` to confirmed links (a, b) that connect what all links connect.
+
+    A family is dealt into blocks of about ``BLOCK`` nodes, and every pair of its blocks is compared in
+    one place, so a node is sent once for each block of its family and no family meets in one task.
+    """
+    sized = families.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
+    seats = families.join(sized, "component").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    seats = seats.select("node", F.col("component").alias("family"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    own = rows.filter("id IS NOT NULL").join(seats, F.col("id") == F.col("node")).select("node", "body", "family", "blocks", "block")
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in grouped(batches, "body"):
+            sets = [shingles(t, words).tobytes() for t in texts]
+            blocks, block = part.column("blocks").to_pylist(), part.column("block").to_pylist()
+            for at in range(max(blocks)):
+                who = [k for k, n in enumerate(blocks) if at < n]
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "family": part.column("family").take(pa.array(who, pa.int64())),
+                        "i": pa.array([min(at, block[k]) for k in who], pa.int32()),
+                        "j": pa.array([max(at, block[k]) for k in who], pa.int32()),
+                        "node": part.column("node").take(pa.array(who, pa.int64())),
+                        "block": pa.array([block[k] for k in who], pa.int32()),
+                        "shingles": pa.array([sets[k] for k in who], pa.binary()),
+                    }
+                )
+
+    dealt = own.mapInArrow(deal, f"family {kind}, i int, j int, node {kind}, block int, shingles binary")
+    dealt = dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "node", "shingles")
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, nodes, sides, sets = None, [], [], []
+
+        def links(kind_of: pa.DataType) -> pa.RecordBatch:
+            found = _forest(len(nodes), similar_pairs(sets, np.array(sides), percent))
+            return pa.RecordBatch.from_arrays([pa.array([nodes[k] for k in end], kind_of) for end in ([a for a, _ in found], [b for _, b in found])], ["a", "b"])
+
+        node_type = None
+        for batch in batches:
+            node_type = batch.column("node").type
+            keys = zip(*(batch.column(c).to_pylist() for c in ("family", "i", "j")), strict=True)
+            for key, node, block, data in zip(keys, batch.column("node").to_pylist(), batch.column("block").to_pylist(), batch.column("shingles"), strict=True):
+                if key != now:
+                    if len(nodes) > 1:
+                        yield links(node_type)
+                    now, nodes, sides, sets = key, [], [], []
+                # Rows that share an id have one place among the nodes; one of their texts stands for it.
+                if not nodes or nodes[-1] != node:
+                    nodes.append(node)
+                    sides.append(block == key[2] and key[1] != key[2])
+                    sets.append(np.frombuffer(data.as_buffer(), np.uint64))
+        if len(nodes) > 1:
+            yield links(node_type)
+
+    return stored(dealt.mapInArrow(confirm, f"a {kind}, b {kind}"), "links")
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
