@@ -10,8 +10,8 @@ of a window or more are repeated, as is every window of a unit that occurs twice
 go back to their documents, and the bytes that they cover are removed.
 
 A minimizer with more than ``widest`` different units (a passage that very many documents hold in
-different surroundings) would make a shard of its own; its windows become units of their own instead,
-which fold whatever surrounds them, so no group outgrows a task.
+different surroundings) would outgrow a task; the windows of its folded units are told apart by their
+digests instead, which fold whatever surrounds them.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docstrata.llm.common import ship_package, stored, whole_text
@@ -33,7 +33,7 @@ GRAM = 32
 #: Neighbouring windows that are compared together.
 BLOCK = 8
 #: Different units of one minimizer above which its windows are told apart one by one.
-WIDEST = 1024
+WIDEST = 20_000
 #: Bytes of units that are sorted together.  One minimizer's units stay together, so a shard can be
 #: larger: ``WIDEST`` units at most.
 SHARD_BYTES = 1 << 20
@@ -124,7 +124,7 @@ def _list_units(rows: DataFrame, length: int) -> DataFrame:
 
 
 def _fetch(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of the wanted units; of a ``wide`` unit instead a row for each of its windows."""
+    """The bytes of the wanted units; of a ``wide`` unit instead a row with the digest of each of its windows."""
     per_row = wanted.groupBy("id", "mark").agg(F.collect_list(F.struct("begin", "windows", "key", "digest", "times", "wide")).alias("units"))
     w = per_row.select(F.col("id").alias("w_id"), F.col("mark").alias("w_mark"), "units")
     joined = rows.join(w, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("mark") == F.col("w_mark"))).select("id", "mark", "body", "units")
@@ -134,25 +134,18 @@ def _fetch(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             for at in range(batch.num_rows):
                 part = batch.slice(at, 1)
                 data = part.column("body")[0].as_buffer().to_pybytes()
-                out: dict[str, list] = {c: [] for c in ("begin", "windows", "key", "digest", "times", "wide", "body")}
+                out: dict[str, list] = {c: [] for c in ("begin", "windows", "key", "digest", "times", "wide", "body", "window")}
                 for u in part.column("units")[0].as_py():
-                    if u["wide"]:
-                        for s in range(u["begin"], u["begin"] + u["windows"]):
-                            digest = xxhash.xxh3_128_digest(data[s : s + length])
-                            for c, v in zip(out, (s, 1, u["key"], digest, 1, True, None), strict=True):
-                                out[c].append(v)
-                    else:
-                        piece = data[u["begin"] : u["begin"] + u["windows"] + length - 1]
-                        for c, v in zip(out, (u["begin"], u["windows"], u["key"], u["digest"], u["times"], False, piece), strict=True):
+                    piece = data[u["begin"] : u["begin"] + u["windows"] + length - 1]
+                    same = (u["key"], u["digest"], u["times"], u["wide"])
+                    each = [(k, 1, *same, None, xxhash.xxh3_128_digest(piece[k : k + length])) for k in range(u["windows"])] if u["wide"] else [(0, u["windows"], *same, piece, None)]
+                    for row in each:
+                        for c, v in zip(out, row, strict=True):
                             out[c].append(v)
-                owner = pa.array(np.zeros(len(out["begin"]), np.int64))
-                types = {"digest": pa.binary(), "wide": pa.bool_(), "body": pa.binary()}
-                yield pa.RecordBatch.from_pydict(
-                    {"id": part.column("id").take(owner), "mark": part.column("mark").take(owner)} | {c: pa.array(v, types.get(c, pa.int64())) for c, v in out.items()}
-                )
+                types = {"digest": pa.binary(), "wide": pa.bool_(), "body": pa.binary(), "window": pa.binary()}
+                yield pa.RecordBatch.from_pydict({c: pa.array(v, types.get(c, pa.int64())) for c, v in out.items()})
 
-    kind = rows.schema["id"].dataType.simpleString()
-    return joined.mapInArrow(run, f"id {kind}, mark bigint, begin bigint, windows bigint, key bigint, digest binary, times bigint, wide boolean, body binary")
+    return joined.mapInArrow(run, "begin bigint, windows bigint, key bigint, digest binary, times bigint, wide boolean, body binary, window binary")
 
 
 def _ragged(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -298,6 +291,19 @@ def _sorted_shards(units: DataFrame, length: int) -> DataFrame:
     return units.mapInArrow(run, "key bigint, digest binary, first bigint, behind bigint")
 
 
+def _wide_runs(windows: DataFrame) -> DataFrame:
+    """Single windows of wide units (key, digest, begin, window, times) to their repeated runs.
+
+    A window is repeated if its digest occurs twice, or its unit does.
+    """
+    often = windows.groupBy("window").agg(F.sum("times").alias("m")).filter("m > 1").select("window")
+    hits = windows.join(often, "window").select("key", "digest", "begin").distinct()
+    order = Window.partitionBy("key", "digest").orderBy("begin")
+    islands = hits.withColumn("island", F.col("begin") - F.row_number().over(order))
+    runs = islands.groupBy("key", "digest", "island").agg(F.min("begin").alias("first"), (F.max("begin") + 1).alias("behind"))
+    return runs.select("key", "digest", "first", "behind")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, widest: int = WIDEST, with_text: bool = False) -> DataFrame:
     """One row per row of ``docs``: id, n_bytes, n_removed, n_spans, kept_sha256, and ``kept`` if asked for.
 
@@ -321,16 +327,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # One unit, many times: there is nothing to compare it with, and every window of it is repeated.
     alone = sized.filter("different = 1").select("key", "digest", F.lit(0).cast("long").alias("first"), F.col("windows").alias("behind"))
     some = sized.filter(f"different > 1 AND different <= {widest}").select("at.*", "windows", "key", "digest", "times", F.lit(False).alias("wide"))
-    wide_keys = sized.filter(f"different > {widest}").select("key").distinct()
-    wide = places.join(wide_keys, "key", "left_semi").select("id", "mark", "begin", "windows", "key", "digest", F.lit(1).cast("long").alias("times"), F.lit(True).alias("wide"))
-    fetched = stored(_fetch(long, some.select(*wide.columns).unionByName(wide), length), "fetched")
+    wide = sized.filter(f"different > {widest}").select("at.*", "windows", "key", "digest", "times", F.lit(True).alias("wide"))
+    fetched = stored(_fetch(long, some.unionByName(wide), length), "fetched")
     shards = fetched.filter("NOT wide").select("key", "digest", "windows", "times", "body")
     shards = shards.repartition("key").sortWithinPartitions("key", "digest")
-    runs = stored(_sorted_shards(shards, length).unionByName(alone), "runs")
+    runs = stored(_sorted_shards(shards, length).unionByName(alone).unionByName(_wide_runs(fetched.filter("wide"))), "runs")
     spans = places.join(runs, ["key", "digest"]).select("id", "mark", (F.col("begin") + F.col("first")).alias("a"), (F.col("begin") + F.col("behind") - 1 + length).alias("b"))
-    single = fetched.filter("wide").select("id", "mark", "begin", "digest")
-    twice = single.groupBy("digest").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("digest")
-    spans = spans.unionByName(single.join(twice, "digest").select("id", "mark", F.col("begin").alias("a"), (F.col("begin") + length).alias("b")))
     per_row = spans.groupBy("id", "mark").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans"))
     per_row = per_row.select(F.col("id").alias("s_id"), F.col("mark").alias("s_mark"), "spans")
     judged = rows.join(per_row, F.col("id").eqNullSafe(F.col("s_id")) & (F.col("mark") == F.col("s_mark")), "left")
