@@ -77,7 +77,7 @@ def scan_secrets(
     max_owners: int = 1,
     wide_repos: int = 3,
 ) -> DataFrame:
-    """One row per row of ``docs``: the id, ``found`` (all spans), counts by kind and class, and digests.
+    """One row per row of ``docs``: the id, counts by kind and class, digests, ``found`` (all spans) and ``mark`` (a hash of the text).
 
     ``repo_col`` names the repository; the owner is ``owner_col`` or, by default, the repository's name
     before a ``/``.  A null repository counts as one of its own name, ''.  A value in ``wide_repos`` or
@@ -88,10 +88,10 @@ def scan_secrets(
     text = whole_text(text_col)
     repo = F.coalesce(F.col(repo_col).cast("string"), F.lit(""))
     owner = F.coalesce(F.col(owner_col).cast("string"), F.lit("")) if owner_col else F.substring_index(repo, "/", 1)
-    first = docs.select(F.col(id_col).alias("id"), repo.alias("repo"), owner.alias("owner"), base_spans(text).alias("base"), mixed_spans(text).alias("mixed"))
+    first = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), repo.alias("repo"), owner.alias("owner"), base_spans(text).alias("base"), mixed_spans(text).alias("mixed"))
     clear = lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
     keyed = lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("key"), looks_random(s["value"]).alias("random"))
-    rows = first.select("id", "repo", "owner", F.transform("base", keyed).alias("base"), F.transform(F.filter("mixed", clear), keyed).alias("mixed"))
+    rows = first.select("id", "mark", "repo", "owner", F.transform("base", keyed).alias("base"), F.transform(F.filter("mixed", clear), keyed).alias("mixed"))
     # The texts are read once; what follows works on the few spans.  A row key tells repeated ids apart.
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "spans")
     spans = rows.select("row", "repo", "owner", F.explode(F.concat("base", "mixed")).alias("s")).select("row", "repo", "owner", "s.*")
@@ -110,16 +110,19 @@ def scan_secrets(
         )
     )
     empty = F.array().cast("array<struct<start:int,rank:int,end:int,class:string,n_repos:bigint,n_owners:bigint>>")
-    out = rows.select("id", "row").join(per_row, "row", "left").select("id", F.coalesce("found", empty).alias("found"))
+    out = rows.select("id", "mark", "row").join(per_row, "row", "left").select("id", "mark", F.coalesce("found", empty).alias("found"))
+    # A second parameter of the inner function would be taken for the element's index.
     count = lambda f: F.size(F.filter("found", f)).cast("long")
+    of_rank = lambda rank: count(lambda s: s["rank"] == rank)
     return out.select(
         F.col("id").alias(id_col),
-        *[count(lambda s, r=r: s["rank"] == r).alias(f"n_{k}") for r, k in enumerate(KINDS)],
+        *[of_rank(rank).alias(f"n_{kind}") for rank, kind in enumerate(KINDS)],
         count(lambda s: (s["rank"] < 3) & (s["class"] == "live")).alias("n_live"),
         count(lambda s: (s["rank"] < 3) & (s["class"] == "example")).alias("n_example"),
         F.sha2(_joined(F.filter("found", lambda s: s["rank"] < 3)), 256).alias("base_sha256"),
         _joined(F.col("found")).alias("spans"),
         "found",
+        "mark",
     )
 
 
@@ -129,9 +132,10 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     Overlapping spans are replaced once, as their union.  Rows without spans pass unchanged, nulls
     included.
     """
-    found = scan_secrets(docs).filter("size(found) > 0").select(F.col("doc_id").alias("_id"), "found")
-    found = found.dropDuplicates(["_id"])
-    cut = F.filter("found", lambda s: s["class"] != "example")
+    # Ids may repeat with other texts, so a hash of the text goes with the id.
+    spans = F.filter("found", lambda s: s["class"] != "example").alias("_cut")
+    found = scan_secrets(docs).filter("size(found) > 0").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), spans)
+    found = found.filter("size(_cut) > 0").dropDuplicates(["_id", "_mark"])
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(state: Column, s: Column) -> Column:
@@ -143,8 +147,9 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
         )
 
     tail = lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text")))
-    joined = docs.join(found, F.col("doc_id") == F.col("_id"), "left").withColumn("_cut", cut)
-    changed = F.col("_cut").isNotNull() & (F.size("_cut") > 0)
+    mark = F.xxhash64(whole_text("text"))
+    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (mark == F.col("_mark")), "left")
+    changed = F.col("_cut").isNotNull()
     joined = joined.withColumn("text", F.when(changed, F.aggregate("_cut", start, step, tail)).otherwise(F.col("text")))
     n_chars = F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return joined.withColumn("n_chars", n_chars).select(*docs.columns)
