@@ -1,10 +1,10 @@
 """Toxicity scores by the nearest labelled examples.
 
-A bounded sample of labelled documents gives the vocabulary (words and word beginnings whose frequency
-depends on the label), its inverse document frequencies, and the examples.  The examples' TF-IDF
+A bounded sample of labelled documents gives the vocabulary (words and word beginnings that toxic
+documents have significantly more often), its inverse document frequencies, and the examples.  The examples' TF-IDF
 vectors form an inverted index with block maxima: a query first bounds the cosine of every block of
-examples, then scores blocks in falling order of their bounds until no bound can beat the neighbours it
-has, so the neighbours are exact.  Their distance-weighted vote, calibrated on left-out examples, is
+examples, scores the blocks with the greatest bounds, then those whose bound can still beat the
+neighbours it has, so the neighbours are exact.  Their distance-weighted vote, calibrated on left-out examples, is
 the score; the neighbours are its evidence.
 """
 
@@ -25,12 +25,14 @@ from docstrata.llm.pretoken import grouped
 
 #: Labelled documents of each class to learn from, the first by a hash of the id.
 SAMPLE_PER_CLASS = 6000
-#: Terms that are kept at most, those that depend most on the label.
+#: Terms that are kept at most, those that toxic documents have most significantly.
 TERMS = 4096
 #: A term is kept from this chi-square (one degree of freedom: p below 0.000001) and document count on.
 LEAST_CHI, LEAST_DOCS = 24.0, 5
 NEIGHBOURS = 15
 BLOCK = 64
+#: Blocks that a query scores before it knows how near its neighbours are.
+FIRST_BLOCKS = 16
 #: Word beginnings of these lengths are terms of their own, so unseen endings find their stem.
 STEMS = (4, 5)
 THRESHOLD = 0.7
@@ -95,16 +97,20 @@ class BlockMaxIndex:
         present, first = np.unique(self.blocks[entry], return_index=True)
         last = np.append(first[1:], len(entry))
         places, cosines = np.zeros(0, np.int64), np.zeros(0)
+        # The most promising blocks first; then, together, all that may still hold a nearer example.
         order = np.argsort(-bound[present], kind="stable")
-        for at in range(0, len(order), 8):
-            group = order[at : at + 8]
-            if len(cosines) >= k and bound[present[group[0]]] < cosines[-1] - 1e-12:
-                break
-            picked = np.concatenate([np.arange(first[g], last[g]) for g in group])
+        for group in (order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]):
+            if len(cosines) >= k:
+                group = group[bound[present[group]] >= cosines[-1] - 1e-12]
+            if not len(group):
+                continue
+            blocks_of, inside = last[group] - first[group], np.repeat(first[group], last[group] - first[group])
+            picked = inside + np.arange(len(inside)) - np.repeat(np.cumsum(blocks_of) - blocks_of, blocks_of)
             sizes = self.begin[entry[picked] + 1] - self.begin[entry[picked]]
             posting = np.repeat(self.begin[entry[picked]] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-            found, back = np.unique(self.docs[posting], return_inverse=True)
-            score = np.bincount(back, self.weights[posting] * np.repeat(share[picked], sizes))
+            score = np.bincount(self.docs[posting], self.weights[posting] * np.repeat(share[picked], sizes))
+            found = np.flatnonzero(score)
+            score = score[found]
             if without is not None:
                 found, score = found[found != without], score[found != without]
             places, cosines = np.concatenate([places, found]), np.concatenate([cosines, score])
@@ -192,10 +198,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, i
     """A model from at most ``per_class`` labelled documents of each class that are not held out.
 
     Null labels and labels without a text are ignored; of repeated labels the toxic one counts, and of
-    repeated documents the first text in order.
+    repeated documents the first text in order; of equal texts with equal labels one.
     """
     ship_package(docs.sparkSession)
     rows = _sample(docs, labels, per_class, id_col, text_col).groupBy("id", "label").agg(F.min("body").alias("body"))
+    # Of copies of one text with one label, one counts.
+    rows = rows.groupBy("body", "label").agg(F.min("id").alias("id")).select("id", "label", "body")
     rows = stored(rows, "examples")
     kind = rows.schema["id"].dataType.simpleString()
 
@@ -213,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, i
     apart = F.col("a") * F.lit(float(n0)) - (F.col("df") - F.col("a")) * F.lit(float(n1))
     below = F.col("df") * (F.lit(float(n)) - F.col("df")) * F.lit(max(1.0, float(n1) * n0))
     chi = F.lit(float(n)) * apart * apart / F.greatest(below, F.lit(1e-9))
-    best = seen.withColumn("chi", chi).filter((F.col("df") >= LEAST_DOCS) & (F.col("chi") >= LEAST_CHI))
+    best = seen.withColumn("chi", chi).filter((F.col("df") >= LEAST_DOCS) & (F.col("chi") >= LEAST_CHI) & (apart > 0))
     chosen = best.orderBy(F.desc("chi"), "term").limit(TERMS).select("term", "df").collect()
     terms = {r["term"]: k for k, r in enumerate(chosen)}
     idf = np.array([np.log(1 + n / r["df"]) for r in chosen])
