@@ -205,7 +205,9 @@ def training_runs(docs: DataFrame, id_col: str, text_col: str, lang_col: str, mo
     """Languages, runs and their languages from at most ``most`` whole labelled documents not held out."""
     label, text = F.col(lang_col).alias("lang"), F.col(text_col).alias("body")
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
-    rows = rows.orderBy(F.xxhash64(F.col(id_col)), F.col(id_col)).limit(most).select(label, text).collect()
+    # The ids are chosen without the texts, so only the chosen texts travel.
+    chosen = rows.select(F.col(id_col).alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(most).distinct()
+    rows = rows.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select("_id", label, text).orderBy(F.xxhash64("_id"), "_id", "body").limit(most).collect()
     languages = sorted({r["lang"] for r in rows})
     seen = {k: 0 for k in languages}
     runs, target = [], []
