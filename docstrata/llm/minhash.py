@@ -201,7 +201,8 @@ def _links(rows: DataFrame, families: DataFrame, percent: int, words: int) -> Da
     sized = families.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
     seats = families.join(sized, "component").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
     seats = seats.select("node", F.col("component").alias("family"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    own = rows.filter("id IS NOT NULL").join(seats, F.col("id") == F.col("node")).select("node", "body", "family", "blocks", "block")
+    # One plan at every size: texts are dealt by id, however few families there are.
+    own = rows.filter("id IS NOT NULL").join(seats.hint("merge"), F.col("id") == F.col("node")).select("node", "body", "family", "blocks", "block")
     kind = rows.schema["id"].dataType.simpleString()
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
