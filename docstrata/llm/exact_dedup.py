@@ -129,12 +129,12 @@ def drop_exact_duplicates(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     Rows with an identifier that stays are grouped by it, so a document that was delivered twice is
     returned once.
     """
-    verdicts = exact_duplicates(docs, keep=keep).filter("kept").select("doc_id", "text_sha256").distinct()
-    digest = F.lower(F.sha2(whole_text("text").cast("binary"), 256))
-    marked = docs.withColumn("_digest", digest)
-    stays = marked.join(
-        verdicts.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")),
-        F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_sha")),
-        "left_semi",
-    )
-    return stays.dropDuplicates(["doc_id", "_digest"]).drop("_digest")
+    verdicts = exact_duplicates(docs, keep=keep).filter("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n"))
+    verdicts = stored(verdicts.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "n"), "verdicts")
+    marked = docs.withColumn("_digest", F.lower(F.sha2(whole_text("text").cast("binary"), 256)))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_sha"))
+    stays = marked.join(verdicts.select("_id", "_sha"), same, "left_semi")
+    # Whole rows are grouped only where some document was delivered twice.
+    if not verdicts.filter("n > 1").isEmpty():
+        stays = stays.dropDuplicates(["doc_id", "_digest"])
+    return stays.drop("_digest")
