@@ -10,6 +10,7 @@ best-fit decreasing, and the documents, ranked within their class, take the slot
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -46,10 +47,38 @@ def vocabulary(path: str) -> dict[bytes, int]:
     return {bytes(letters[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Literals that such a file gives an id of their own; those that take the text around them are refused."""
+    with open(path, encoding="utf-8") as f:
+        added = [t for t in json.load(f).get("added_tokens", ()) if t["content"]]
+    if wide := [t["content"] for t in added if t.get("single_word") or t.get("lstrip") or t.get("rstrip")]:
+        raise ValueError(f"added tokens that depend on the text around them: {wide}")
+    return {t["content"]: t["id"] for t in added}
+
+
+class TextEncoder:
+    """Token ids as the library gives them: added tokens by their ids, what lies between in pieces."""
+
+    def __init__(self, path: str):
+        core = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=vocabulary(path), special_tokens={})._core_bpe
+        self.pieces, self.added = PieceEncoder(core.encode_single_piece), added_tokens(path)
+        # Of literals that start at one place the longest counts.
+        self.literal = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        # Literals and what lies before, between and behind them take turns.
+        split = [self.literal.split(t) if any(a in t for a in self.added) else [t] for t in texts]
+        found = iter(self.pieces([part for parts in split for part in parts[::2]]))
+        out = []
+        for parts in split:
+            ids = [np.array([self.added[part]], np.uint32) if k % 2 else next(found) for k, part in enumerate(parts)]
+            out.append(np.concatenate(ids) if len(ids) > 1 else ids[0])
+        return out
+
+
 @lru_cache(maxsize=2)
-def _encoder(path: str) -> PieceEncoder:
-    core = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=vocabulary(path), special_tokens={})._core_bpe
-    return PieceEncoder(core.encode_single_piece)
+def _encoder(path: str) -> TextEncoder:
+    return TextEncoder(path)
 
 
 def token_pieces(docs: DataFrame, path: str, id_col: str, text_col: str, capacity: int = CAPACITY, width: int = WIDTH) -> DataFrame:
@@ -190,8 +219,8 @@ def pack_documents(
 ) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    ``path`` is a vocabulary that every executor can open.  A null or empty text is the end token
-    alone.  Rows that repeat an id are packed each.  A full piece is a sequence of its own.  Other
+    ``path`` is a vocabulary that every executor can open.  A literal of one of its added tokens in a
+    text gets that token's id, as in the library.  A null or empty text is the end token alone.  Rows that repeat an id are packed each.  A full piece is a sequence of its own.  Other
     columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
