@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from docstrata.llm.common import stored
 from docstrata.llm.exact_dedup import drop_exact_duplicates
-from docstrata.llm.langid import UNKNOWN, detect_languages, train
+from docstrata.llm.langid import detect_languages, train, with_letters
 from docstrata.llm.minhash import drop_near_duplicates
 from docstrata.llm.packing import pack_documents
 from docstrata.llm.secrets import redact
@@ -17,9 +17,16 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language is found (no text, or no letter in it) go."""
-    verdicts = detect_languages(docs, train(docs), keep=COLUMNS)
-    return verdicts.filter(F.col("lang_pred") != UNKNOWN).select(*COLUMNS)
+    """Documents without a letter (null texts too) go; which language the network finds rejects none.
+
+    Where no network can be trained, since no row has a usable label, the same documents go.
+    """
+    docs = docs.select(*COLUMNS)
+    network = train(docs)
+    if network is None:
+        return with_letters(docs)
+    # Only a text without a letter has the score 0, whatever the labels are called.
+    return detect_languages(docs, network, keep=COLUMNS).filter("score > 0").select(*COLUMNS)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
