@@ -102,8 +102,13 @@ def band_keys(rows: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def set_key(shingle_set: np.ndarray) -> bytes | None:
+    """A digest of the whole set; None if it is empty."""
+    return hashlib.blake2b(shingle_set.tobytes(), digest_size=16).digest() if len(shingle_set) else None
+
+
 def sketch_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``docs(id, body)`` to id, n_shingles, set_key (digest of the whole set, null if empty) and bands."""
+    """``docs(id, text_hash, body)`` to id, text_hash, n_shingles, set_key (null for an empty set) and bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in grouped(batches, "body"):
@@ -113,13 +118,14 @@ def sketch_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
             yield pa.RecordBatch.from_pydict(
                 {
                     "id": part.column("id"),
+                    "text_hash": part.column("text_hash"),
                     "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-                    "set_key": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
+                    "set_key": pa.array([set_key(s) for s in sets], pa.binary()),
                     "bands": pa.array([next(keys) if len(s) else None for s in sets], pa.list_(pa.int64())),
                 }
             )
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n_shingles bigint, set_key binary, bands array<bigint>")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, text_hash bigint, n_shingles bigint, set_key binary, bands array<bigint>")
 
 
 def similar_pairs(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -169,30 +175,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Documents are linked where 100 * intersection >= ``percent`` * union of their shingle sets, and a
     component is what links reach; its id is its smallest identifier.  Texts without words (null,
-    empty, white space) are linked with nothing.  Rows that repeat an id have the id's component; a
-    null id takes part through its text only: it gets the component of equal or linked texts, or null.
-    Extra columns are ignored; an empty table gives an empty result.
+    empty, white space) are linked with nothing.  Rows that share an id with different texts are linked
+    each by its own text; a null id takes part through its text only: it gets the component of equal or
+    linked texts, or null.  Extra columns are ignored; an empty table gives an empty result.
     """
+    judged = _judged(docs, id_col, text_col, percent, words)
+    return judged.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, percent: int, words: int) -> DataFrame:
+    """(id, text_hash, n_shingles, component_id) of every row."""
     ship_package(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("body"))
     drawn = stored(sketch_documents(rows, words), "sketches")
-    # Equal sets are one node, named by their smallest id.
-    nodes = drawn.filter("set_key IS NOT NULL AND id IS NOT NULL").groupBy("set_key").agg(
-        F.min("id").alias("node"), F.min_by("bands", "id").alias("bands")
+    # A node is a shingle set; a text of its smallest id stands for it.
+    nodes = drawn.filter("set_key IS NOT NULL AND id IS NOT NULL").groupBy(F.col("set_key").alias("node")).agg(
+        F.min("id").alias("id"), F.min_by("text_hash", "id").alias("text_hash"), F.min_by("bands", "id").alias("bands")
     )
     nodes = stored(nodes, "nodes")
     seats = nodes.select(F.explode("bands").alias("band"), "node")
     shared = seats.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
     near = seats.join(shared, "band").filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
     families = connected_components(near)
-    links = connected_components(_links(rows, families, percent, words))
-    components = nodes.select("set_key", "node").join(links, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
-    out = drawn.select("id", "n_shingles", "set_key").join(components, "set_key", "left")
-    out = out.withColumn("component_id", F.when(F.col("set_key").isNull(), F.col("id")).otherwise(F.col("component_id")))
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    links = connected_components(_links(rows, nodes, families, percent, words))
+    # A component is named by the smallest id of its nodes.
+    least = links.join(nodes.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("component_id"))
+    linked = links.join(least, "component").select("node", "component_id")
+    components = nodes.join(linked, "node", "left").select(F.col("node").alias("set_key"), F.coalesce("component_id", "id").alias("component_id"))
+    out = drawn.select("id", "text_hash", "n_shingles", "set_key").join(components, "set_key", "left")
+    return out.withColumn("component_id", F.when(F.col("set_key").isNull(), F.col("id")).otherwise(F.col("component_id"))).drop("set_key")
 
 
-def _links(rows: DataFrame, families: DataFrame, percent: int, words: int) -> DataFrame:
+def _links(rows: DataFrame, nodes: DataFrame, families: DataFrame, percent: int, words: int) -> DataFrame:
     """``families(node, component)`` to confirmed links (a, b) that connect what all links connect.
 
     A family is dealt into blocks of about ``BLOCK`` nodes, and every pair of its blocks is compared in
@@ -201,16 +215,18 @@ def _links(rows: DataFrame, families: DataFrame, percent: int, words: int) -> Da
     sized = families.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
     seats = families.join(sized, "component").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
     seats = seats.select("node", F.col("component").alias("family"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    # One plan at every size: texts are dealt by id, however few families there are.
-    own = rows.filter("id IS NOT NULL").join(seats.hint("merge"), F.col("id") == F.col("node")).select("node", "body", "family", "blocks", "block")
-    kind = rows.schema["id"].dataType.simpleString()
+    seats = seats.join(nodes.select("node", "id", "text_hash"), "node")
+    # One plan at every size: texts are dealt by id and hash, however few families there are.
+    own = rows.filter("id IS NOT NULL").join(seats.hint("merge"), ["id", "text_hash"]).select("node", "body", "family", "blocks", "block")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in grouped(batches, "body"):
-            sets = [shingles(t, words).tobytes() for t in texts]
+            sets = [shingles(t, words) for t in texts]
+            # Another text of the id with the same hash is not the node's.
+            own = [set_key(s) == node for s, node in zip(sets, part.column("node").to_pylist(), strict=True)]
             blocks, block = part.column("blocks").to_pylist(), part.column("block").to_pylist()
             for at in range(max(blocks)):
-                who = [k for k, n in enumerate(blocks) if at < n]
+                who = [k for k, n in enumerate(blocks) if own[k] and at < n]
                 yield pa.RecordBatch.from_pydict(
                     {
                         "family": part.column("family").take(pa.array(who, pa.int64())),
@@ -218,11 +234,11 @@ def _links(rows: DataFrame, families: DataFrame, percent: int, words: int) -> Da
                         "j": pa.array([max(at, block[k]) for k in who], pa.int32()),
                         "node": part.column("node").take(pa.array(who, pa.int64())),
                         "block": pa.array([block[k] for k in who], pa.int32()),
-                        "shingles": pa.array([sets[k] for k in who], pa.binary()),
+                        "shingles": pa.array([sets[k].tobytes() for k in who], pa.binary()),
                     }
                 )
 
-    dealt = own.mapInArrow(deal, f"family {kind}, i int, j int, node {kind}, block int, shingles binary")
+    dealt = own.mapInArrow(deal, "family binary, i int, j int, node binary, block int, shingles binary")
     dealt = dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "node", "shingles")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +257,7 @@ def _links(rows: DataFrame, families: DataFrame, percent: int, words: int) -> Da
                     if len(nodes) > 1:
                         yield links(node_type)
                     now, nodes, sides, sets = key, [], [], []
-                # Rows that share an id have one place among the nodes; one of their texts stands for it.
+                # Rows that repeat an id and a text have one place among the nodes.
                 if not nodes or nodes[-1] != node:
                     nodes.append(node)
                     sides.append(block == key[2] and key[1] != key[2])
@@ -249,10 +265,15 @@ def _links(rows: DataFrame, families: DataFrame, percent: int, words: int) -> Da
         if len(nodes) > 1:
             yield links(node_type)
 
-    return stored(dealt.mapInArrow(confirm, f"a {kind}, b {kind}"), "links")
+    return stored(dealt.mapInArrow(confirm, "a binary, b binary"), "links")
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The document with the smallest id of each component, with all columns; rows with a null id stay."""
-    gone = near_duplicates(docs, percent=percent).filter("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The document with the smallest id of each component, with all columns; rows with a null id stay.
+
+    Rows that share an id stay or go by their own texts.
+    """
+    judged = _judged(docs, "doc_id", "text", percent, WORDS)
+    gone = judged.filter("id <> component_id").select(F.col("id").alias("_id"), F.col("text_hash").alias("_text")).distinct()
+    marked = docs.withColumn("_hash", F.xxhash64("text"))
+    return marked.join(gone, (F.col("doc_id") == F.col("_id")) & (F.col("_hash") == F.col("_text")), "left_anti").select(*docs.columns)
