@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docstrata.llm.common import held_out, ship_package
@@ -23,8 +23,13 @@ HIDDEN = 16
 EMBED = 16
 #: Longer runs are read in parts of so many bytes.
 LONGEST = 32
-#: Documents whose whole texts the network may learn from; they are the first by a hash of the id.
-SAMPLE_DOCS = 1500
+#: Documents whose whole texts the network may learn from, shared alike by all languages, and what each
+#: language has at least however many there are; they are the first of a language by a hash of the id.
+SAMPLE_DOCS, LEAST_DOCS = 1500, 50
+#: Runs that are drawn from those texts, languages alike and with replacement.
+SAMPLE_RUNS = 120_000
+#: Bits of the hash by which ids are counted before they are chosen.
+HASH_BITS = 10
 STEPS, BATCH, RATE = 500, 192, 0.01
 #: Runs whose label sums a worker keeps; beyond, it forgets all and goes on.
 CACHE_RUNS = 300_000
@@ -201,18 +206,35 @@ class RunCache:
         return out[:, :-1] / np.maximum(out[:, -1:], 1)
 
 
-def training_runs(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most: int) -> tuple[list[str], list[bytes], np.ndarray]:
-    """Languages, runs and their languages from at most ``most`` whole labelled documents not held out."""
-    label, text = F.col(lang_col).alias("lang"), F.col(text_col).alias("body")
-    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
+def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most: int) -> DataFrame:
+    """(lang, _id, body) to learn from: for each language its first ids by hash, all if it has few.
+
+    A language has ``most`` by the number of languages, ``LEAST_DOCS`` at least.  Held-out rows, null labels
+    and texts without a run are left out; of rows that repeat an id and a label the first text in order
+    counts, and rows of one label without an id count as one.
+    """
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("body"))
+    rows = rows.filter(F.col("lang").isNotNull() & F.col("body").rlike(r"\S") & ~held_out("_id"))
+    share = max(LEAST_DOCS, -(-most // max(1, rows.select("lang").distinct().count())))
     # The ids are chosen without the texts, so only the chosen texts travel.
-    chosen = rows.select(F.col(id_col).alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(most).distinct()
-    rows = rows.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select("_id", label, text).orderBy(F.xxhash64("_id"), "_id", "body").limit(most).collect()
+    hashed = F.xxhash64("_id")
+    keys = rows.select("lang", "_id").distinct().withColumn("part", F.shiftrightunsigned(hashed, 64 - HASH_BITS))
+    # Only the parts of the hash's range that a language's first ids lie in are put in order.
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = keys.groupBy("lang", "part").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(before, F.lit(0)))
+    first = keys.join(F.broadcast(parts.filter(F.col("before") < share).select("lang", "part")), ["lang", "part"])
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("part", hashed, "_id"))
+    chosen = first.withColumn("nth", nth).filter(F.col("nth") <= share).select(F.col("lang").alias("_lang"), F.col("_id").alias("_chosen"))
+    same = (F.col("lang") == F.col("_lang")) & F.col("_id").eqNullSafe(F.col("_chosen"))
+    return rows.join(F.broadcast(chosen), same, "left_semi").groupBy("lang", "_id").agg(F.min("body").alias("body"))
+
+
+def training_runs(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most: int) -> tuple[list[str], list[bytes], np.ndarray]:
+    """Languages, runs and their languages from the whole texts of ``training_rows``."""
+    rows = training_rows(docs, id_col, text_col, lang_col, most).orderBy("lang", F.xxhash64("_id"), "_id").collect()
     languages = sorted({r["lang"] for r in rows})
-    seen = {k: 0 for k in languages}
     runs, target = [], []
     for r in rows:
-        seen[r["lang"]] += 1
         for run in r["body"].encode("utf-8", "surrogatepass").split():
             for part in parts_of(run):
                 runs.append(part)
@@ -221,14 +243,14 @@ def training_runs(docs: DataFrame, id_col: str, text_col: str, lang_col: str, mo
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = SAMPLE_DOCS) -> ByteNetwork | None:
-    """A network from a bounded sample of the labelled rows that are not held out; None without any."""
+    """A network from ``SAMPLE_RUNS`` runs of a sample of each language's rows that are not held out; None without any."""
     languages, runs, target = training_runs(docs, id_col, text_col, lang_col, most)
     if not runs:
         return None
     # Languages are drawn alike, however often they occur.
     share = np.bincount(target, minlength=len(languages))[target]
     draw = np.random.default_rng(5)
-    pick = draw.choice(len(runs), min(len(runs), 120_000), p=(1 / share) / (1 / share).sum())
+    pick = draw.choice(len(runs), min(len(runs), SAMPLE_RUNS), p=(1 / share) / (1 / share).sum())
     return ByteNetwork.new(languages).fit([runs[i] for i in pick], target[pick])
 
 
