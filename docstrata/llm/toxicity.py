@@ -5,7 +5,8 @@ documents have significantly more often), its inverse document frequencies, and
 vectors form an inverted index with block maxima: a query first bounds the cosine of every block of
 examples, scores the blocks with the greatest bounds, then those whose bound can still beat the
 neighbours it has, so the neighbours are exact.  Their distance-weighted vote, calibrated on left-out examples, is
-the score; the neighbours are its evidence.
+the score; the neighbours are its evidence.  Words outside the vocabulary count in no vector and no
+norm; the README has what that changes.
 """
 
 from __future__ import annotations
