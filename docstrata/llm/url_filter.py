@@ -61,11 +61,44 @@ def address_key(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.concat(scheme, F.lit("://"), host, rest))
 
 
+def decoded(address: Column) -> Column:
+    """An address from HTML with its references to ``&`` replaced, the only ones that addresses need."""
+    return F.regexp_replace(address, r"&(?:amp|AMP|#0*38|#[xX]0*26);", "&")
+
+
+def without_dots(path: Column) -> Column:
+    """A path that starts with ``/``, its ``.`` and ``..`` segments resolved."""
+    start = F.array().cast("array<string>")
+    step = lambda acc, x: (
+        F.when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x)))
+    )
+    joined = F.array_join(F.aggregate(F.split(path, "/"), start, step), "/")
+    return F.when(path.rlike(r"/\.\.?\z"), F.concat(joined, F.lit("/"))).otherwise(joined)
+
+
+def resolved(target: Column, base: Column) -> Column:
+    """``target`` as seen from the page ``base``; null for a relative one where ``base`` is no address."""
+    site = F.regexp_extract(base, r"(?s)^([^:]*://[^/?#]*)", 1)
+    _, path = url_parts(base)
+    own, rest = F.regexp_extract(target, r"(?s)^([^?#]*)", 1), F.regexp_extract(target, r"(?s)^[^?#]*(.*)", 1)
+    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, r"(?s)^(.*/)", 1))
+    full = F.when(own.startswith("/"), own).otherwise(F.concat(folder, own))
+    return (
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), target)
+        .when(F.coalesce(site, F.lit("")) == "", F.lit(None))
+        .when(target.startswith("//"), F.concat(F.substring_index(base, "://", 1), F.lit(":"), target))
+        .when(target.startswith("#"), base)
+        .when(own == "", F.concat(site, path, rest))
+        .otherwise(F.concat(site, without_dots(full), rest))
+    )
+
+
 def judge_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None, default: str = "allow") -> DataFrame:
     """One row per row of ``pages(page_id, url, html)``: page_id, host, path, rule, verdict, inherited.
 
-    ``redirects(source, target)`` adds edges between addresses.  Relative links are ignored, and so is
-    a page without a usable url: its host and path are empty, no rule fits and it gets ``default``.
+    ``redirects(source, target)`` adds edges between addresses.  Relative targets are resolved against the
+    address they stand at (a ``base`` element is not read).  A page without a usable url is ignored: its
+    host and path are empty, no rule fits and it gets ``default``.
     Null html has no links.  Repeated pages get equal verdicts; an empty table an empty result.
     ``inherited`` says that the verdict comes from the page's class.
     """
@@ -78,12 +111,14 @@ def judge_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None
     )
     html = F.coalesce(F.col("html"), F.lit(""))
     links = pages.select(
-        address_key(F.col("url")).alias("a"),
+        "url",
         F.explode(F.array(F.regexp_extract(html, CANONICAL, 1), F.regexp_extract(html, REFRESH, 1))).alias("to"),
     )
-    links = links.filter("to <> ''").select("a", address_key(F.col("to")).alias("b"))
+    seen = resolved(decoded(F.col("to")), F.col("url"))
+    links = links.filter("to <> ''").select(address_key(F.col("url")).alias("a"), address_key(seen).alias("b"))
     if redirects is not None:
-        links = links.unionByName(redirects.select(address_key(F.col("source")).alias("a"), address_key(F.col("target")).alias("b")))
+        seen = resolved(F.col("target"), F.col("source"))
+        links = links.unionByName(redirects.select(address_key(F.col("source")).alias("a"), address_key(seen).alias("b")))
     links = stored(links.filter("a <> b").distinct(), "links")
     if links.isEmpty():
         final = own.withColumn("class_verdict", F.lit(None).cast("string"))
