@@ -1,4 +1,4 @@
-"""Removal of long repeated substrings with suffix arrays built by external induced sorting.
+"""Removal of long repeated substrings with suffix arrays built by induced sorting of small shards.
 
 Every window of ``length`` bytes is assigned to its *minimizer*, the byte run of ``GRAM`` bytes in it
 whose hash is smallest, so equal windows meet at equal minimizers.  Neighbouring windows with one

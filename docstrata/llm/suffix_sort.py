@@ -1,4 +1,4 @@
-"""External induced sorting of suffixes with their longest common prefixes.
+"""Induced sorting of suffixes with their longest common prefixes.
 
 Suffixes are typed S or L by whether the next suffix is greater or smaller.  The S suffixes right behind
 an L suffix cut the text into substrings; their names form a shorter text that is sorted by recursion.
@@ -6,7 +6,7 @@ Two passes of a priority queue then induce all suffixes: a tuple (first symbol,
 with the tuple before it) is drawn in order of its symbol, and puts the suffix one place to the left into
 the queue.  Symbols only grow (or only fall) during a pass, so the queue is monotone: a list of tuples
 for each symbol, which go to a file when they exceed their share of memory.  Texts above a size are
-memory-mapped files.
+memory-mapped files; substrings, their names and the L suffixes of a pass stay in memory.
 """
 
 from __future__ import annotations
