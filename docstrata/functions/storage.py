@@ -1,4 +1,4 @@
-"""Tables between the stages of a plan, in the folder that all executors share."""
+"""Tables written between steps, in the folder that all executors share."""
 
 from __future__ import annotations
 
@@ -9,12 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session, or a folder of our own where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder.
+
+    Where neither is set and Spark runs in one process on this machine, a folder of our own; on a cluster
+    that is an error, since executors would not see each other's files.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = found.get() if found.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="docstrata-")
         spark.sparkContext.setCheckpointDir(root)
     return root
@@ -23,13 +29,23 @@ def shared_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder; it is removed when the driver ends."""
     path = f"{shared_root(spark).rstrip('/')}/docstrata/{label}-{uuid.uuid4().hex}"
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return path
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` and read it back: lineage ends there, and what follows reads it instead of computing it again."""
+    """Write ``df`` to the shared folder and read it back: lineage ends there and lost executors cost nothing."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept.scratch = path
+    return kept
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove stored tables that no later plan reads."""
+    for df in tables:
+        where = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.scratch)
+        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
