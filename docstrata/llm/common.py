@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docstrata.functions.storage import release, scratch_path, shared_root, stored
+
+__all__ = ["held_out", "read_table", "release", "scratch_path", "shared_root", "ship_package", "stored", "whole_text"]
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of a table below ``sf_dir``; only these reach the scan."""
@@ -17,40 +20,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
     return df.select(*columns) if columns else df
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = found.get() if found.isDefined() else None
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="docstrata-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder; it is removed when the driver ends."""
-    path = f"{shared_root(spark).rstrip('/')}/docstrata/{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Remove a scratch table that no later plan reads."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there and lost executors cost nothing."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def whole_text(column: str | Column) -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -1,17 +1,20 @@
-"""Removal of long repeated substrings with suffix arrays built by induced sorting of small shards.
+"""Removal of long repeated substrings with suffix arrays built by external induced sorting.
 
 Every window of ``length`` bytes is assigned to its *minimizer*, the byte run of ``GRAM`` bytes in it
 whose hash is smallest, so equal windows meet at equal minimizers.  Neighbouring windows with one
-minimizer form a unit: a stretch of text a little longer than a window.  Units whose minimizer occurs
-once hold nothing repeated; units with equal bytes are folded into one with a count.  What is left is
-dealt into shards by minimizer, and each shard's suffixes are sorted (``suffix_sort``), with parts that
-are known to be equal named by one symbol: windows whose suffixes are neighbours with a common prefix
-of a window or more are repeated, as is every window of a unit that occurs twice.  The repeated windows
-go back to their documents, and the bytes that they cover are removed.
-
-A minimizer with more than ``widest`` different units (a passage that very many documents hold in
-different surroundings) would outgrow a task; the windows of its folded units are told apart by their
-digests instead, which fold whatever surrounds them.
+minimizer form a unit: a stretch of text a little longer than a window.  This deals the corpus out:
+units whose minimizer occurs once hold nothing repeated, and units with equal bytes are folded into one
+with a count before they travel (every window of a unit that occurs twice is repeated).
+
+All other units go to shards by minimizer, and the suffixes of each shard's whole text are sorted with
+their common prefixes (``suffix_sort``): windows whose suffixes are neighbours with ``length`` bytes or
+more in common are repeated.  A shard ends at the first minimizer behind ``shard_bytes``; its sort keeps
+``memory`` tuples and has the rest in files, so both can be set apart.  A minimizer whose units are more
+than a shard (a passage that very many documents hold in different surroundings) is dealt over several;
+what each of them has found repeated stands, and the digests of its distinct windows meet those of the
+others, so that no group needs one task.
+
+The repeated windows go back to their documents, and the bytes that they cover are removed.
 """
 
 from __future__ import annotations
@@ -25,22 +28,19 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docstrata.llm.common import ship_package, stored, whole_text
-from docstrata.llm.suffix_sort import Workspace, sort_suffixes
+from docstrata.llm.common import release, ship_package, stored, whole_text
+from docstrata.llm.suffix_sort import MEMORY, Workspace, sort_suffixes
 
 LENGTH = 400
-GRAM = 32
-#: Neighbouring windows that are compared together.
-BLOCK = 8
-#: Different units of one minimizer above which its windows are told apart one by one.
-WIDEST = 20_000
-#: Bytes of units that are sorted together.  One minimizer's units stay together, so a shard can be
-#: larger: ``WIDEST`` units at most.
-SHARD_BYTES = 1 << 20
+GRAM = 64
+#: Bytes of units from which on a shard ends; a minimizer with more is dealt over as many shards.
+SHARD_BYTES = 4 << 20
+#: Units whose windows are handled together when a shard is done.
+UNITS = 4096
 #: Texts longer than this are scanned in overlapping parts; positions within a part fit in 20 bits.
 _PART = (1 << 20) - 1
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
-_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
+_ODD = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64) for k in range(GRAM // 8)]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -124,28 +124,24 @@ def _list_units(rows: DataFrame, length: int) -> DataFrame:
 
 
 def _fetch(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of the wanted units; of a ``wide`` unit instead a row with the digest of each of its windows."""
-    per_row = wanted.groupBy("id", "mark").agg(F.collect_list(F.struct("begin", "windows", "key", "digest", "times", "wide")).alias("units"))
+    """The bytes of the wanted units, with their other columns."""
+    names = [c for c in wanted.columns if c not in ("id", "mark")]
+    per_row = wanted.groupBy("id", "mark").agg(F.collect_list(F.struct(*names)).alias("units"))
     w = per_row.select(F.col("id").alias("w_id"), F.col("mark").alias("w_mark"), "units")
-    joined = rows.join(w, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("mark") == F.col("w_mark"))).select("id", "mark", "body", "units")
+    joined = rows.join(w, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("mark") == F.col("w_mark"))).select("body", "units")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
                 part = batch.slice(at, 1)
                 data = part.column("body")[0].as_buffer().to_pybytes()
-                out: dict[str, list] = {c: [] for c in ("begin", "windows", "key", "digest", "times", "wide", "body", "window")}
-                for u in part.column("units")[0].as_py():
-                    piece = data[u["begin"] : u["begin"] + u["windows"] + length - 1]
-                    same = (u["key"], u["digest"], u["times"], u["wide"])
-                    each = [(k, 1, *same, None, xxhash.xxh3_128_digest(piece[k : k + length])) for k in range(u["windows"])] if u["wide"] else [(0, u["windows"], *same, piece, None)]
-                    for row in each:
-                        for c, v in zip(out, row, strict=True):
-                            out[c].append(v)
-                types = {"digest": pa.binary(), "wide": pa.bool_(), "body": pa.binary(), "window": pa.binary()}
-                yield pa.RecordBatch.from_pydict({c: pa.array(v, types.get(c, pa.int64())) for c, v in out.items()})
+                units = part.column("units").flatten()
+                columns = {c: units.field(c) for c in names}
+                sizes = zip(columns["begin"].to_pylist(), columns["windows"].to_pylist(), strict=True)
+                columns["body"] = pa.array([data[x : x + y + length - 1] for x, y in sizes], pa.binary())
+                yield pa.RecordBatch.from_pydict({c: columns[c] for c in ("key", "salt", "dealt", "digest", "windows", "times", "body")})
 
-    return joined.mapInArrow(run, "begin bigint, windows bigint, key bigint, digest binary, times bigint, wide boolean, body binary, window binary")
+    return joined.mapInArrow(run, "key bigint, salt int, dealt boolean, digest binary, windows bigint, times bigint, body binary")
 
 
 def _ragged(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,184 +150,184 @@ def _ragged(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner, np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
-def _prefix_hashes(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix hashes P and powers: the hash of [a, b) is P[b] - P[a] * power[b - a], modulo 2**64."""
-    # Running sums of terms divided by powers of the base; it is odd, so division is exact.
-    base = 0x9E3779B97F4A7C15
-    power = np.full(len(cells) + 1, base, np.uint64)
-    power[0] = 1
-    inverse = np.full(len(cells) + 1, pow(base, -1, 1 << 64), np.uint64)
-    inverse[0] = 1
-    with np.errstate(over="ignore"):
-        np.multiply.accumulate(power, out=power)
-        np.multiply.accumulate(inverse, out=inverse)
-        terms = _mix(cells.astype(np.uint64) + _ODD[1])
-        sums = np.append(np.uint64(0), np.cumsum(terms * inverse[1:]))
-        return sums * power, power
-
-
-def _span_hash(prefix: np.ndarray, power: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return _mix(prefix[b] - prefix[a] * power[b - a])
-
-
-def repeated_windows(texts: list[bytes], windows: list[int], times: list[int], keys: list[int], length: int = LENGTH) -> list[tuple[int, int, int]]:
-    """(unit, first, behind the last) for the runs of windows that another place repeats.
+class Shard:
+    """The units that one sort sees: their bytes as one text, each with an end symbol 0 behind it.
 
-    Units meet in *blocks*: ``BLOCK`` windows at the same distances from their minimizer.  What all
-    windows of a block have in common is hashed; a block whose common part no other has cannot hold a
-    repeat, and equal blocks fold into one.  Where different blocks share their common part, it is
-    replaced by one symbol that stands for it, so a window becomes ``BLOCK`` symbols, and the suffixes
-    of these short texts are sorted: neighbours with ``BLOCK`` symbols in common are repeats.
+    Bytes are symbols from 1 on.  A common prefix of a window's length that starts inside a unit's windows
+    holds no end symbol, so neither side crosses an end.
     """
-    n_units, spare = len(texts), BLOCK - 1
-    size = np.array([len(t) for t in texts], np.int64)
-    count, often = np.array(windows, np.int64), np.array(times, np.int64)
-    start = np.cumsum(size) - size
-    joined = b"".join(texts)
-    # Where each unit's minimizer is: the first run of bytes with its hash.
-    grams = gram_hashes(joined).view(np.int64)
-    owner, _ = _ragged(size)
-    wanted = np.array(keys, np.int64)
-    found = np.flatnonzero(grams == wanted[owner[: len(grams)]])
-    unit, at = np.unique(owner[found], return_index=True)
-    pivot = np.empty(n_units, np.int64)
-    pivot[unit] = found[at] - start[unit]
-    # The blocks of each unit: by distance from the window's start to the minimizer.
-    low, high = (pivot - count + 1) // BLOCK, pivot // BLOCK
-    u, k = _ragged(high - low + 1)
-    near = (low[u] + k) * BLOCK
-    first = np.maximum(pivot[u] - near - spare, 0)
-    last = np.minimum(pivot[u] - near, count[u] - 1)
-    inner_a, inner_b = pivot[u] - near, pivot[u] - near - spare + length
-    end = last + length
-    prefix, power = _prefix_hashes(np.frombuffer(joined, np.uint8))
-    base = start[u]
-    with np.errstate(over="ignore"):
-        tag = _mix(wanted[u].view(np.uint64) + (near.astype(np.uint64) << np.uint64(1)) * _ODD[2])
-        common = _span_hash(prefix, power, base + inner_a, base + inner_b) ^ tag
-        sides = ((inner_a - first) * BLOCK + (end - inner_b)).astype(np.uint64)
-        whole = _mix(_span_hash(prefix, power, base + first, base + end) ^ _mix(common + sides))
-    _, fold_at, fold = np.unique(whole, return_index=True, return_inverse=True)
-    fold_times = np.bincount(fold, weights=often[u]).astype(np.int64)
-    group_of, group = np.unique(common[fold_at], return_inverse=True)
-    members = np.bincount(group, minlength=len(group_of))
-    starts_in = last[fold_at] - first[fold_at] + 1
-    hit_at = np.cumsum(starts_in) - starts_in
-    hit = np.repeat(fold_times > 1, starts_in)
-    contested = np.flatnonzero(members[group] > 1)
-    if len(contested):
-        b = fold_at[contested]
-        left, right = inner_a[b] - first[b], end[b] - inner_b[b]
-        texts_of, names = len(contested), np.unique(group[contested], return_inverse=True)[1]
-        with Workspace() as space:
-            width = left + 1 + right + 1
-            symbols = space.array(int(width.sum()))
-            o, place = _ragged(width)
-            byte_from = texts_of + int(names.max()) + 1
-            raw = np.frombuffer(joined, np.uint8).astype(np.int64)
-            in_left, in_right = place < left[o], (place > left[o]) & (place < width[o] - 1)
-            symbols[in_left] = byte_from + raw[(base[b] + first[b])[o[in_left]] + place[in_left]]
-            symbols[in_right] = byte_from + raw[(base[b] + inner_b[b])[o[in_right]] + place[in_right] - left[o[in_right]] - 1]
-            mid = place == left[o]
-            symbols[mid] = texts_of + names[o[mid]]
-            stop = place == width[o] - 1
-            symbols[stop] = texts_of - 1 - o[stop]
-            order, shared = sort_suffixes(symbols, space)
-            twin = np.zeros(len(order) + 1, bool)
-            twin[: len(order)] = np.asarray(shared) >= BLOCK
-            found_hit = np.zeros(len(order), bool)
-            found_hit[np.asarray(order)[twin[:-1] | twin[1:]]] = True
-            piece_at = np.cumsum(width) - width
-            o, place = _ragged(starts_in[contested])
-            hit[hit_at[contested][o] + place] |= found_hit[piece_at[o] + place]
-    # Back to the units' windows.
-    unit_at = np.cumsum(count) - count
-    repeated = np.repeat(often > 1, count)
-    o, place = _ragged(last - first + 1)
-    repeated[unit_at[u[o]] + first[o] + place] |= hit[hit_at[fold[o]] + place]
-    row, place = _ragged(count)
-    starts_run = repeated & ((place == 0) | ~np.append(False, repeated[:-1]))
-    ends_run = repeated & ((place == count[row] - 1) | ~np.append(repeated[1:], False))
-    a, z = np.flatnonzero(starts_run), np.flatnonzero(ends_run)
-    return list(zip(row[a].tolist(), place[a].tolist(), (place[z] + 1).tolist(), strict=True))
-
-
-def _sorted_shards(units: DataFrame, length: int) -> DataFrame:
-    """``units(key, digest, windows, times, body)``, each key within one task and in order, to repeated runs."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, digest, windows, times, texts, size = [], [], [], [], [], 0
-
-        def flush() -> pa.RecordBatch:
-            found = repeated_windows(texts, windows, times, key, length)
-            return pa.RecordBatch.from_pydict(
-                {
-                    "key": pa.array([key[k] for k, _, _ in found], pa.int64()),
-                    "digest": pa.array([digest[k] for k, _, _ in found], pa.binary()),
-                    "first": pa.array([a for _, a, _ in found], pa.int64()),
-                    "behind": pa.array([b for _, _, b in found], pa.int64()),
-                }
-            )
+    def __init__(self, space: Workspace, length: int):
+        self.space, self.length = space, length
+        self.units: list[tuple] = []  # key, digest, windows, times, dealt
+        self.pieces: list[bytes] = []
+        self.size = self.waiting = 0
+        self.path = None
+
+    def add(self, unit: tuple, body: bytes) -> None:
+        self.units.append(unit)
+        self.pieces.append(body)
+        self.size += len(body) + 1
+        self.waiting += len(body) + 1
+        if self.waiting > self.space.memory:
+            self.path = self.path or self.space.file()
+            with open(self.path, "ab") as out:
+                self._symbols().tofile(out)
+            self.pieces, self.waiting = [], 0
+
+    def _symbols(self) -> np.ndarray:
+        text = np.frombuffer(b"".join(p + b"\0" for p in self.pieces), np.uint8).astype(np.uint16) + np.uint16(1)
+        text[np.cumsum([len(p) + 1 for p in self.pieces], dtype=np.int64) - 1] = 0
+        return text
+
+    def text(self) -> np.ndarray:
+        if self.path is None:
+            return self._symbols()
+        with open(self.path, "ab") as out:
+            if self.pieces:
+                self._symbols().tofile(out)
+        self.pieces = []
+        return np.memmap(self.path, np.uint16, "r")
+
+    def results(self) -> Iterator[pa.RecordBatch]:
+        """Runs of repeated windows; of units that are dealt over several shards also their other windows' digests."""
+        text, length = self.text(), self.length
+        marks = self.space.array(len(text), np.uint8)
+        last = np.zeros(0, np.int64)
+
+        def mark(suffix: np.ndarray, prefix: np.ndarray) -> None:
+            nonlocal last
+            hit = np.flatnonzero(prefix >= length)
+            marks[suffix[hit]] = 1
+            marks[suffix[hit[hit > 0] - 1]] = 1
+            if len(hit) and hit[0] == 0:
+                marks[last] = 1
+            last = suffix[-1:].copy()
+
+        sort_suffixes(text, self.space, mark, length)
+        start = 0
+        for at in range(0, len(self.units), UNITS):
+            units = self.units[at : at + UNITS]
+            count = np.array([u[2] for u in units], np.int64)
+            begin = start + np.cumsum(count + length) - count - length
+            start = int(begin[-1] + count[-1] + length)
+            row, place = _ragged(count)
+            repeated = (marks[begin[row] + place] > 0) | (np.array([u[3] for u in units]) > 1)[row]
+            first = repeated & ((place == 0) | ~np.append(False, repeated[:-1]))
+            final = repeated & ((place == count[row] - 1) | ~np.append(repeated[1:], False))
+            a, z = np.flatnonzero(first), np.flatnonzero(final)
+            yield _found(units, row[a].tolist(), place[a].tolist(), (place[z] + 1).tolist(), None)
+            known, out = set(), ([], [], [], [])
+            for k in [k for k, u in enumerate(units) if u[4]]:
+                body = (text[begin[k] : begin[k] + count[k] + length - 1] - 1).astype(np.uint8).tobytes()
+                low = int(np.searchsorted(row, k))
+                for w in range(int(count[k])):
+                    digest = xxhash.xxh3_128_digest(body[w : w + length])
+                    if not repeated[low + w]:
+                        for column, value in zip(out, (k, w, w + 1, digest), strict=True):
+                            column.append(value)
+                    elif digest not in known:
+                        known.add(digest)
+            if out[0]:
+                yield _found(units, *out)
+            if known:
+                yield _found(units, None, None, None, sorted(known))
+
+
+_FOUND = "key bigint, digest binary, first bigint, behind bigint, window binary"
+
+
+def _found(units: list[tuple], who: list | None, first: list | None, behind: list | None, window: list | None) -> pa.RecordBatch:
+    n = len(who if who is not None else window)
+    none = [None] * n
+    return pa.RecordBatch.from_pydict(
+        {
+            "key": pa.array(none if who is None else [units[k][0] for k in who], pa.int64()),
+            "digest": pa.array(none if who is None else [units[k][1] for k in who], pa.binary()),
+            "first": pa.array(first or none, pa.int64()),
+            "behind": pa.array(behind or none, pa.int64()),
+            "window": pa.array(window or none, pa.binary()),
+        }
+    )
+
+
+def _sorted_shards(units: DataFrame, length: int, shard_bytes: int, memory: int) -> DataFrame:
+    """``units``, each key and salt within one task and in order, to what their shards have found."""
 
-        for batch in batches:
-            for row in batch.to_pylist():
-                if size >= SHARD_BYTES and row["key"] != key[-1]:
-                    yield flush()
-                    key, digest, windows, times, texts, size = [], [], [], [], [], 0
-                key.append(row["key"])
-                digest.append(row["digest"])
-                windows.append(row["windows"])
-                times.append(row["times"])
-                texts.append(row["body"])
-                size += len(row["body"])
-        if texts:
-            yield flush()
-
-    return units.mapInArrow(run, "key bigint, digest binary, first bigint, behind bigint")
-
-
-def _wide_runs(windows: DataFrame) -> DataFrame:
-    """Single windows of wide units (key, digest, begin, window, times) to their repeated runs.
-
-    A window is repeated if its digest occurs twice, or its unit does.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with Workspace(memory) as space:
+            shard, now = Shard(space, length), None
+            for batch in batches:
+                names = ("key", "salt", "digest", "windows", "times", "dealt", "body")
+                for key, salt, digest, windows, times, dealt, body in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                    if shard.size >= shard_bytes and (key, salt) != now:
+                        yield from shard.results()
+                        shard = Shard(space, length)
+                    now = (key, salt)
+                    shard.add((key, digest, windows, times, dealt), body)
+            if shard.units:
+                yield from shard.results()
+
+    return units.mapInArrow(run, _FOUND)
+
+
+def _between_shards(loose: DataFrame) -> DataFrame:
+    """Windows that were alone in their shard, to the runs of those that another shard has too.
+
+    A shard lists each distinct window of a dealt minimizer once: with its place if it was alone there.
     """
-    often = windows.groupBy("window").agg(F.sum("times").alias("m")).filter("m > 1").select("window")
-    hits = windows.join(often, "window").select("key", "digest", "begin").distinct()
+    often = loose.groupBy("window").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("window")
+    hits = loose.filter("digest IS NOT NULL").join(often, "window").select("key", "digest", F.col("first").alias("begin"))
     order = Window.partitionBy("key", "digest").orderBy("begin")
     islands = hits.withColumn("island", F.col("begin") - F.row_number().over(order))
     runs = islands.groupBy("key", "digest", "island").agg(F.min("begin").alias("first"), (F.max("begin") + 1).alias("behind"))
     return runs.select("key", "digest", "first", "behind")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, widest: int = WIDEST, with_text: bool = False) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    length: int = LENGTH,
+    with_text: bool = False,
+    shard_bytes: int = SHARD_BYTES,
+    memory: int = MEMORY,
+) -> DataFrame:
     """One row per row of ``docs``: id, n_bytes, n_removed, n_spans, kept_sha256, and ``kept`` if asked for.
 
     Every byte that a ``length``-byte string covers which also starts anywhere else is removed; strings
     are judged on the input.  Null texts are empty; texts shorter than ``length`` stay whole.  Rows that
     repeat an id and a text are separate places, so each repeats the other.  Other columns are ignored;
     an empty table gives an empty result.  ``kept`` is binary, since a cut may fall inside a character.
+    ``length`` is ``GRAM`` bytes at least; ``shard_bytes`` and ``memory`` change how shards are cut and
+    sorted, never the result.
     """
+    if length < GRAM:
+        raise ValueError(f"length is {GRAM} at least")
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
     # Places are named by id and a hash of the text, so rows that share an id stay apart.
     rows = rows.select("id", F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("body"))
     long = rows.filter(F.length("body") >= length)
     listed = stored(_list_units(long, length), "units")
-    shared = listed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key")
+    shared = stored(listed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key"), "shared")
     places = stored(listed.join(shared, "key"), "places")
+    release(listed, shared)
     units = places.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("id", "mark", "begin")).alias("at"), F.first("windows").alias("windows"))
     units = stored(units, "folded")
-    per_key = units.groupBy("key").agg(F.count(F.lit(1)).alias("different"))
-    sized = stored(units.join(per_key, "key"), "sized")
+    per_key = units.groupBy("key").agg(F.count(F.lit(1)).alias("different"), F.sum(F.col("windows") + F.lit(length)).alias("bytes"))
+    per_key = stored(per_key, "keys")
     # One unit, many times: there is nothing to compare it with, and every window of it is repeated.
+    sized = units.join(per_key, "key")
     alone = sized.filter("different = 1").select("key", "digest", F.lit(0).cast("long").alias("first"), F.col("windows").alias("behind"))
-    some = sized.filter(f"different > 1 AND different <= {widest}").select("at.*", "windows", "key", "digest", "times", F.lit(False).alias("wide"))
-    wide = sized.filter(f"different > {widest}").select("at.*", "windows", "key", "digest", "times", F.lit(True).alias("wide"))
-    fetched = stored(_fetch(long, some.unionByName(wide), length), "fetched")
-    shards = fetched.filter("NOT wide").select("key", "digest", "windows", "times", "body")
-    shards = shards.repartition("key").sortWithinPartitions("key", "digest")
-    runs = stored(_sorted_shards(shards, length).unionByName(alone).unionByName(_wide_runs(fetched.filter("wide"))), "runs")
+    spread = F.ceil(F.col("bytes") / F.lit(shard_bytes)).cast("int")
+    salt = F.pmod(F.xxhash64("digest"), spread).cast("int")
+    some = sized.filter("different > 1").select("at.*", "windows", "key", salt.alias("salt"), (spread > 1).alias("dealt"), "digest", "times")
+    fetched = _fetch(long, some, length).repartition("key", "salt").sortWithinPartitions("key", "salt", "digest")
+    found = stored(_sorted_shards(fetched, length, shard_bytes, memory), "found")
+    apart = _between_shards(found.filter("window IS NOT NULL"))
+    runs = stored(found.filter("window IS NULL").drop("window").unionByName(alone).unionByName(apart), "runs")
+    release(units, per_key, found)
     spans = places.join(runs, ["key", "digest"]).select("id", "mark", (F.col("begin") + F.col("first")).alias("a"), (F.col("begin") + F.col("behind") - 1 + length).alias("b"))
     per_row = spans.groupBy("id", "mark").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans"))
     per_row = per_row.select(F.col("id").alias("s_id"), F.col("mark").alias("s_mark"), "spans")
