@@ -9,8 +9,8 @@ with a count before they travel (every window of a unit that occurs twice is rep
 All other units go to shards by minimizer, and the suffixes of each shard's whole text are sorted with
 their common prefixes (``suffix_sort``): windows whose suffixes are neighbours with ``length`` bytes or
 more in common are repeated.  A shard ends at the first minimizer behind ``shard_bytes``; its sort keeps
-``memory`` tuples and has the rest in files, so both can be set apart.  A minimizer whose units are more
-than a shard (a passage that very many documents hold in different surroundings) is dealt over several;
+``memory`` tuples and has the rest in files, so both can be set apart.  A minimizer with more than
+``deal_bytes`` of different units (a passage that very many documents hold in different surroundings) is dealt over several;
 what each of them has found repeated stands, and the digests of its distinct windows meet those of the
 others, so that no group needs one task.
 
@@ -33,8 +33,10 @@ from docstrata.llm.suffix_sort import MEMORY, Workspace, sort_suffixes
 
 LENGTH = 400
 GRAM = 64
-#: Bytes of units from which on a shard ends; a minimizer with more is dealt over as many shards.
+#: Bytes of units from which on a shard ends.
 SHARD_BYTES = 4 << 20
+#: A minimizer with more bytes of different units is dealt over several shards, so many bytes to each.
+DEAL_BYTES = 1 << 19
 #: Units whose windows are handled together when a shard is done.
 UNITS = 4096
 #: Texts longer than this are scanned in overlapping parts; positions within a part fit in 20 bits.
@@ -291,6 +293,7 @@ def remove_repeats(
     length: int = LENGTH,
     with_text: bool = False,
     shard_bytes: int = SHARD_BYTES,
+    deal_bytes: int = DEAL_BYTES,
     memory: int = MEMORY,
 ) -> DataFrame:
     """One row per row of ``docs``: id, n_bytes, n_removed, n_spans, kept_sha256, and ``kept`` if asked for.
@@ -299,7 +302,7 @@ def remove_repeats(
     are judged on the input.  Null texts are empty; texts shorter than ``length`` stay whole.  Rows that
     repeat an id and a text are separate places, so each repeats the other.  Other columns are ignored;
     an empty table gives an empty result.  ``kept`` is binary, since a cut may fall inside a character.
-    ``length`` is ``GRAM`` bytes at least; ``shard_bytes`` and ``memory`` change how shards are cut and
+    ``length`` is ``GRAM`` bytes at least; ``shard_bytes``, ``deal_bytes`` and ``memory`` change how shards are cut and
     sorted, never the result.
     """
     if length < GRAM:
@@ -320,7 +323,7 @@ def remove_repeats(
     # One unit, many times: there is nothing to compare it with, and every window of it is repeated.
     sized = units.join(per_key, "key")
     alone = sized.filter("different = 1").select("key", "digest", F.lit(0).cast("long").alias("first"), F.col("windows").alias("behind"))
-    spread = F.ceil(F.col("bytes") / F.lit(shard_bytes)).cast("int")
+    spread = F.ceil(F.col("bytes") / F.lit(deal_bytes)).cast("int")
     salt = F.pmod(F.xxhash64("digest"), spread).cast("int")
     some = sized.filter("different > 1").select("at.*", "windows", "key", salt.alias("salt"), (spread > 1).alias("dealt"), "digest", "times")
     fetched = _fetch(long, some, length).repartition("key", "salt").sortWithinPartitions("key", "salt", "digest")
