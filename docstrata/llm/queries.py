@@ -22,7 +22,7 @@ from docstrata.llm.url_filter import judge_urls
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
-    return score_documents(docs, fit(docs, read_table(spark, sf_dir, "labels", "doc_id", "toxic"))).drop("evidence")
+    return score_documents(docs, fit(docs, read_table(spark, sf_dir, "labels", "doc_id", "toxic")))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,12 @@
 """Toxicity scores by the nearest labelled examples.
 
-A bounded sample of labelled documents gives the vocabulary (words and word beginnings that toxic
-documents have significantly more often), its inverse document frequencies, and the examples.  The examples' TF-IDF
-vectors form an inverted index with block maxima: a query first bounds the cosine of every block of
-examples, scores the blocks with the greatest bounds, then those whose bound can still beat the
-neighbours it has, so the neighbours are exact.  Their distance-weighted vote, calibrated on left-out examples, is
-the score; the neighbours are its evidence.  Words outside the vocabulary count in no vector and no
-norm; the README has what that changes.
+A bounded sample of labelled documents gives the examples and their vocabulary: every word
+of theirs.  Vectors hold all of it; a word weighs (1 + log tf) * idf * phi, where phi is
+the correlation of the word's presence with the label in the sample (the README has what plain idf gives).
+The examples' unit vectors form an inverted index with block maxima: a query first bounds the cosine of
+every block of examples, scores the blocks with the greatest bounds, then those whose bound can still beat
+the neighbours it has, so the neighbours are exact.  Their distance-weighted vote, calibrated on left-out
+examples, is the score; the neighbours are its evidence.
 """
 
 from __future__ import annotations
@@ -25,26 +25,18 @@ from docstrata.llm.common import held_out, ship_package, stored
 from docstrata.llm.pretoken import grouped
 
 #: Labelled documents of each class to learn from, the first by a hash of the id.
-SAMPLE_PER_CLASS = 6000
-#: Terms that are kept at most, those that toxic documents have most significantly.
-TERMS = 4096
-#: A term is kept from this chi-square (one degree of freedom: p below 0.000001) and document count on.
-LEAST_CHI, LEAST_DOCS = 24.0, 5
+SAMPLE_PER_CLASS = 1500
 NEIGHBOURS = 15
 BLOCK = 64
 #: Blocks that a query scores before it knows how near its neighbours are.
-FIRST_BLOCKS = 16
-#: Word beginnings of these lengths are terms of their own, so unseen endings find their stem.
-STEMS = (4, 5)
+FIRST_BLOCKS = 4
 THRESHOLD = 0.7
-#: Words whose terms a worker remembers; beyond, it forgets all and goes on.
-CACHE_WORDS = 300_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def terms_of(word: str) -> list[str]:
-    """The word and, with a mark behind, its beginnings."""
-    return [word, *(word[:n] + "*" for n in STEMS if len(word) > n)]
+def _ragged(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """begin[k], begin[k] + 1, ... for each k, ``sizes[k]`` of them."""
+    return np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
 @dataclass
@@ -61,60 +53,49 @@ class BlockMaxIndex:
     weights: np.ndarray
 
     @classmethod
-    def build(cls, ids: list, labels: np.ndarray, vectors: list[dict[int, float]], terms: int) -> BlockMaxIndex:
+    def build(cls, ids: list, labels: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int) -> BlockMaxIndex:
         # Examples with the same strongest term lie together, so block maxima differ between blocks.
-        order = sorted(range(len(ids)), key=lambda k: (max(vectors[k], key=vectors[k].get, default=-1), k))
-        postings: list[list[tuple[int, float]]] = [[] for _ in range(terms)]
-        for place, k in enumerate(order):
-            for term, weight in vectors[k].items():
-                postings[term].append((place, weight))
-        starts, blocks, most, begin, docs, weights = [0], [], [], [], [], []
-        for entries in postings:
-            for place, weight in entries:
-                if len(blocks) == starts[-1] or blocks[-1] != place // BLOCK:
-                    blocks.append(place // BLOCK)
-                    most.append(0.0)
-                    begin.append(len(docs))
-                most[-1] = max(most[-1], weight)
-                docs.append(place)
-                weights.append(weight)
-            starts.append(len(blocks))
-        begin.append(len(docs))
-        whole = lambda x: np.array(x, np.int64)
-        return cls([ids[k] for k in order], labels[order], whole(starts), whole(blocks), np.array(most), whole(begin), whole(docs), np.array(weights))
-
-    def nearest(self, query: dict[int, float], k: int, without=None) -> tuple[np.ndarray, np.ndarray]:
+        lead = np.array([int(t[w.argmax()]) if len(t) else -1 for t, w in vectors], np.int64)
+        order = np.argsort(lead, kind="stable")
+        sizes = np.array([len(vectors[k][0]) for k in order], np.int64)
+        place = np.repeat(np.arange(len(order)), sizes)
+        none = [np.zeros(0, np.int64)]
+        term = np.concatenate(none + [vectors[k][0] for k in order])
+        weight = np.concatenate([np.zeros(0)] + [vectors[k][1] for k in order])
+        by_term = np.argsort(term, kind="stable")
+        place, term, weight = place[by_term], term[by_term], weight[by_term]
+        block = place // BLOCK
+        new = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))) if len(term) else none[0]
+        most = np.maximum.reduceat(weight, new) if len(term) else np.zeros(0)
+        starts = np.searchsorted(term[new], np.arange(terms + 1))
+        return cls([ids[k] for k in order], labels[order], starts, block[new], most, np.append(new, len(term)), place, weight)
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the ``k`` nearest examples with a positive cosine; ties go to lower places."""
-        if not query or not len(self.ids):
-            return np.zeros(0, np.int64), np.zeros(0)
-        spans = [(int(self.starts[t]), int(self.starts[t + 1]), w) for t, w in query.items()]
-        entry = np.concatenate([np.arange(a, b) for a, b, _ in spans])
-        share = np.concatenate([np.full(b - a, w) for a, b, w in spans])
-        if not len(entry):
-            return np.zeros(0, np.int64), np.zeros(0)
-        bound = np.bincount(self.blocks[entry], self.most[entry] * share)
-        by_block = np.argsort(self.blocks[entry], kind="stable")
-        entry, share = entry[by_block], share[by_block]
-        present, first = np.unique(self.blocks[entry], return_index=True)
-        last = np.append(first[1:], len(entry))
+        sizes = self.starts[terms + 1] - self.starts[terms]
+        entry, share = _ragged(self.starts[terms], sizes), np.repeat(weights, sizes)
         places, cosines = np.zeros(0, np.int64), np.zeros(0)
+        if not len(entry):
+            return places, cosines
+        block = self.blocks[entry]
+        bound = np.bincount(block, self.most[entry] * share)
         # The most promising blocks first; then, together, all that may still hold a nearer example.
-        order = np.argsort(-bound[present], kind="stable")
+        order = np.argsort(-bound, kind="stable")
         for group in (order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]):
-            if len(cosines) >= k:
-                group = group[bound[present[group]] >= cosines[-1] - 1e-12]
-            if not len(group):
+            least = cosines[-1] - 1e-12 if len(cosines) >= k else 1e-300
+            wanted = np.zeros(len(bound), bool)
+            wanted[group] = bound[group] >= least
+            picked = np.flatnonzero(wanted[block])
+            if not len(picked):
                 continue
-            blocks_of, inside = last[group] - first[group], np.repeat(first[group], last[group] - first[group])
-            picked = inside + np.arange(len(inside)) - np.repeat(np.cumsum(blocks_of) - blocks_of, blocks_of)
-            sizes = self.begin[entry[picked] + 1] - self.begin[entry[picked]]
-            posting = np.repeat(self.begin[entry[picked]] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+            own = entry[picked]
+            sizes = self.begin[own + 1] - self.begin[own]
+            posting = _ragged(self.begin[own], sizes)
             score = np.bincount(self.docs[posting], self.weights[posting] * np.repeat(share[picked], sizes))
             found = np.flatnonzero(score)
-            score = score[found]
             if without is not None:
-                found, score = found[found != without], score[found != without]
-            places, cosines = np.concatenate([places, found]), np.concatenate([cosines, score])
+                found = found[found != without]
+            places, cosines = np.concatenate([places, found]), np.concatenate([cosines, score[found]])
             best = np.lexsort((places, -cosines))[:k]
             places, cosines = places[best], cosines[best]
         return places, cosines
@@ -123,25 +104,26 @@ class BlockMaxIndex:
 @dataclass
 class ToxicityModel:
     terms: dict[str, int]
-    idf: np.ndarray
+    weights: np.ndarray  # idf * phi of each term
     index: BlockMaxIndex
     slope: np.ndarray
     alone: float
 
-    def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        """A unit TF-IDF vector."""
-        raw = {t: (1 + np.log(n)) * self.idf[t] for t, n in counts.items()}
-        size = sum(x * x for x in raw.values()) ** 0.5
-        return {t: x / size for t, x in raw.items()} if size else {}
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A unit vector of distinct terms; terms without weight are left out."""
+        raw = (1 + np.log(counts)) * self.weights[terms]
+        here = raw > 0
+        terms, raw = terms[here], raw[here]
+        return terms, raw / np.sqrt((raw * raw).sum()) if len(raw) else raw
 
-    def judge(self, vector: dict[int, float], without=None) -> tuple[float, list[tuple]]:
+    def judge(self, terms: np.ndarray, weights: np.ndarray, without: int | None = None) -> tuple[float, list[tuple]]:
         """The calibrated score and the neighbours (id, label, cosine)."""
-        places, cosines = self.index.nearest(vector, NEIGHBOURS, without)
+        places, cosines = self.index.nearest(terms, weights, NEIGHBOURS, without)
         if not len(places):
             return self.alone, []
         x = _features(self.index.labels[places], cosines)
         score = float(1 / (1 + np.exp(-np.clip(x @ self.slope, -30, 30))))
-        return score, [(self.index.ids[p], int(self.index.labels[p]), float(min(c, 1.0))) for p, c in zip(places, cosines, strict=True)]
+        return score, [(self.index.ids[p], int(self.index.labels[p]), float(min(c, 1.0))) for p, c in zip(places.tolist(), cosines.tolist(), strict=True)]
 
 
 def _features(labels: np.ndarray, cosines: np.ndarray) -> np.ndarray:
@@ -162,26 +144,16 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 6
     return slope
 
 
-class TermReader:
-    """Term counts of texts; what a word stands for is remembered."""
-
-    def __init__(self, terms: dict[str, int] | None = None):
-        self.terms, self.known = terms, {}
+def words_of(text: str) -> list[str]:
+    """The lower-cased runs of letters, in order."""
+    return _WORD.findall(text.lower())
 
-    def _of(self, word: str) -> tuple:
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        found = terms_of(word)
-        self.known[word] = out = tuple(found if self.terms is None else (self.terms[t] for t in found if t in self.terms))
-        return out
 
-    def __call__(self, text: str) -> Counter:
-        counts: Counter = Counter()
-        for word, n in Counter(_WORD.findall(text.lower())).items():
-            found = self.known.get(word)
-            for term in self._of(word) if found is None else found:
-                counts[term] += n
-        return counts
+def term_counts(text: str, terms: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The known words of a text, each once, and how often they occur."""
+    found = [(terms[w], n) for w, n in Counter(words_of(text)).items() if w in terms]
+    ids = np.fromiter((t for t, _ in found), np.int64, len(found))
+    return ids, np.fromiter((n for _, n in found), np.float64, len(found))
 
 
 def _sample(docs: DataFrame, labels: DataFrame, per_class: int, id_col: str, text_col: str) -> DataFrame:
@@ -209,47 +181,48 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, i
     kind = rows.schema["id"].dataType.simpleString()
 
     def distinct_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = TermReader()
         for part, texts in grouped(batches, "body"):
-            yield pa.RecordBatch.from_pydict({"label": part.column("label"), "terms": pa.array([list(read(t)) for t in texts], pa.list_(pa.string()))})
+            found = [sorted(set(words_of(x))) for x in texts]
+            yield pa.RecordBatch.from_pydict({"label": part.column("label"), "terms": pa.array(found, pa.list_(pa.string()))})
 
     totals = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     n = n1 + n0
     seen = rows.mapInArrow(distinct_terms, "label int, terms array<string>").select("label", F.explode("terms").alias("term"))
-    seen = seen.groupBy("term").agg(F.sum("label").alias("a"), F.count(F.lit(1)).alias("df"))
-    # Chi-square of the term's presence against the label.
-    apart = F.col("a") * F.lit(float(n0)) - (F.col("df") - F.col("a")) * F.lit(float(n1))
-    below = F.col("df") * (F.lit(float(n)) - F.col("df")) * F.lit(max(1.0, float(n1) * n0))
-    chi = F.lit(float(n)) * apart * apart / F.greatest(below, F.lit(1e-9))
-    best = seen.withColumn("chi", chi).filter((F.col("df") >= LEAST_DOCS) & (F.col("chi") >= LEAST_CHI) & (apart > 0))
-    chosen = best.orderBy(F.desc("chi"), "term").limit(TERMS).select("term", "df").collect()
-    terms = {r["term"]: k for k, r in enumerate(chosen)}
-    idf = np.array([np.log(1 + n / r["df"]) for r in chosen])
+    # The terms of at most 2 * per_class documents, so they may come to the driver.
+    seen = seen.groupBy("term").agg(F.sum("label").alias("a"), F.count(F.lit(1)).alias("df")).orderBy("term").toArrow()
+    terms = {t: k for k, t in enumerate(seen.column("term").to_pylist())}
+    a, df = (seen.column(c).to_numpy().astype(np.float64) for c in ("a", "df"))
+    spread = np.sqrt(np.maximum(df * (n - df) * n1 * n0, 1e-9))
+    phi = np.abs(a * n0 - (df - a) * n1) / spread
+    model = ToxicityModel(terms, np.log(1 + n / np.maximum(df, 1)) * phi, BlockMaxIndex.build([], np.zeros(0), [], len(terms)), np.zeros(3), (n1 + 0.5) / (n + 1))
+    if not terms:
+        return model
+    sent = docs.sparkSession.sparkContext.broadcast(terms)
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = TermReader(terms)
         for part, texts in grouped(batches, "body"):
+            found = [term_counts(t, sent.value) for t in texts]
             yield pa.RecordBatch.from_pydict(
-                {"id": part.column("id"), "label": part.column("label"), "counts": pa.array([list(read(t).items()) for t in texts], pa.map_(pa.int32(), pa.int32()))}
+                {
+                    "id": part.column("id"),
+                    "label": part.column("label"),
+                    "terms": pa.array([t.tobytes() for t, _ in found], pa.binary()),
+                    "counts": pa.array([c.tobytes() for _, c in found], pa.binary()),
+                }
             )
 
-    empty = BlockMaxIndex.build([], np.zeros(0), [], len(terms))
-    model = ToxicityModel(terms, idf, empty, np.zeros(3), (n1 + 0.5) / (n + 1))
-    if not terms:
-        return model
-    examples = rows.mapInArrow(counts, f"id {kind}, label int, counts map<int,int>").orderBy("id").collect()
-    blank = [r["label"] for r in examples if not r["counts"]]
-    full = [r for r in examples if r["counts"]]
-    vectors = [model.vector(r["counts"]) for r in full]
-    labels_of = np.array([r["label"] for r in full])
-    model.index = BlockMaxIndex.build([r["id"] for r in full], labels_of, vectors, len(terms))
+    examples = rows.mapInArrow(counts, f"id {kind}, label int, terms binary, counts binary").orderBy("id").collect()
+    vectors = [model.vector(np.frombuffer(r["terms"], np.int64), np.frombuffer(r["counts"])) for r in examples]
+    blank = [r["label"] for r, v in zip(examples, vectors, strict=True) if not len(v[0])]
+    labels_of = np.array([r["label"] for r in examples])
+    model.index = BlockMaxIndex.build([r["id"] for r in examples], labels_of, vectors, len(terms))
     model.alone = (sum(blank) + 0.5) / (len(blank) + 1)
     # Calibration: every example is judged without itself.
     place = {i: k for k, i in enumerate(model.index.ids)}
     x, target = [], []
-    for r, vector in zip(full, vectors, strict=True):
-        places, cosines = model.index.nearest(vector, NEIGHBOURS, place[r["id"]])
+    for r, (own, weights) in zip(examples, vectors, strict=True):
+        places, cosines = model.index.nearest(own, weights, NEIGHBOURS, place[r["id"]])
         if len(places):
             x.append(_features(model.index.labels[places], cosines))
             target.append(r["label"])
@@ -261,8 +234,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, i
 def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``docs``: id, held_out, score, predicted, evidence.
 
-    ``evidence`` is the neighbours, nearest first: (doc_id, label, cosine).  A text without any term
-    (null and empty ones too) has none, and the score of the blank examples.  Rows that repeat an id
+    ``evidence`` is the neighbours, nearest first: (doc_id, label, cosine), ids of any type.  A text without
+    any term of the examples (null and empty ones too) has none, and the score of the blank examples.  Rows that repeat an id
     are scored each; other columns are ignored.  The index that goes to the executors is bounded by the
     sample and the vocabulary.
     """
@@ -273,10 +246,9 @@ def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        read = TermReader(own.terms)
-        item = pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())])
         for part, texts in grouped(batches, "body"):
-            judged = [own.judge(own.vector(read(t))) for t in texts]
+            item = pa.struct([("doc_id", part.column("id").type), ("label", pa.int32()), ("cosine", pa.float64())])
+            judged = [own.judge(*own.vector(*term_counts(t, own.terms))) for t in texts]
             yield pa.RecordBatch.from_pydict(
                 {
                     "id": part.column("id"),
@@ -285,7 +257,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id
                 }
             )
 
-    out = rows.mapInArrow(run, f"id {kind}, score double, evidence array<struct<doc_id:bigint,label:int,cosine:double>>")
+    out = rows.mapInArrow(run, f"id {kind}, score double, evidence array<struct<doc_id:{kind},label:int,cosine:double>>")
     return out.select(
         F.col("id").alias(id_col),
         held_out(F.col("id")).alias("held_out"),
