@@ -1,9 +1,14 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads each run of bytes between white space in both directions, labels every byte position
-with language probabilities, and a document's probabilities are the mean over all its positions.  It
-is trained in numpy by backpropagation through time on a bounded sample of documents.  Because runs are
-read one by one and repeat a lot, each distinct run is labelled once and kept in a bounded cache.
+A text is read in long overlapping windows of bytes, in both directions: state runs on across words, and
+the first and last bytes of a window only warm it up, unless the text begins or ends there.  Every byte
+position gets language probabilities from both directions' states, and a document's probabilities are the
+mean over all its positions.  The network is trained in numpy by backpropagation through time on
+stretches of a bounded sample of documents.
+
+Gates are piecewise linear (values clipped to [0, 1], candidates to [-1, 1]):
+``z = clip(Az x + Bz h)``, ``r = clip(Ar x + Br h)``, ``c = clip(Ac x + r * Bc h)``, ``h' = h + z (c - h)``.
+The byte ``PAD`` behind a shorter window closes the gate ``z``, so the state passes it unchanged.
 """
 
 from __future__ import annotations
@@ -21,36 +26,28 @@ from docstrata.llm.pretoken import grouped
 
 HIDDEN = 16
 EMBED = 16
-#: Longer runs are read in parts of so many bytes.
-LONGEST = 32
-#: Documents whose whole texts the network may learn from, shared alike by all languages, and what each
-#: language has at least however many there are; they are the first of a language by a hash of the id.
+#: Bytes that a window labels, and bytes on either side that it reads as well.
+OWN, CONTEXT = 960, 32
+#: Windows that are read side by side.
+WIDTH = 512
+#: Documents the network may learn from, shared alike by all languages, and what each language has at least
+#: however many there are; they are the first of a language by a hash of the id.
 SAMPLE_DOCS, LEAST_DOCS = 1500, 50
-#: Runs that are drawn from those texts, languages alike and with replacement.
-SAMPLE_RUNS = 120_000
+#: Stretches of each such document, spread evenly over its whole text, and bytes in each.
+STRETCHES, STRETCH = 24, 64
 #: Bits of the hash by which ids are counted before they are chosen.
 HASH_BITS = 10
-STEPS, BATCH, RATE = 500, 192, 0.01
-#: Runs whose label sums a worker keeps; beyond, it forgets all and goes on.
-CACHE_RUNS = 300_000
+STEPS, BATCH, RATE = 400, 128, 0.01
+PAD = 256
 UNKNOWN = "und"
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
-def parts_of(run: bytes) -> list[bytes]:
-    return [run[i : i + LONGEST] for i in range(0, len(run), LONGEST)]
-
-
-def padded(runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes by time and run, and the mask of those that are there."""
-    sizes = np.fromiter(map(len, runs), np.int64, len(runs))
-    mask = np.arange(sizes.max())[:, None] < sizes
-    table = np.zeros(mask.shape[::-1], np.uint8)
-    table[mask.T] = np.frombuffer(b"".join(runs), np.uint8)
-    return table.T, mask
+def padded(windows: list[bytes]) -> np.ndarray:
+    """Bytes by time and window, with ``PAD`` behind shorter windows."""
+    table = np.full((len(windows), max(map(len, windows), default=0)), PAD, np.intp)
+    for row, w in zip(table, windows, strict=True):
+        row[: len(w)] = np.frombuffer(w, np.uint8)
+    return np.ascontiguousarray(table.T)
 
 
 @dataclass
@@ -63,87 +60,108 @@ class ByteNetwork:
     @classmethod
     def new(cls, languages: list[str], seed: int = 7) -> ByteNetwork:
         draw = np.random.default_rng(seed)
-        w = {"embed": draw.normal(0, 0.5, (256, EMBED))}
+        w = {"embed": draw.normal(0, 0.5, (PAD + 1, EMBED))}
         for d in "01":
-            w["in" + d] = draw.normal(0, EMBED**-0.5, (EMBED, 3 * HIDDEN))
-            w["rec" + d] = draw.normal(0, HIDDEN**-0.5, (HIDDEN, 3 * HIDDEN))
-            w["bias" + d] = np.zeros(3 * HIDDEN)
-        w["out"] = draw.normal(0, 0.1, (2 * HIDDEN, len(languages)))
+            w["in" + d] = draw.normal(0, EMBED**-0.5, (3 * HIDDEN, EMBED))
+            w["rec" + d] = draw.normal(0, HIDDEN**-0.5, (3 * HIDDEN, HIDDEN))
+            # Gates start half open, where they have a slope.
+            w["in" + d][: 2 * HIDDEN] /= 4
+            w["rec" + d][: 2 * HIDDEN] /= 4
+            w["bias" + d] = np.repeat([0.5, 0.0], [2 * HIDDEN, HIDDEN])
+        w["out"] = draw.normal(0, 0.1, (len(languages), 2 * HIDDEN))
         w["shift"] = np.zeros(len(languages))
         return cls(languages, {k: v.astype(np.float32) for k, v in w.items()})
 
-    def _read(self, table: np.ndarray, mask: np.ndarray, d: str, keep: list | None) -> np.ndarray:
-        """Hidden states by time; where the mask ends the state stays."""
-        w, h3 = self.weights, HIDDEN
-        drive = w["embed"] @ w["in" + d] + w["bias" + d]
-        rec = w["rec" + d]
-        steps = range(len(table)) if d == "0" else range(len(table) - 1, -1, -1)
-        h = np.zeros((table.shape[1], h3), np.float32)
-        out = np.zeros((*table.shape, h3), np.float32)
-        for t in steps:
-            x = drive[table[t]]
-            u = h @ rec
-            z = _sigmoid(x[:, :h3] + u[:, :h3])
-            r = _sigmoid(x[:, h3 : 2 * h3] + u[:, h3 : 2 * h3])
-            c = np.tanh(x[:, 2 * h3 :] + r * u[:, 2 * h3 :])
-            here = mask[t][:, None]
+    def _drive(self, d: str) -> np.ndarray:
+        """What each byte adds to the gates, by gate and byte."""
+        w = self.weights
+        drive = w["in" + d] @ w["embed"].T + w["bias" + d][:, None]
+        drive[:HIDDEN, PAD] = -1e6
+        return drive
+
+    def states(self, table: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
+        """Hidden states by time, unit and window."""
+        h3, drive, rec = HIDDEN, self._drive(d), self.weights["rec" + d]
+        steps, width = table.shape
+        h = np.zeros((h3, width), drive.dtype)
+        out = np.empty((steps, h3, width), drive.dtype)
+        x, u, c = np.empty((3 * h3, width), drive.dtype), np.empty((3 * h3, width), drive.dtype), np.empty_like(h)
+        for t in range(steps) if d == "0" else range(steps - 1, -1, -1):
+            np.take(drive, table[t], axis=1, out=x, mode="clip")
+            np.matmul(rec, h, out=u)
+            gates = x[: 2 * h3]
+            gates += u[: 2 * h3]
+            np.clip(gates, 0, 1, out=gates)
+            np.multiply(gates[h3:], u[2 * h3 :], out=c)
+            c += x[2 * h3 :]
+            np.clip(c, -1, 1, out=c)
             if keep is not None:
-                keep.append((t, h, z, r, c, u[:, 2 * h3 :], here))
-            h = np.where(here, (1 - z) * h + z * c, h)
+                keep.append((t, h.copy(), gates.copy(), c.copy(), u[2 * h3 :].copy()))
+            c -= h
+            c *= gates[:h3]
+            h += c
             out[t] = h
         return out
 
-    def label(self, table: np.ndarray, mask: np.ndarray, keep: dict | None = None) -> np.ndarray:
-        """Language probabilities of every position."""
-        sides = [self._read(table, mask, d, None if keep is None else keep.setdefault(d, [])) for d in "01"]
-        both = np.concatenate(sides, axis=2)
-        logits = both @ self.weights["out"] + self.weights["shift"]
-        e = np.exp(logits - logits.max(axis=2, keepdims=True))
-        if keep is not None:
-            keep["both"] = both
-        return e / e.sum(axis=2, keepdims=True)
-
-    def gradients(self, table: np.ndarray, mask: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean cross-entropy of all positions against their run's language, and its gradients through time."""
-        keep: dict = {}
-        p = self.label(table, mask, keep)
-        n, runs = mask.sum(), np.arange(table.shape[1])
-        loss = -(np.log(p[:, runs, target] + 1e-9) * mask).sum() / n
-        e = p.copy()
-        e[:, runs, target] -= 1
-        e *= mask[:, :, None] / n
+    def _label(self, forward: np.ndarray, backward: np.ndarray) -> np.ndarray:
+        w = self.weights
+        logits = w["out"][:, :HIDDEN] @ forward
+        logits += w["out"][:, HIDDEN:] @ backward
+        logits += w["shift"][:, None]
+        logits -= logits.max(axis=1, keepdims=True)
+        np.exp(logits, out=logits)
+        logits /= logits.sum(axis=1, keepdims=True)
+        return logits
+
+    def label(self, table: np.ndarray) -> np.ndarray:
+        """Language probabilities by time, language and window."""
+        return self._label(self.states(table, "0"), self.states(table, "1"))
+
+    def gradients(self, table: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean cross-entropy of all positions against their window's language, and its gradients through time."""
+        keeps: dict[str, list] = {"0": [], "1": []}
+        sides = [self.states(table, d, keeps[d]) for d in "01"]
+        p = self._label(*sides)
+        mask, windows = table != PAD, np.arange(table.shape[1])
+        n = max(1, mask.sum())
+        loss = -(np.log(p[:, target, windows] + 1e-9) * mask).sum() / n
+        e = p
+        e[:, target, windows] -= 1
+        e *= mask[:, None, :] / n
         w, h3 = self.weights, HIDDEN
         g = {k: np.zeros_like(v) for k, v in w.items()}
-        g["out"] = np.einsum("tbh,tbl->hl", keep["both"], e, optimize=True)
-        g["shift"] = e.sum(axis=(0, 1))
-        up = e @ w["out"].T
+        g["shift"] = e.sum(axis=(0, 2))
         for k, d in enumerate("01"):
-            own, back = up[:, :, k * h3 : (k + 1) * h3], np.zeros((table.shape[1], h3), np.float32)
-            by_byte = np.zeros((256, 3 * h3), np.float32)
-            for t, h, z, r, c, uc, here in reversed(keep[d]):
+            half = slice(k * h3, (k + 1) * h3)
+            g["out"][:, half] = np.einsum("tlb,thb->lh", e, sides[k], optimize=True)
+            own = w["out"][:, half].T @ e
+            back = np.zeros((h3, table.shape[1]), own.dtype)
+            by_byte = np.zeros((PAD + 1, 3 * h3), own.dtype)
+            for t, h, gates, c, uc in reversed(keeps[d]):
+                z, r = gates[:h3], gates[h3:]
                 dh = own[t] + back
-                live = np.where(here, dh, 0)
-                dc = live * z * (1 - c * c)
-                dz = live * (c - h) * z * (1 - z)
-                dr = dc * uc * r * (1 - r)
-                dx = np.concatenate([dz, dr, dc], axis=1)
-                du = np.concatenate([dz, dr, dc * r], axis=1)
-                g["rec" + d] += h.T @ du
-                np.add.at(by_byte, table[t], dx)
-                back = np.where(here, dh * (1 - z), dh) + du @ w["rec" + d].T
+                dc = dh * z * (np.abs(c) < 1)
+                dz = dh * (c - h) * ((z > 0) & (z < 1))
+                dr = dc * uc * ((r > 0) & (r < 1))
+                np.add.at(by_byte, table[t], np.concatenate([dz, dr, dc]).T)
+                du = np.concatenate([dz, dr, dc * r])
+                g["rec" + d] += du @ h.T
+                back = dh * (1 - z) + w["rec" + d].T @ du
             g["bias" + d] = by_byte.sum(axis=0)
-            g["in" + d] = w["embed"].T @ by_byte
-            g["embed"] += by_byte @ w["in" + d].T
+            g["in" + d] = by_byte.T @ w["embed"]
+            g["embed"] += by_byte @ w["in" + d]
         return float(loss), g
 
-    def fit(self, runs: list[bytes], target: np.ndarray, steps: int = STEPS, batch: int = BATCH, rate: float = RATE, seed: int = 11) -> ByteNetwork:
-        """Adam on batches of runs."""
+    def fit(self, windows: list[bytes], target: np.ndarray, steps: int = STEPS, batch: int = BATCH, rate: float = RATE, seed: int = 11) -> ByteNetwork:
+        """Adam on batches of windows, languages drawn alike however often they occur."""
         draw = np.random.default_rng(seed)
+        share = 1 / np.bincount(target)[target]
+        share /= share.sum()
         first = {k: np.zeros_like(v) for k, v in self.weights.items()}
         second = {k: np.zeros_like(v) for k, v in self.weights.items()}
         for step in range(1, steps + 1):
-            pick = draw.integers(0, len(runs), batch)
-            _, g = self.gradients(*padded([runs[i] for i in pick]), target[pick])
+            pick = draw.choice(len(windows), batch, p=share)
+            _, g = self.gradients(padded([windows[i] for i in pick]), target[pick])
             size = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
             pace = rate * min(1.0, 2 * (1 - step / (steps + 1))) * min(1.0, 1.0 / max(size, 1e-9))
             for k, x in g.items():
@@ -153,64 +171,42 @@ class ByteNetwork:
                 self.weights[k] = (self.weights[k] - pace * fix * first[k] / (np.sqrt(second[k]) + 1e-8)).astype(np.float32)
         return self
 
-    def run_sums(self, runs: list[bytes], block: int = 2048) -> np.ndarray:
-        """For each run, the sum of its positions' probabilities and, last, the number of positions."""
-        out = np.zeros((len(runs), len(self.languages) + 1), np.float64)
-        whole = [(k, part) for k, run in enumerate(runs) for part in parts_of(run)]
-        whole.sort(key=lambda x: len(x[1]))
-        for at in range(0, len(whole), block):
-            owner = np.array([k for k, _ in whole[at : at + block]])
-            table, mask = padded([part for _, part in whole[at : at + block]])
-            np.add.at(out[:, :-1], owner, (self.label(table, mask) * mask[:, :, None]).sum(axis=0))
-            np.add.at(out[:, -1], owner, mask.sum(axis=0))
-        return out
-
-
-def label_positions(network: ByteNetwork, text: str) -> list[tuple[bytes, list[str]]]:
-    """Each run of the text with the most likely language of each of its bytes."""
-    out = []
-    for run in text.encode().split():
-        labels = []
-        for part in parts_of(run):
-            labels += [network.languages[k] for k in network.label(*padded([part]))[:, 0].argmax(axis=1)]
-        out.append((run, labels))
-    return out
-
-
-class RunCache:
-    """Label sums of runs, each computed once while it is remembered."""
-
-    def __init__(self, network: ByteNetwork, most: int = CACHE_RUNS):
-        self.network, self.most, self.rows = network, most, {}
-        self.sums = np.zeros((0, len(network.languages) + 1))
-
-    def __call__(self, texts: list[str]) -> np.ndarray:
-        """Mean position probabilities of each text; zeros for a text without runs."""
-        split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        if len(self.rows) > self.most:
-            self.rows.clear()
-            self.sums = self.sums[:0]
-        new = {run for runs in split for run in runs if run not in self.rows}
-        if new:
-            fresh = sorted(new)
-            for k, run in enumerate(fresh, len(self.rows)):
-                self.rows[run] = k
-            self.sums = np.concatenate([self.sums, self.network.run_sums(fresh)])
-        out = np.zeros((len(texts), self.sums.shape[1]))
-        sizes = np.array([len(runs) for runs in split], np.int64)
-        flat = np.fromiter((self.rows[run] for runs in split for run in runs), np.int64, int(sizes.sum()))
-        full = np.flatnonzero(sizes)
-        if len(full):
-            starts = (np.cumsum(sizes) - sizes)[full]
-            out[full] = np.add.reduceat(self.sums[flat], starts, axis=0)
-        return out[:, :-1] / np.maximum(out[:, -1:], 1)
+    def pooled(self, texts: list[bytes]) -> np.ndarray:
+        """The mean of each text's position probabilities; zeros for an empty text."""
+        out = np.zeros((len(texts), len(self.languages)))
+        windows = []  # length, text, begin, first and last of its own bytes
+        for k, text in enumerate(texts):
+            for at in range(0, len(text), OWN):
+                begin, end = max(0, at - CONTEXT), min(len(text), at + OWN + CONTEXT)
+                windows.append((end - begin, k, begin, at - begin, min(len(text), at + OWN) - begin))
+        windows.sort()
+        for a in range(0, len(windows), WIDTH):
+            part = windows[a : a + WIDTH]
+            table = padded([texts[k][begin : begin + size] for size, k, begin, _, _ in part])
+            own = np.zeros((len(part), len(table)), np.float32)
+            for row, (_, _, _, low, high) in zip(own, part, strict=True):
+                row[low:high] = 1
+            own = np.ascontiguousarray(own.T)
+            forward, backward = self.states(table, "0"), self.states(table, "1")
+            total = np.zeros((len(self.languages), len(part)))
+            for t in range(0, len(table), 32):
+                p = self._label(forward[t : t + 32], backward[t : t + 32])
+                total += np.einsum("tlb,tb->lb", p, own[t : t + 32])
+            np.add.at(out, np.array([k for _, k, _, _, _ in part]), total.T)
+        return out / np.maximum(1, np.fromiter(map(len, texts), np.int64, len(texts)))[:, None]
+
+
+def label_positions(network: ByteNetwork, text: str) -> list[str]:
+    """The most likely language of each byte of a text, read as one window."""
+    best = network.label(padded([text.encode()]))[:, :, 0].argmax(axis=1) if text else []
+    return [network.languages[k] for k in best]
 
 
 def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most: int) -> DataFrame:
     """(lang, _id, body) to learn from: for each language its first ids by hash, all if it has few.
 
     A language has ``most`` by the number of languages, ``LEAST_DOCS`` at least.  Held-out rows, null labels
-    and texts without a run are left out; of rows that repeat an id and a label the first text in order
+    and blank texts are left out; of rows that repeat an id and a label the first text in order
     counts, and rows of one label without an id count as one.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("body"))
@@ -229,29 +225,35 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, mo
     return rows.join(F.broadcast(chosen), same, "left_semi").groupBy("lang", "_id").agg(F.min("body").alias("body"))
 
 
-def training_runs(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most: int) -> tuple[list[str], list[bytes], np.ndarray]:
-    """Languages, runs and their languages from the whole texts of ``training_rows``."""
-    rows = training_rows(docs, id_col, text_col, lang_col, most).orderBy("lang", F.xxhash64("_id"), "_id").collect()
-    languages = sorted({r["lang"] for r in rows})
-    runs, target = [], []
-    for r in rows:
-        for run in r["body"].encode("utf-8", "surrogatepass").split():
-            for part in parts_of(run):
-                runs.append(part)
-                target.append(languages.index(r["lang"]))
-    return languages, runs, np.array(target, np.int64)
+def training_windows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most: int) -> tuple[list[str], list[bytes], np.ndarray]:
+    """Languages, stretches and their languages from the texts of ``training_rows``.
+
+    Executors cut the stretches, so ``STRETCHES * STRETCH`` bytes of a document reach the driver at most.
+    """
+    rows = training_rows(docs, id_col, text_col, lang_col, most)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in grouped(batches, "body"):
+            cut = []
+            for text in texts:
+                data = text.encode("utf-8", "surrogatepass")
+                # Every stretch of a short text, evenly spread ones of a long text.
+                places = range(0, len(data), max(STRETCH, -(-len(data) // STRETCHES)))
+                cut.append([data[a : a + STRETCH] for a in places])
+            yield pa.RecordBatch.from_pydict({"lang": part.column("lang"), "cut": pa.array(cut, pa.list_(pa.binary()))})
+
+    cut = rows.select("lang", "body").mapInArrow(run, "lang string, cut array<binary>").select("lang", F.explode("cut").alias("bytes"))
+    found = sorted((r["lang"], bytes(r["bytes"])) for r in cut.collect())
+    languages = sorted({lang for lang, _ in found})
+    number = {lang: k for k, lang in enumerate(languages)}
+    return languages, [b for _, b in found], np.array([number[lang] for lang, _ in found], np.int64)
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = SAMPLE_DOCS) -> ByteNetwork | None:
-    """A network from ``SAMPLE_RUNS`` runs of a sample of each language's rows that are not held out; None without any."""
-    languages, runs, target = training_runs(docs, id_col, text_col, lang_col, most)
-    if not runs:
-        return None
-    # Languages are drawn alike, however often they occur.
-    share = np.bincount(target, minlength=len(languages))[target]
-    draw = np.random.default_rng(5)
-    pick = draw.choice(len(runs), min(len(runs), SAMPLE_RUNS), p=(1 / share) / (1 / share).sum())
-    return ByteNetwork.new(languages).fit([runs[i] for i in pick], target[pick])
+    """A network from a sample of each language's rows that are not held out; None without any."""
+    ship_package(docs.sparkSession)
+    languages, windows, target = training_windows(docs, id_col, text_col, lang_col, most)
+    return ByteNetwork.new(languages).fit(windows, target) if windows else None
 
 
 def has_letter(text: str) -> bool:
@@ -286,10 +288,10 @@ def detect_languages(
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "body") + ", lang_pred string, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = RunCache(network) if network else None
         for part, texts in grouped(batches, "body"):
-            shares = cache(texts) if cache else np.zeros((len(texts), 1))
-            best, known = shares.argmax(axis=1), [bool(cache) and has_letter(t) for t in texts]
+            known = [network is not None and has_letter(t) for t in texts]
+            shares = network.pooled([t.encode("utf-8", "surrogatepass") if ok else b"" for t, ok in zip(texts, known, strict=True)]) if network else np.zeros((len(texts), 1))
+            best = shares.argmax(axis=1)
             yield pa.RecordBatch.from_pydict(
                 {
                     **{c: part.column(c) for c in part.schema.names if c != "body"},
