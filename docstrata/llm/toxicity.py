@@ -96,6 +96,10 @@ class BlockMaxIndex:
             if without is not None:
                 found = found[found != without]
             places, cosines = np.concatenate([places, found]), np.concatenate([cosines, score[found]])
+            if len(cosines) > k:
+                # Only those that reach the k-th cosine are put in order.
+                near = np.flatnonzero(cosines >= np.partition(cosines, -k)[-k])
+                places, cosines = places[near], cosines[near]
             best = np.lexsort((places, -cosines))[:k]
             places, cosines = places[best], cosines[best]
         return places, cosines
