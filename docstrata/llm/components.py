@@ -17,8 +17,9 @@ from docstrata.llm.common import stored
 def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """``edges(a, b)`` to ``(node, component)`` for every node with an edge; component is its smallest node.
 
-    Loops, repeated and reversed edges change nothing; edges with a null end are ignored.  A hub's
-    neighbours are reduced before they meet (partial minima), so a star with most nodes is no hot spot.
+    Loops, repeated and reversed edges change nothing; edges with a null end are ignored.  Labels
+    and edges are stored tables that meet in plain joins, whose hot keys (a hub with most edges) Spark's
+    adaptive execution splits; the minima behind them are taken before they travel.
     """
     edges = edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()

@@ -5,9 +5,10 @@ place; in the second half round ``i`` fills its own place, so every place is fil
 as many rounds.  A place keeps the smallest (round, hash).  Two sketches agree in a place with the
 probability of their sets' Jaccard similarity, concentrated as if places were independent.
 
-Documents whose sketches agree in all rows of a band share a bucket, and buckets that share documents
-form a family.  Families are compared in blocks on the full shingle sets, which confirms or refutes
-every link inside; what the links connect is a component.
+Documents whose sketches agree in all rows of a band share a bucket.  The members of a bucket are first
+compared with one of them, on the full shingle sets; what these confirmed links connect is one class.
+Buckets that still hold more than one class are compared whole, in blocks, so that no link is lost where
+the first comparison fails.  What all confirmed links connect is a component.
 """
 
 from __future__ import annotations
@@ -26,10 +27,11 @@ from docstrata.llm.components import connected_components
 from docstrata.llm.pretoken import grouped
 
 WORDS = 5
-#: 32 bands of 4 rows: a pair of similarity 0.8 is missed with probability 5e-8, one of 0.85 with 1e-10.
-BANDS, ROWS = 32, 4
+#: 32 bands of 6 rows: a pair of similarity 0.8 is missed with probability 6e-5, one of 0.85 with 3e-7, and one of
+#: 0.5 is a candidate with probability 0.4, one of 0.3 with 0.02.
+BANDS, ROWS = 32, 6
 COORDINATES = BANDS * ROWS
-#: Nodes of a family that are compared in one place with each other or with as many others.
+#: Members of a bucket that are compared in one place, with one of them or with each other or as many others.
 BLOCK = 256
 #: Columns of shingles that are counted at a time.
 COLUMNS = 4096
@@ -177,7 +179,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component is what links reach; its id is its smallest identifier.  Texts without words (null,
     empty, white space) are linked with nothing.  Rows that share an id with different texts are linked
     each by its own text; a null id takes part through its text only: it gets the component of equal or
-    linked texts, or null.  Extra columns are ignored; an empty table gives an empty result.
+    linked texts, or null where none of them has an id.  Extra columns are ignored; an empty table gives an empty result.
     """
     judged = _judged(docs, id_col, text_col, percent, words)
     return judged.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -188,84 +190,134 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, percent: int, words: in
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("body"))
     drawn = stored(sketch_documents(rows, words), "sketches")
-    # A node is a shingle set; a text of its smallest id stands for it.
-    nodes = drawn.filter("set_key IS NOT NULL AND id IS NOT NULL").groupBy(F.col("set_key").alias("node")).agg(
-        F.min("id").alias("id"), F.min_by("text_hash", "id").alias("text_hash"), F.min_by("bands", "id").alias("bands")
-    )
-    nodes = stored(nodes, "nodes")
+    # A node is a shingle set; a text of its smallest id stands for it (of a null id where it has no other).
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("at")
+    nodes = drawn.filter("set_key IS NOT NULL").groupBy(F.col("set_key").alias("node")).agg(first, F.min("bands").alias("bands"))
+    nodes = stored(nodes.select("node", "at.id", "at.text_hash", "bands"), "nodes")
+    where = nodes.select("node", "id", "text_hash")
     seats = nodes.select(F.explode("bands").alias("band"), "node")
-    shared = seats.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
-    near = seats.join(shared, "band").filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
-    families = connected_components(near)
-    links = connected_components(_links(rows, nodes, families, percent, words))
+    shared = seats.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").drop("high")
+    seats = stored(seats.join(stored(shared, "buckets"), "band"), "seats")
+    near = stored(seats.filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct(), "stars")
+    linked = _star_links(rows, where, near, percent, words)
+    classes = stored(connected_components(linked), "classes")
+    linked = linked.unionByName(_bucket_links(rows, where, _open_buckets(seats, classes), percent, words))
+    links = connected_components(linked)
     # A component is named by the smallest id of its nodes.
-    least = links.join(nodes.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("component_id"))
+    least = links.join(where, "node").groupBy("component").agg(F.min("id").alias("component_id"))
     linked = links.join(least, "component").select("node", "component_id")
-    components = nodes.join(linked, "node", "left").select(F.col("node").alias("set_key"), F.coalesce("component_id", "id").alias("component_id"))
+    components = where.join(linked, "node", "left").select(F.col("node").alias("set_key"), F.coalesce("component_id", "id").alias("component_id"))
     out = drawn.select("id", "text_hash", "n_shingles", "set_key").join(components, "set_key", "left")
     return out.withColumn("component_id", F.when(F.col("set_key").isNull(), F.col("id")).otherwise(F.col("component_id"))).drop("set_key")
 
 
-def _links(rows: DataFrame, nodes: DataFrame, families: DataFrame, percent: int, words: int) -> DataFrame:
-    """``families(node, component)`` to confirmed links (a, b) that connect what all links connect.
+def _open_buckets(seats: DataFrame, classes: DataFrame) -> DataFrame:
+    """(family, node) of the buckets that hold more than one class; of buckets with equal members one."""
+    of = classes.select("node", F.col("component").alias("class"))
+    classed = seats.join(of, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    members = classed.groupBy("band").agg(
+        F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("m"), F.min("node").alias("first"), F.bit_xor(F.xxhash64("node")).alias("mix")
+    )
+    open_buckets = members.filter("low <> high").groupBy("m", "first", "mix").agg(F.min("band").alias("band"))
+    open_buckets = stored(open_buckets.select("band", "m"), "open")
+    return stored(seats.select("band", "node").join(open_buckets, "band").select(F.col("band").alias("family"), "node", "m"), "families")
+
+
+def _sets_in_places(rows: DataFrame, where: DataFrame, places: DataFrame, words: int) -> DataFrame:
+    """``places(node, family, i, j, side)`` with each node's shingle set, dealt and in order.
 
-    A family is dealt into blocks of about ``BLOCK`` nodes, and every pair of its blocks is compared in
-    one place, so a node is sent once for each block of its family and no family meets in one task.
+    Texts are fetched by id and hash, once for all places of a node; the plan is the same at every size.
     """
-    sized = families.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
-    seats = families.join(sized, "component").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    seats = seats.select("node", F.col("component").alias("family"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    seats = seats.join(nodes.select("node", "id", "text_hash"), "node")
-    # One plan at every size: texts are dealt by id and hash, however few families there are.
-    own = rows.filter("id IS NOT NULL").join(seats.hint("merge"), ["id", "text_hash"]).select("node", "body", "family", "blocks", "block")
+    per_node = places.groupBy("node").agg(F.collect_list(F.struct("family", "i", "j", "side")).alias("places"))
+    named = per_node.join(where, "node").select("node", F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), "places").hint("merge")
+    own = rows.join(named, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("node", "body", "places")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in grouped(batches, "body"):
             sets = [shingles(t, words) for t in texts]
             # Another text of the id with the same hash is not the node's.
-            own = [set_key(s) == node for s, node in zip(sets, part.column("node").to_pylist(), strict=True)]
-            blocks, block = part.column("blocks").to_pylist(), part.column("block").to_pylist()
-            for at in range(max(blocks)):
-                who = [k for k, n in enumerate(blocks) if own[k] and at < n]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "family": part.column("family").take(pa.array(who, pa.int64())),
-                        "i": pa.array([min(at, block[k]) for k in who], pa.int32()),
-                        "j": pa.array([max(at, block[k]) for k in who], pa.int32()),
-                        "node": part.column("node").take(pa.array(who, pa.int64())),
-                        "block": pa.array([block[k] for k in who], pa.int32()),
-                        "shingles": pa.array([sets[k].tobytes() for k in who], pa.binary()),
-                    }
-                )
-
-    dealt = own.mapInArrow(deal, "family binary, i int, j int, node binary, block int, shingles binary")
-    dealt = dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "node", "shingles")
+            mine = [set_key(s) == node for s, node in zip(sets, part.column("node").to_pylist(), strict=True)]
+            for k in range(part.num_rows):
+                if not mine[k]:
+                    continue
+                units = part.column("places").slice(k, 1).flatten()
+                for at in range(0, len(units), BLOCK):
+                    some = units.slice(at, BLOCK)
+                    n = len(some)
+                    same = pa.array(np.zeros(n, np.int64))
+                    columns = {c: some.field(c) for c in ("family", "i", "j", "side")}
+                    columns["node"] = part.column("node").slice(k, 1).take(same)
+                    columns["shingles"] = pa.array([sets[k].tobytes()] * n, pa.binary())
+                    yield pa.RecordBatch.from_pydict(columns)
+
+    kind = places.schema["family"].dataType.simpleString()
+    dealt = own.mapInArrow(deal, f"family {kind}, i int, j int, side int, node binary, shingles binary")
+    return dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "side", "node")
+
+
+def _star_links(rows: DataFrame, where: DataFrame, near: DataFrame, percent: int, words: int) -> DataFrame:
+    """The links among ``near(a, b)``: every ``b`` meets its ``a`` in as many places as they need."""
+    sized = stored(near.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("cells")), "centres")
+    zero = F.lit(0)
+    arms = near.join(sized, "b").select(F.col("a").alias("node"), F.col("b").alias("family"), F.pmod(F.xxhash64("a"), "cells").cast("int").alias("i"), zero.alias("j"), F.lit(1).alias("side"))
+    centres = sized.select(F.col("b").alias("node"), F.col("b").alias("family"), F.explode(F.sequence(zero, F.col("cells") - 1)).alias("i"), zero.alias("j"), zero.alias("side"))
+    placed = _sets_in_places(rows, where, arms.unionByName(centres), words)
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, centre = None, None
+        for batch in batches:
+            found: list[tuple[bytes, bytes]] = []
+            keys = zip(*(batch.column(c).to_pylist() for c in ("family", "i", "side", "node")), strict=True)
+            for (family, i, side, node), data in zip(keys, batch.column("shingles"), strict=True):
+                own = np.frombuffer(data.as_buffer(), np.uint64)
+                if not side:
+                    now, centre = (family, i), own
+                elif (family, i) == now:
+                    both = len(np.intersect1d(own, centre, assume_unique=True))
+                    if 100 * both >= percent * (len(own) + len(centre) - both):
+                        found.append((node, family))
+            yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
+
+    return stored(placed.mapInArrow(confirm, "a binary, b binary"), "links")
+
+
+def _bucket_links(rows: DataFrame, where: DataFrame, families: DataFrame, percent: int, words: int) -> DataFrame:
+    """``families(family, node, m)`` to confirmed links (a, b) that connect what all links inside connect.
+
+    A family of ``m`` nodes is dealt into blocks of about ``BLOCK``, and every pair of its blocks is compared
+    in one place, so a node is sent once for each block of its family and no family meets in one task.
+    """
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    seats = families.select("family", "node", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    seats = seats.select("family", "node", "block", other)
+    i, j = F.least("block", "other"), F.greatest("block", "other")
+    side = ((F.col("block") == j) & (i != j)).cast("int")
+    placed = _sets_in_places(rows, where, seats.select("node", "family", i.alias("i"), j.alias("j"), side.alias("side")), words)
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, nodes, sides, sets = None, [], [], []
 
-        def links(kind_of: pa.DataType) -> pa.RecordBatch:
+        def links() -> pa.RecordBatch:
             found = _forest(len(nodes), similar_pairs(sets, np.array(sides), percent))
-            return pa.RecordBatch.from_arrays([pa.array([nodes[k] for k in end], kind_of) for end in ([a for a, _ in found], [b for _, b in found])], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([nodes[k] for k in end], pa.binary()) for end in ([a for a, _ in found], [b for _, b in found])], ["a", "b"])
 
-        node_type = None
         for batch in batches:
-            node_type = batch.column("node").type
             keys = zip(*(batch.column(c).to_pylist() for c in ("family", "i", "j")), strict=True)
-            for key, node, block, data in zip(keys, batch.column("node").to_pylist(), batch.column("block").to_pylist(), batch.column("shingles"), strict=True):
+            for key, node, side, data in zip(keys, batch.column("node").to_pylist(), batch.column("side").to_pylist(), batch.column("shingles"), strict=True):
                 if key != now:
                     if len(nodes) > 1:
-                        yield links(node_type)
+                        yield links()
                     now, nodes, sides, sets = key, [], [], []
                 # Rows that repeat an id and a text have one place among the nodes.
                 if not nodes or nodes[-1] != node:
                     nodes.append(node)
-                    sides.append(block == key[2] and key[1] != key[2])
+                    sides.append(bool(side))
                     sets.append(np.frombuffer(data.as_buffer(), np.uint64))
         if len(nodes) > 1:
-            yield links(node_type)
+            yield links()
 
-    return stored(dealt.mapInArrow(confirm, "a binary, b binary"), "links")
+    return stored(placed.mapInArrow(confirm, "a binary, b binary"), "links")
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
