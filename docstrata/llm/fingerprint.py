@@ -17,6 +17,8 @@ from docstrata.llm.common import whole_text
 WORDS = 5
 #: One shingle hash in eight is kept.
 SCALE = 8
+#: Ranges of rows for each shuffle partition.
+RANGES = 4
 _FIRST = -(2**63)
 
 
@@ -38,26 +40,20 @@ def _hashes(w: Column, words: int) -> Column:
 
 
 def sketch(text: Column, words: int = WORDS, scale: int = SCALE) -> Column:
-    """The sorted retained hashes.  Where none is under the threshold the smallest stays, so that only
-    texts without words have an empty sketch; ``merge`` drops such a stand-in again."""
+    """The sorted hashes below the threshold; none where a text has no such shingle."""
     limit = _FIRST + (2**64 // scale)
-    hashes = F.transform(F.array(shingle_hashes(text, words)), lambda h: F.struct(F.filter(h, lambda x: x < limit).alias("low"), F.array_min(h).alias("least")))[0]
-    pick = lambda s: F.when(F.size(s["low"]) > 0, F.array_sort(F.array_distinct(s["low"]))).when(s["least"].isNotNull(), F.array(s["least"])).otherwise(F.array().cast("array<bigint>"))
-    return F.transform(F.array(hashes), pick)[0]
+    return F.array_sort(F.array_distinct(F.filter(shingle_hashes(text, words), lambda x: x < limit)))
 
 
-def merge(a: Column, b: Column, scale: int = SCALE) -> Column:
+def merge(a: Column, b: Column) -> Column:
     """The sketch of two texts together (without the shingles that span their border)."""
-    limit = _FIRST + (2**64 // scale)
-    both = F.array_sort(F.array_union(a, b))
-    low = F.filter(both, lambda x: x < limit)
-    return F.when(F.size(low) > 0, low).otherwise(F.slice(both, 1, 1))
+    return F.array_sort(F.array_union(a, b))
 
 
-def resemblance(a: Column, b: Column) -> Column:
-    """Estimated Jaccard similarity; two empty sketches resemble each other fully."""
+def resemblance(a: Column, b: Column, same: Column) -> Column:
+    """Estimated Jaccard similarity; of two empty sketches 1 if the texts are the ``same``, else 0."""
     common, both = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
-    return F.when(both == 0, F.lit(1.0)).otherwise(common / F.greatest(both, F.lit(1)))
+    return F.when(both == 0, same.cast("double")).otherwise(common / F.greatest(both, F.lit(1)))
 
 
 def containment(a: Column, b: Column) -> Column:
@@ -71,18 +67,18 @@ def as_text(hashes: Column) -> Column:
     return F.array_join(F.transform(hashes, lambda h: F.lpad(F.hex(h), 16, "0")), "")
 
 
-def _cut_points(keys: DataFrame, parts: int) -> list[int]:
-    """Real keys that cut the ids into about equal ranges: the least key of each range, ``parts`` at most."""
+def _cut_points(keys: DataFrame, parts: int) -> list:
+    """Real keys that cut the rows into about equal ranges: the least key of each range, ``parts`` at most."""
     ranged = keys.repartitionByRange(parts, "key")
-    rows = ranged.groupBy(F.spark_partition_id().alias("part")).agg(F.min("key").alias("low")).collect()
-    return sorted({r["low"] for r in rows})
+    rows = ranged.groupBy(F.spark_partition_id().alias("part")).agg(F.min("key").alias("low")).orderBy("low").collect()
+    return [r["low"] for r in rows]
 
 
-def _bucket(key: Column, cuts: list[int]) -> Column:
+def _bucket(key: Column, cuts: list[Column]) -> Column:
     """The number of the range that holds ``key``, by two short scans instead of one long one."""
     step = max(1, math.isqrt(len(cuts)))
-    fine = F.array(*[F.array(*[F.lit(x) for x in cuts[i : i + step]]) for i in range(0, len(cuts), step)])
-    coarse = F.array(*[F.lit(x) for x in cuts[::step]])
+    fine = F.array(*[F.array(*cuts[i : i + step]) for i in range(0, len(cuts), step)])
+    coarse = F.array(*cuts[::step])
     at = F.size(F.filter(coarse, lambda x: x <= key)) - 1
     return at * step + F.size(F.filter(F.get(fine, at), lambda x: x <= key)) - 1
 
@@ -90,31 +86,36 @@ def _bucket(key: Column, cuts: list[int]) -> Column:
 def with_next(docs: DataFrame, id_col: str, columns: list[str], tie: str) -> DataFrame:
     """Adds ``next_<column>`` of the next row by id; the last row's next is the first row.
 
-    Rows are dealt out by ranges of ids.  The first row of each range is also sent to the range before
-    it, so a window inside the ranges sees every neighbour and no task sees all rows.  Rows that share
-    an id follow each other by ``tie``; null ids come first.
+    Rows are dealt out by ranges of id and a hash of ``tie``, so neither ids of any type nor very many rows
+    of one id (or without one) end in one task.  The first row of each range is also sent to the range
+    before it, so a window inside the ranges sees every neighbour.  Rows that share an id follow each other
+    by that hash; null ids come first.
     """
     spark = docs.sparkSession
-    rows = docs.withColumn("key", F.coalesce(F.col(id_col).cast("long"), F.lit(_FIRST)))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = _cut_points(rows.select("key"), parts)
-    if not cuts:
+    rows = docs.withColumn("key", F.struct(F.col(id_col).alias("id"), F.xxhash64(tie).alias("tie")))
+    # More ranges than tasks, so that ranges of one task even out.
+    low = _cut_points(rows.select("key"), RANGES * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if not low:
         return rows.select(*docs.columns, *[F.col(c).alias(f"next_{c}") for c in columns]).limit(0)
+    kind = rows.schema["key"].dataType
+    cuts = [F.struct(F.lit(x["id"]).cast(kind["id"].dataType).alias("id"), F.lit(x["tie"]).cast("long").alias("tie")) for x in low]
     bucket = _bucket(F.col("key"), cuts)
-    before = F.when(F.col("key") == cuts[0], F.lit(len(cuts) - 1)).otherwise(bucket - 1)
-    guests = F.when(F.col("key").isin(cuts), F.array(F.struct(bucket.alias("b"), F.lit(0).alias("guest")), F.struct(before.alias("b"), F.lit(1).alias("guest"))))
-    seats = F.coalesce(guests, F.array(F.struct(bucket.alias("b"), F.lit(0).alias("guest"))))
+    first = F.exists(F.array(*cuts), lambda x: x == F.col("key"))
+    rows = rows.withColumn("_at", bucket).withColumn("_first", first)
+    before = F.when(F.col("_at") == 0, F.lit(len(cuts) - 1)).otherwise(F.col("_at") - 1)
+    seat = lambda at, guest: F.struct(at.alias("b"), F.lit(guest).alias("guest"))
+    seats = F.when(F.col("_first"), F.array(seat(F.col("_at"), 0), seat(before, 1))).otherwise(F.array(seat(F.col("_at"), 0)))
     seated = rows.withColumn("seat", F.explode(seats)).select("*", F.col("seat.b").alias("_b"), F.col("seat.guest").alias("_guest")).drop("seat")
     order = Window.partitionBy("_b").orderBy("_guest", "key", tie)
     out = seated.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
-    return out.filter("_guest = 0").drop("_b", "_guest", "key")
+    return out.filter("_guest = 0").drop("_b", "_guest", "_at", "_first", "key")
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, scale: int = SCALE) -> DataFrame:
     """One row per row of ``docs``: sketches of the text and of its edited text, and their likeness.
 
     The edited text has the last quarter of the code points replaced by the start of the next text.
-    Null texts are empty; rows that repeat an id follow each other by text; extra columns are ignored.
+    Null texts are empty; rows that repeat an id follow each other by a hash of the text; extra columns are ignored.
     An empty table gives an empty result; in a table of one row the next document is the row itself.
     """
     rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("body"))
@@ -123,7 +124,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     n = F.length("body")
     k = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("body"), F.lit(1), n - k), F.substring(F.col("next_body"), F.lit(1), k))
-    pairs = pairs.select("id", "prints", "next_prints", n.cast("long").alias("n_chars"), edited.alias("edited"))
+    pairs = pairs.select("id", "prints", "next_prints", n.cast("long").alias("n_chars"), edited.alias("edited"), (edited == F.col("body")).alias("unedited"), (F.col("body") == F.col("next_body")).alias("repeated"))
     pairs = pairs.withColumn("edited_prints", sketch(F.col("edited"), words, scale))
     return pairs.select(
         F.col("id").alias(id_col),
@@ -131,7 +132,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         as_text(F.col("prints")).alias("fingerprint"),
         as_text(F.col("edited_prints")).alias("edited_fingerprint"),
-        resemblance(F.col("prints"), F.col("edited_prints")).cast("double").alias("near_edited"),
-        resemblance(F.col("prints"), F.col("next_prints")).cast("double").alias("near_next"),
+        resemblance(F.col("prints"), F.col("edited_prints"), F.col("unedited")).cast("double").alias("near_edited"),
+        resemblance(F.col("prints"), F.col("next_prints"), F.col("repeated")).cast("double").alias("near_next"),
         containment(F.col("prints"), F.col("edited_prints")).cast("double").alias("kept_share"),
     )

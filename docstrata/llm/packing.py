@@ -170,6 +170,8 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, most
         rest = np.arange(m) != leave
         inverse[rest] -= np.outer(move[rest], inverse[leave])
         patterns[:, leave] = column
+    else:
+        raise RuntimeError(f"no optimum after {most_rounds} patterns")
     return patterns, use
 
 

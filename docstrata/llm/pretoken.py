@@ -103,6 +103,10 @@ class PieceEncoder:
         self.begin = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        # The characters of each piece, so that a hash alone decides nothing.
+        self.letters = np.zeros(0, np.uint32)
+        self.from_letter = np.zeros(0, np.int64)
+        self.n_letters = np.zeros(0, np.int64)
 
     def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
         """``keys`` are sorted and new."""
@@ -115,6 +119,26 @@ class PieceEncoder:
         self.begin = np.insert(self.begin, where, begin)
         self.size = np.insert(self.size, where, size)
         self.ids = np.concatenate([self.ids, flat])
+        n = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        self.from_letter = np.insert(self.from_letter, where, len(self.letters) + np.cumsum(n) - n)
+        self.n_letters = np.insert(self.n_letters, where, n)
+        self.letters = np.concatenate([self.letters, np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), np.uint32)])
+
+    def _as_cached(self, points: np.ndarray, starts: np.ndarray, sizes: np.ndarray, slot: np.ndarray) -> bool:
+        """Whether every piece has the characters of the cached piece with its hash."""
+        if not (self.n_letters[slot] == sizes).all():
+            return False
+        place = np.repeat(self.from_letter[slot] - starts, sizes)
+        place += np.arange(len(points))
+        return bool((self.letters[place] == points).all())
+
+    def _one_by_one(self, text: str) -> np.ndarray:
+        if not text:
+            return np.zeros(0, np.uint32)
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        starts = piece_starts(points, np.zeros(1, np.int64))
+        pieces = [text[a:b] for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(text)], strict=True)]
+        return np.array([i for p in pieces for i in self.encode(p.encode("utf-8", "surrogatepass"))], np.uint32)
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text as unsigned 32-bit integers."""
@@ -137,7 +161,11 @@ class PieceEncoder:
             new = first[~known]
             self._learn(keys[~known], [joined[a:b] for a, b in zip(starts[new].tolist(), stops[new].tolist(), strict=True)])
             slot = np.searchsorted(self.keys, keys)
-        begin, size = self.begin[slot][back], self.size[slot][back]
+        slot = slot[back]
+        if not self._as_cached(points, starts, stops - starts, slot):
+            # Two pieces with one hash: these texts go without the cache.
+            return [self._one_by_one(t) for t in texts]
+        begin, size = self.begin[slot], self.size[slot]
         done = np.cumsum(size)
         place = np.arange(done[-1]) - np.repeat(done - size, size) + np.repeat(begin, size)
         ids = self.ids[place]

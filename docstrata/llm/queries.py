@@ -38,7 +38,9 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_secrets(read_table(spark, sf_dir, "documents", "doc_id", "text", "source")).drop("found", "mark")
+    # The tables name no repository: a document is one, and its source the owner.
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    return scan_secrets(docs, repo_col="doc_id", owner_col="source").drop("found", "mark")
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Secret scanning with corpus-wide ownership frequency.
 
 Three base patterns find candidate credentials.  Every candidate value is hashed and counted over the
-whole corpus by distinct repositories and distinct owners.  Values that many repositories share are
-widely copied examples; values that stay with one owner and look random are reported as live.
+whole corpus by distinct repositories and distinct owners.  Values that many repositories of several
+owners share are widely copied examples; values that stay with one owner, in however many repositories,
+and look random are reported as live.
 Besides classing the base spans, the frequencies add spans of kind ``owned``: long mixed tokens
 outside every base span whose value stays with one owner.  All of it is DataFrame functions.
 """
@@ -20,6 +21,8 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 #: A run of 24 or more token letters with a digit, a capital and a small letter among its first 64.
 MIXED = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]{0,63}[0-9])(?=[a-z0-9_-]{0,63}[A-Z])(?=[A-Z0-9_-]{0,63}[a-z])[A-Za-z0-9_-]{24,}"
+#: Matches whose positions are summed one by one.
+RUN = 128
 KINDS = ("assign", "access", "hex", "owned")
 
 
@@ -27,7 +30,8 @@ def _spans(text: Column, pattern: str, rank: int, value_group: int, least: int)
     """array<struct<start, rank, end, value>> of one pattern's matches, in code points.
 
     ``split`` gives what lies between the matches and ``regexp_extract_all`` the matches, so running
-    sums of lengths are the positions.
+    sums of lengths are the positions.  They are summed in runs of ``RUN`` matches, and the runs' lengths
+    then move each run to its place, so a text with very many matches costs no square of their number.
     """
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)) if value_group else whole
@@ -42,7 +46,19 @@ def _spans(text: Column, pattern: str, rank: int, value_group: int, least: int)
         ok = x["hit"].isNotNull() & (F.length(x["value"]) >= least)
         return F.struct(end.alias("at"), F.when(ok, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(pieces, start, step, lambda s: s["out"])).otherwise(F.array().cast(kind))
+    # A value that a function needs twice is bound to a name by a one-element array.
+    bound = lambda c, f: F.get(F.transform(F.array(c), f), 0)
+    runs = bound(pieces, lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / RUN).cast("int")), lambda k: F.aggregate(F.slice(p, k * RUN + 1, F.lit(RUN)), start, step)))
+
+    def placed(runs: Column) -> Column:
+        def move(run: Column, k: Column) -> Column:
+            before = F.aggregate(F.slice(runs, F.lit(1), k), F.lit(0), lambda n, r: n + r["at"])
+            shifted = lambda b: F.transform(run["out"], lambda s: F.struct((s["start"] + b).alias("start"), s["rank"].alias("rank"), (s["end"] + b).alias("end"), s["value"].alias("value")))
+            return bound(before, shifted)
+
+        return F.flatten(F.transform(runs, move))
+
+    return F.when(text.rlike(pattern), bound(runs, placed)).otherwise(F.array().cast(kind))
 
 
 def base_spans(text: Column) -> Column:
@@ -80,8 +96,8 @@ def scan_secrets(
     """One row per row of ``docs``: the id, counts by kind and class, digests, ``found`` (all spans) and ``mark`` (a hash of the text).
 
     ``repo_col`` names the repository; the owner is ``owner_col`` or, by default, the repository's name
-    before a ``/``.  A null repository counts as one of its own name, ''.  A value in ``wide_repos`` or
-    more repositories is an example; one with at most ``max_owners`` owners that looks random is live.
+    before a ``/``.  A null repository counts as one of its own name, ''.  A value with at most ``max_owners``
+    owners that looks random is live; one of more owners in ``wide_repos`` or more repositories is an example.
     Null and empty texts have no spans; rows that repeat an id count once each and get equal results.
     Other columns are ignored.
     """
@@ -100,8 +116,10 @@ def scan_secrets(
     counts = places.groupBy("key").agg(
         F.count_distinct("repo").alias("n_repos"), F.count_distinct("owner").alias("n_owners"), F.max("random").alias("random")
     )
-    kind = F.when(F.col("n_repos") >= wide_repos, "example").when((F.col("n_owners") <= max_owners) & F.col("random"), "live").otherwise("unsure")
-    classed = spans.join(counts.select("key", "n_repos", "n_owners", kind.alias("class")), "key")
+    kind = F.when((F.col("n_repos") >= wide_repos) & (F.col("n_owners") > max_owners), "example").when((F.col("n_owners") <= max_owners) & F.col("random"), "live").otherwise("unsure")
+    # Both sides of this join are plain reads, so adaptive execution can split a value that most rows hold.
+    classes = stored(counts.select("key", "n_repos", "n_owners", kind.alias("class")), "values")
+    classed = spans.join(classes, "key")
     per_row = (
         classed.filter("rank < 3 OR class = 'live'")
         .groupBy("row")
@@ -126,7 +144,7 @@ def scan_secrets(
     )
 
 
-def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, mask: str = "[SECRET]", repo_col: str = "source", owner_col: str | None = None) -> DataFrame:
     """``docs`` with every reported span but widely copied examples replaced by ``mask``; n_chars follows.
 
     Overlapping spans are replaced once, as their union.  Rows without spans pass unchanged, nulls
@@ -134,7 +152,7 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """
     # Ids may repeat with other texts, so a hash of the text goes with the id.
     spans = F.filter("found", lambda s: s["class"] != "example").alias("_cut")
-    found = scan_secrets(docs).filter("size(found) > 0").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), spans)
+    found = scan_secrets(docs, repo_col=repo_col, owner_col=owner_col).filter("size(found) > 0").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), spans)
     found = found.filter("size(_cut) > 0").dropDuplicates(["_id", "_mark"])
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 

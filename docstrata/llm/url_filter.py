@@ -96,7 +96,8 @@ def resolved(target: Column, base: Column) -> Column:
 def judge_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None, default: str = "allow") -> DataFrame:
     """One row per row of ``pages(page_id, url, html)``: page_id, host, path, rule, verdict, inherited.
 
-    ``redirects(source, target)`` adds edges between addresses.  Relative targets are resolved against the
+    Every canonical link and refresh redirect of a page is an edge, and ``redirects(source, target)`` adds
+    others.  Relative targets are resolved against the
     address they stand at (a ``base`` element is not read).  A page without a usable url is ignored: its
     host and path are empty, no rule fits and it gets ``default``.
     Null html has no links.  Repeated pages get equal verdicts; an empty table an empty result.
@@ -112,7 +113,7 @@ def judge_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None
     html = F.coalesce(F.col("html"), F.lit(""))
     links = pages.select(
         "url",
-        F.explode(F.array(F.regexp_extract(html, CANONICAL, 1), F.regexp_extract(html, REFRESH, 1))).alias("to"),
+        F.explode(F.concat(F.regexp_extract_all(html, F.lit(CANONICAL), F.lit(1)), F.regexp_extract_all(html, F.lit(REFRESH), F.lit(1)))).alias("to"),
     )
     seen = resolved(decoded(F.col("to")), F.col("url"))
     links = links.filter("to <> ''").select(address_key(F.col("url")).alias("a"), address_key(seen).alias("b"))
