@@ -40,8 +40,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Credentials in the texts are masked; every document stays."""
-    return redact(docs).select(*COLUMNS)
+    """Credentials in the texts are masked; every document stays.  A document is a repository, its source the owner."""
+    return redact(docs, repo_col="doc_id", owner_col="source").select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
