@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 #: The characters that Python's ``str.split`` and ``str.strip`` treat as white space.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
+# Fixed patterns: glyphs without a mapping, and what separates tokens.
 UNMAPPABLE = r"[\uE000-\uF8FF\uFFFD]"
-TOKEN = r"[A-Za-z0-9+#.]+"
+NO_TOKEN = r"[^A-Za-z0-9+#.]+"
 
 
 def col(c: str | Column) -> Column:
@@ -80,8 +81,7 @@ def surface(x: str | Column) -> Column:
 
 def tokens(x: str | Column) -> Column:
     """Tokens as written, without trailing dots."""
-    found = F.regexp_extract_all(col(x), F.lit(TOKEN), F.lit(0))
-    return F.filter(F.transform(found, lambda t: F.regexp_replace(t, r"\.+$", "")), lambda t: t != "")
+    return F.filter(F.transform(F.split(col(x), NO_TOKEN), lambda t: F.rtrim(t, F.lit("."))), lambda t: t != "")
 
 
 def excerpt(x: str | Column, most: int = 200) -> Column:

@@ -7,6 +7,7 @@ a fold over each key's requests in order can.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,13 +32,14 @@ def admit(requests: DataFrame, limit: int, window_us: int, key: str = "key", ts:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         none = object()
-        now, live = none, []
+        now, live = none, deque()
         for batch in batches:
             admitted, wait = [], []
             for k, us in zip(batch["key"].tolist(), batch["us"].tolist(), strict=True):
                 if k != now:
-                    now, live = k, []
-                live = [x for x in live if x > us - window_us]
+                    now, live = k, deque()
+                while live and live[0] <= us - window_us:
+                    live.popleft()
                 if len(live) >= limit:
                     admitted.append(False)
                     wait.append(live[0] + window_us - us)

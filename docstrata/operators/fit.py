@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from math import lcm
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,19 +21,27 @@ def distinctiveness(profiles: DataFrame, profile: str = "role", item: str = "ski
     return seen.withColumn("distinctiveness", F.lit(1.0) / F.col("appearances"))
 
 
+def _by_appearances(rows: DataFrame, keys: list[str], amount: Column, name: str) -> DataFrame:
+    """(keys, name): the sum of ``amount`` over ``appearances``.
+
+    Amounts of one count of appearances are whole numbers and add up exactly; the quotients are added in
+    the order of that count, so no result depends on how rows are dealt out.
+    """
+    per = rows.groupBy(*keys, "appearances").agg(F.sum(amount).alias("amount"))
+    per = per.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("appearances", "amount"))).alias("parts"))
+    return per.select(*keys, F.aggregate("parts", F.lit(0.0), lambda total, p: total + p["amount"] / p["appearances"]).alias(name))
+
+
 def coverage(owned: DataFrame, profiles: DataFrame, owner: str = "doc_id", profile: str = "role", item: str = "skill_id") -> DataFrame:
     """``owned(owner, item, tenths)`` against ``profiles(profile, item)``: (owner, profile, matched, available).
 
-    Both sums are exact integers in units of one over ``10 * lcm(appearances)``, so no result depends on
-    the order of summation.  Profiles that an owner matches nowhere have no row.
+    An item counts one over the number of profiles that name it; ``matched`` is in tenths of that.
+    Profiles that an owner matches nowhere have no row.
     """
     profiles = profiles.select(profile, item).distinct()
-    seen = distinctiveness(profiles, profile, item)
-    # The distinct appearance counts are at most as many as there are profiles.
-    unit = reduce(lcm, [r["appearances"] for r in seen.select("appearances").distinct().collect()], 1)
-    units = profiles.join(seen, item).withColumn("units", F.expr(f"{unit} div appearances"))
-    available = units.groupBy(profile).agg(F.sum("units").alias("available"))
-    matched = owned.join(units.select(profile, item, "units"), item).groupBy(owner, profile).agg(F.sum(F.col("units") * F.col("tenths")).alias("matched"))
+    named = profiles.join(distinctiveness(profiles, profile, item).select(item, "appearances"), item)
+    available = _by_appearances(named, [profile], F.lit(1), "available")
+    matched = _by_appearances(owned.join(named, item), [owner, profile], F.col("tenths"), "matched")
     return matched.join(available, profile).select(owner, profile, "matched", "available")
 
 

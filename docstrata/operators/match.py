@@ -13,9 +13,16 @@ EXACT_CONFIDENCE, FUZZY_CONFIDENCE = 0.95, 0.8
 DEMONSTRATING = ("experience", "projects", "publications")
 
 
+#: Hits that a scan takes one by one before it puts them with the others.
+RUN = 128
+
+
 def greedy(hits: Column) -> Column:
-    """Of ``hits`` (array of structs, sorted, with pos and n) those that a left-to-right scan takes."""
-    kind_free = F.struct(F.lit(0).alias("free"), F.slice(hits, 1, 0).alias("out"))
+    """Of ``hits`` (array of structs, sorted, with pos and n) those that a left-to-right scan takes.
+
+    Hits are scanned in runs, and only whole runs are put together, so an array of very many hits is not
+    copied once for each of them.
+    """
 
     def step(s: Column, h: Column) -> Column:
         take = h["pos"] >= s["free"]
@@ -24,7 +31,15 @@ def greedy(hits: Column) -> Column:
             F.when(take, F.concat(s["out"], F.array(h))).otherwise(s["out"]).alias("out"),
         )
 
-    return F.aggregate(hits, kind_free, step, lambda s: s["out"])
+    def run(s: Column, k: Column) -> Column:
+        start = F.struct(s["free"].alias("free"), F.slice(hits, 1, 0).alias("out"))
+        scanned = F.aggregate(F.slice(hits, k * RUN + 1, F.lit(RUN)), start, step)
+        put = lambda r: F.struct(r["free"].alias("free"), F.concat(s["out"], F.array(r["out"])).alias("out"))
+        return F.get(F.transform(F.array(scanned), put), 0)
+
+    runs = F.sequence(F.lit(0), F.floor((F.size(hits) - 1) / RUN).cast("int"))
+    nothing = F.struct(F.lit(0).alias("free"), F.slice(F.array(hits), 1, 0).alias("out"))
+    return F.aggregate(runs, nothing, run, lambda s: F.flatten(s["out"]))
 
 
 def exact_matches(texts: DataFrame, surfaces: DataFrame, keys: list[str], longest: int, allow_strict: Column | None = None, text_col: str = "text") -> DataFrame:
@@ -32,11 +47,11 @@ def exact_matches(texts: DataFrame, surfaces: DataFrame, keys: list[str], longes
 
     ``longest`` bounds the words of a surface.  A strict surface counts only where ``allow_strict``
     holds and it is written as the name or in lower case; otherwise shorter phrases at the same place
-    are tried.
+    are tried.  Hits meet in one shuffle by ``keys``; of those at one place the scan takes the longest.
     """
     allowed = F.lit(False) if allow_strict is None else allow_strict
     rows = texts.select(*keys, allowed.alias("allowed"), tokens(text_col).alias("tk"))
-    windows = F.transform("tk", lambda _, i: F.slice("tk", i + 1, longest))
+    windows = F.transform("tk", lambda _, i: F.slice("tk", i + 1, longest)) if longest > 1 else F.transform("tk", lambda t: F.array(t))
     rows = rows.select(*keys, "allowed", F.posexplode(windows).alias("pos", "win"))
     # Only places whose first word opens some surface are expanded.
     heads = surfaces.select(F.substring_index("surface", " ", 1).alias("head")).distinct()
@@ -45,8 +60,8 @@ def exact_matches(texts: DataFrame, surfaces: DataFrame, keys: list[str], longes
     rows = rows.withColumn("written", F.array_join(F.slice("win", F.lit(1), F.col("n")), " ")).withColumn("surface", F.lower("written"))
     hits = rows.join(surfaces.select("surface", "skill_id", "name", "strict"), "surface")
     hits = hits.filter("NOT strict OR (allowed AND (written = name OR written = surface))")
-    best = hits.groupBy(*keys, "pos").agg(F.max(F.struct("n", "skill_id")).alias("b"))
-    gathered = best.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", F.col("b.n").alias("n"), F.col("b.skill_id").alias("skill_id")))).alias("hits"))
+    found = F.struct("pos", (-F.col("n")).alias("shorter"), "n", "skill_id")
+    gathered = hits.groupBy(*keys).agg(F.array_sort(F.collect_list(found)).alias("hits"))
     return gathered.select(*keys, F.explode(greedy(F.col("hits"))).alias("h")).select(*keys, "h.pos", "h.n", "h.skill_id")
 
 
@@ -73,17 +88,36 @@ def common_subsequence(a: Column, b: Column) -> Column:
 def fuzzy_best(words: DataFrame, surfaces: DataFrame, cutoff: float = FUZZY_CUTOFF) -> DataFrame:
     """``words(token)``, distinct, to (token, skill_id, surface, score): the nearest single-word surface.
 
-    The score is 200 * LCS / (sum of lengths); ties go to the earlier candidate.  Lengths and bounded
-    edit distance discard almost every pair before the exact score.
+    The score is 200 * LCS / (sum of lengths); ties go to the earlier candidate.  A pair that reaches the
+    cutoff differs by ``most`` letters at most, so one of ``most + 1`` equal parts of the surface stands
+    unchanged in the word, moved by ``most`` places at most: candidates meet in an equality join on that
+    part, and edit distance and exact score judge them.
     """
     slack = 1 - cutoff / 100
+    most = lambda a, b: F.floor(F.lit(slack) * (a + b) + 1e-9).cast("int")
+    own, other = F.col("len"), F.col("other")
+
+    def met(rows: DataFrame, own: Column) -> DataFrame:
+        """Each row with every length of the other side that may match, and the letters that may differ."""
+        reach = F.floor(F.lit(2 * slack) * own / (1 - slack)).cast("int")
+        rows = rows.withColumn("len", own).withColumn("other", F.explode(F.sequence(own - reach, own + reach)))
+        rows = rows.withColumn("most", most(F.col("len"), other)).filter("abs(len - other) <= most")
+        return rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("most"))))
+
+    def part_of(size: Column) -> tuple[Column, Column]:
+        """Begin and length of a surface's part."""
+        begin = F.floor(F.col("part") * size / (F.col("most") + 1)).cast("int")
+        return begin, F.floor((F.col("part") + 1) * size / (F.col("most") + 1)).cast("int") - begin
+
     cand = surfaces.filter(f"NOT strict AND n_words = 1 AND length(surface) >= {MIN_FUZZY_LENGTH}").select("surface", "skill_id", "cand_ord")
-    # An equality on length bands keeps this a hash join; two lengths that can match differ by few letters.
-    spread = cand.withColumn("len", F.length("surface")).withColumn("reach", F.floor(F.lit(2 * slack) * F.col("len") / (1 - slack)).cast("int"))
-    spread = spread.select("surface", "skill_id", "cand_ord", F.explode(F.sequence(F.col("len") - F.col("reach"), F.col("len") + F.col("reach"))).alias("len"))
-    both = words.filter(F.length("token") >= MIN_FUZZY_LENGTH).withColumn("len", F.length("token")).join(spread, "len")
-    most = F.floor(F.lit(slack) * (F.length("token") + F.length("surface")) + 1e-9).cast("int")
-    both = both.withColumn("most", most).filter("abs(length(token) - length(surface)) <= most AND levenshtein(token, surface) <= most")
+    begin, size = part_of(own)
+    left = met(cand, F.length("surface")).select("surface", "skill_id", "cand_ord", own.alias("s_len"), other.alias("t_len"), "part", F.substring(F.col("surface"), begin + 1, size).alias("letters"))
+    begin, size = part_of(other)
+    right = met(words.filter(F.length("token") >= MIN_FUZZY_LENGTH), F.length("token")).withColumn("begin", begin).withColumn("size", size)
+    right = right.withColumn("begin", F.explode(F.sequence(F.col("begin") - F.col("most"), F.col("begin") + F.col("most")))).filter("begin >= 0 AND begin + size <= len")
+    right = right.select("token", other.alias("s_len"), own.alias("t_len"), "most", "part", F.substring(F.col("token"), F.col("begin") + 1, F.col("size")).alias("letters"))
+    both = right.join(left, ["s_len", "t_len", "part", "letters"]).select("token", "surface", "skill_id", "cand_ord", "most").distinct()
+    both = both.filter("levenshtein(token, surface) <= most")
     score = F.lit(200.0) * common_subsequence(F.col("token"), F.col("surface")) / (F.length("token") + F.length("surface"))
     scored = both.withColumn("score", score).filter(F.col("score") >= cutoff)
     best = scored.groupBy("token").agg(F.min(F.struct((-F.col("score")).alias("s"), "cand_ord", "surface", "skill_id")).alias("b"))

@@ -52,9 +52,10 @@ STRIP = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 # --- text ---------------------------------------------------------------------------------------
 
 
-@query(f"SELECT doc_id, len({TOKENS.format(x='text')}) AS n_tokens, len(list_distinct({TOKENS.format(x='lower(text)')})) AS n_distinct FROM documents")
+@query(f"WITH t AS (SELECT doc_id, {TOKENS.format(x='text')} AS tk FROM documents) SELECT doc_id, len(tk) AS n_tokens, len(list_distinct(list_transform(tk, lambda t: lower(t)))) AS n_distinct FROM t")
 def text_tokenise_counts(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.size(text.tokens("text")).cast("long").alias("n_tokens"), F.size(F.array_distinct(text.tokens(F.lower("text")))).cast("long").alias("n_distinct"))
+    rows = _docs(spark, sf_dir).select("doc_id", text.tokens("text").alias("tk"))
+    return rows.select("doc_id", F.size("tk").cast("long").alias("n_tokens"), F.size(F.array_distinct(F.transform("tk", F.lower))).cast("long").alias("n_distinct"))
 
 
 @query(f"WITH {LINES} SELECT doc_id, ln, trim(regexp_replace(regexp_replace(lower({STRIP.format(x='line')}), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) AS norm FROM lines")
@@ -82,10 +83,14 @@ def text_running_furniture(spark, sf_dir):
     return layout.running_furniture(rows)
 
 
-@query("SELECT * FROM (VALUES (1, ' Built REST endpoints', 3), (2, 'Spanish  C2', 2), (3, 'plain', 1)) AS t(id, cleaned, n_words)")
+@query(
+    """WITH t AS (SELECT doc_id, replace(replace(text, 'n', ''), 'r', '') AS cleaned FROM documents)
+    SELECT doc_id, md5(cleaned) AS cleaned_md5, len(list_filter(regexp_split_to_array(cleaned, '\\s+'), lambda w: w <> ''))::INTEGER AS n_words FROM t"""
+)
 def text_glyph_drop(spark, sf_dir):
-    rows = spark.createDataFrame([(1, " Built REST endpoints"), (2, "Spanish � C2"), (3, "plain")], "id int, raw string")
-    return rows.withColumn("cleaned", text.drop_glyphs("raw")).select("id", "cleaned", text.word_count("cleaned").alias("n_words"))
+    """Two letters of every text stand for glyphs that a font did not map."""
+    rows = _docs(spark, sf_dir).withColumn("cleaned", text.drop_glyphs(F.translate("text", "nr", "\ue001\ufffd")))
+    return rows.select("doc_id", F.md5("cleaned").alias("cleaned_md5"), text.word_count("cleaned").alias("n_words"))
 
 
 @query("SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))::INTEGER AS n_words FROM documents")
@@ -109,24 +114,44 @@ def text_upper_case_lines(spark, sf_dir):
 # --- masks --------------------------------------------------------------------------------------
 
 
-def _masked(name: str, mask, pattern: str | None, token: str | None):
+def _masked(name: str, mask, sql: str):
     def run(spark, sf_dir):
         docs = _docs(spark, sf_dir).withColumn("masked", mask("text"))
         return docs.select("doc_id", F.md5("masked").alias("masked_md5"), (F.col("masked") != F.col("text")).alias("changed"))
 
     run.__name__ = name
-    sql = None
-    if pattern:
-        sql = f"WITH m AS (SELECT doc_id, text, regexp_replace(text, '{pattern}', '{token}', 'g') AS masked FROM documents) SELECT doc_id, md5(masked) AS masked_md5, masked <> text AS changed FROM m"
     query(sql)(run)
 
 
-_masked("pii_email_mask", text.mask_emails, text.EMAIL, "[EMAIL]")
-_masked("pii_handle_mask", text.mask_handles, text.HANDLE.replace("(?iU)", "(?i)"), "[URL]")
-_masked("pii_url_mask", text.mask_urls, text.URL.replace("(?iU)", "(?i)"), "[URL]")
-_masked("pii_postal_mask", text.mask_postal_codes, text.POSTAL.replace("(?U)", ""), "[POSTAL]")
-_masked("pii_phone_mask", text.mask_phones, None, None)
-_masked("pii_scrub", text.scrubbed, None, None)
+#: The pattern of telephone numbers without looking around: what a number may start with is told by borders.
+_GROUPS = r"(?:\(?\d{2,4}\)?[\s.-]?)"
+_PHONE = rf"(?:\B\+\d{{1,3}}[\s.-]?|\b\d{{1,3}}[\s.-]?){_GROUPS}{{2,4}}\d{{2,4}}\b|(?:\B\(|\b)\d{{2,4}}\)?[\s.-]?{_GROUPS}{{1,3}}\d{{2,4}}\b"
+_PHONES = rf"""array_to_string(list_transform(range(1, len(regexp_split_to_array({{x}}, '{_PHONE}')) + 1), lambda k: regexp_split_to_array({{x}}, '{_PHONE}')[k] || coalesce(
+    CASE WHEN regexp_matches(regexp_extract_all({{x}}, '{_PHONE}')[k], '^\s*(19|20)\d{{{{2}}}}\s*-\s*(19|20)\d{{{{2}}}}\s*$') OR length(regexp_replace(regexp_extract_all({{x}}, '{_PHONE}')[k], '\D', '', 'g')) < 8
+         THEN regexp_extract_all({{x}}, '{_PHONE}')[k] WHEN regexp_extract_all({{x}}, '{_PHONE}')[k] IS NOT NULL THEN '[PHONE]' END, '')), '')"""
+
+
+def _mask_sql(*steps: str) -> str:
+    """The steps in order, each on the ``x`` of the one before."""
+    chain = ", ".join(f"m{k + 1} AS (SELECT doc_id, text, {step} AS x FROM m{k})" for k, step in enumerate(steps))
+    return f"WITH m0 AS (SELECT doc_id, text, text AS x FROM documents), {chain} SELECT doc_id, md5(x) AS masked_md5, x <> text AS changed FROM m{len(steps)}"
+
+
+def _replaced(pattern: str, token: str) -> str:
+    return f"regexp_replace(x, '{pattern}', '{token}', 'g')"
+
+
+_masked("pii_email_mask", text.mask_emails, _mask_sql(_replaced(text.EMAIL, "[EMAIL]")))
+_masked("pii_handle_mask", text.mask_handles, _mask_sql(_replaced(text.HANDLE.replace("(?iU)", "(?i)"), "[URL]")))
+_masked("pii_url_mask", text.mask_urls, _mask_sql(_replaced(text.URL.replace("(?iU)", "(?i)"), "[URL]")))
+_masked("pii_postal_mask", text.mask_postal_codes, _mask_sql(_replaced(text.POSTAL.replace("(?U)", ""), "[POSTAL]")))
+_PHONE_STEP = _PHONES.replace(_PHONE, "@").replace("{x}", "x").replace("{{", "{").replace("}}", "}").replace("@", _PHONE)
+_masked("pii_phone_mask", text.mask_phones, _mask_sql(_PHONE_STEP))
+_masked(
+    "pii_scrub",
+    text.scrubbed,
+    _mask_sql(_replaced(text.EMAIL, "[EMAIL]"), _replaced(text.HANDLE.replace("(?iU)", "(?i)"), "[URL]"), _replaced(text.URL.replace("(?iU)", "(?i)"), "[URL]"), _PHONE_STEP, _replaced(text.POSTAL.replace("(?U)", ""), "[POSTAL]")),
+)
 
 
 # --- matching -----------------------------------------------------------------------------------
@@ -163,23 +188,77 @@ def match_exact_greedy(spark, sf_dir):
     return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_matches"), F.sum("n").alias("n_words"))
 
 
-@query("SELECT * FROM (VALUES (1, 'seed:c', 1), (1, 'seed:cpp', 1), (1, 'seed:csharp', 1), (1, 'seed:go', 1)) AS t(doc_id, skill_id, n)")
+#: A strict name, a phrase that holds it, and another word; strict names count in every other document.
+STRICT = (("s:the", "The", True), ("w:of-the", "of the", False), ("w:of", "of", False), ("s:that-the", "That The", True), ("w:that", "that", False))
+_ANY_CASE = "list_aggregate(list_transform(" + TOKENS.format(x="text") + ", lambda t: ' ' || t || ' '), 'string_agg', '')"
+
+
+@query(
+    f"""WITH hits AS (SELECT doc_id, unnest(regexp_extract_all({_ANY_CASE}, CASE WHEN doc_id % 2 = 0 THEN ' (?i:of)  (?i:the) | (?:That  The|that  the) | (?i:of) | (?i:that) | (?:The|the) ' ELSE ' (?i:of)  (?i:the) | (?i:of) | (?i:that) ' END)) AS hit FROM documents),
+    ids(h, skill_id) AS (VALUES (' the ', 's:the'), (' of  the ', 'w:of-the'), (' of ', 'w:of'), (' that  the ', 's:that-the'), (' that ', 'w:that'))
+    SELECT doc_id, skill_id, count(*)::INTEGER AS n FROM hits JOIN ids ON lower(hit) = h GROUP BY ALL"""
+)
 def match_exact_strict(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "C Sharp, GO, CPP, c++, c#, golang, Golang", True), (2, "we go to C", False)], "doc_id int, text string, listed boolean")
-    found = match.exact_matches(rows, dims.taxonomy(dims.skills_frame(spark)), ["doc_id"], 4, F.col("listed"))
+    surfaces = dims.taxonomy(dims.skills_frame(spark, [(i, n, "word", strict, []) for i, n, strict in STRICT]))
+    found = match.exact_matches(_docs(spark, sf_dir), surfaces, ["doc_id"], 2, F.col("doc_id") % 2 == 0)
     return found.groupBy("doc_id", "skill_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('kubernets', 'seed:kubernetes', '94.74'), ('javascripts', 'seed:javascript', '95.24'), ('documentatoin', 'seed:technical-writing', '92.31'), ('containerisaton', 'seed:docker', '96.77')) AS t(token, skill_id, score)")
+def _benchmark_words(spark, sf_dir) -> DataFrame:
+    """The words of seven to ten letters in ``benchmark`` as a taxonomy; the name is the word."""
+    found = _table(spark, sf_dir, "benchmark", "text").select(F.explode(text.tokens(F.lower("text"))).alias("name")).filter(F.col("name").rlike("^[a-z]{7,10}$")).distinct()
+    rows = found.select(F.concat(F.lit("b:"), "name").alias("skill_id"), "name", F.lit("word").alias("category"), F.lit(False).alias("strict"), F.array().cast("array<string>").alias("aliases"))
+    # A surface is its entry's only one and the words differ, so one order number serves all.
+    rows = rows.withColumn("entry_ord", F.lit(0))
+    return dims.taxonomy(rows).withColumn("cand_ord", F.col("surface"))
+
+
+#: Below 25 letters in both, 92 of 100 leaves room for one letter that only one of them has.
+_NEAR = f"""sur AS (SELECT DISTINCT w AS s FROM (SELECT unnest({TOKENS.format(x='lower(text)')}) AS w FROM benchmark) WHERE regexp_matches(w, '^[a-z]{{7,10}}$')),
+    tok AS (SELECT DISTINCT w AS t FROM (SELECT unnest({TOKENS.format(x='lower(text)')}) AS w FROM documents) WHERE length(w) BETWEEN 6 AND 11),
+    less_t AS (SELECT DISTINCT t, substr(t, 1, k - 1) || substr(t, k + 1) AS x FROM (SELECT t, unnest(range(1, length(t) + 1)) AS k FROM tok)),
+    less_s AS (SELECT DISTINCT s, substr(s, 1, k - 1) || substr(s, k + 1) AS x FROM (SELECT s, unnest(range(1, length(s) + 1)) AS k FROM sur)),
+    near AS (SELECT t, s FROM tok JOIN sur ON t = s UNION SELECT t, s FROM less_t JOIN sur ON x = s UNION SELECT t, s FROM tok JOIN less_s ON t = x),
+    scored AS (SELECT t, s, CASE WHEN t = s THEN 100.0 ELSE 200.0 * least(length(t), length(s)) / (length(t) + length(s)) END::DOUBLE AS score FROM near),
+    best AS (SELECT t, s, score FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY score DESC, s) AS k FROM scored WHERE score >= 92) WHERE k = 1)"""
+
+
+@query(f"WITH {_NEAR} SELECT t AS token, 'b:' || s AS skill_id, printf('%.2f', score) AS score FROM best")
 def match_fuzzy_top1(spark, sf_dir):
-    words = spark.createDataFrame([("kubernets",), ("javascripts",), ("pythn",), ("documentatoin",), ("containerisaton",), ("zzzzzzz",)], "token string")
-    found = match.fuzzy_best(words, dims.taxonomy(dims.skills_frame(spark)))
+    """The nearest word of ``benchmark`` for every distinct token of ``documents``."""
+    words = _docs(spark, sf_dir).select(F.explode(text.tokens(F.lower("text"))).alias("token")).distinct()
+    found = match.fuzzy_best(words, _benchmark_words(spark, sf_dir))
     return found.select("token", "skill_id", F.format_number("score", 2).alias("score"))
 
 
+@query(
+    f"""WITH {_NEAR}, {LINES}, parts AS (SELECT doc_id, ln % 3 AS section_ord, ['experience', 'skills', 'education'][1 + ln % 3] AS kind, string_agg(line, ' ' ORDER BY ln) AS text FROM lines GROUP BY ALL),
+    placed AS (SELECT doc_id, section_ord, kind, unnest(range(len(tk))) AS pos, unnest(tk) AS t FROM (SELECT *, {TOKENS.format(x='lower(text)')} AS tk FROM parts)),
+    exact AS (SELECT DISTINCT doc_id, kind, s FROM placed JOIN sur ON t = s),
+    fuzzy AS (SELECT doc_id, s, arg_min(kind, section_ord * 1000000 + pos) AS kind FROM placed JOIN best USING (t) GROUP BY doc_id, s),
+    skills AS (SELECT doc_id, s, kind, 0.95 AS c FROM exact UNION ALL SELECT doc_id, s, kind, 0.8 FROM fuzzy WHERE NOT EXISTS (SELECT 1 FROM exact e WHERE e.doc_id = fuzzy.doc_id AND e.s = fuzzy.s)),
+    merged AS (SELECT doc_id, s, string_agg(kind, ',' ORDER BY kind) AS found_in, max(c)::DOUBLE AS confidence, bool_or(kind = 'experience') AS shown FROM skills GROUP BY doc_id, s)
+    SELECT doc_id, 'b:' || s AS skill_id, CASE WHEN shown THEN 'demonstrated' ELSE 'claimed' END AS evidence, found_in, confidence,
+           (row_number() OVER (PARTITION BY doc_id ORDER BY NOT shown, s))::INTEGER AS skill_ord FROM merged"""
+)
+def match_skill_fuzzy(spark, sf_dir):
+    """Skills whose names are words of ``benchmark``, written right or nearly so, in the sections of every document."""
+    skills = match.extract_skills(_parts(spark, sf_dir), _benchmark_words(spark, sf_dir), 1)
+    return skills.select("doc_id", "skill_id", "evidence", F.array_join("found_in", ",").alias("found_in"), "confidence", "skill_ord")
+
+
 _KINDS = ("experience", "skills", "education")
 
 
+def _parts(spark, sf_dir) -> DataFrame:
+    """Every document's lines in turn as three sections."""
+    kinds = F.array(*[F.lit(k) for k in _KINDS])
+    numbered = F.transform(F.split("text", "\n"), lambda line, k: F.struct((k % 3).alias("part"), line.alias("line")))
+    rows = _docs(spark, sf_dir).select("doc_id", numbered.alias("l")).select("doc_id", "l", F.explode(F.sequence(F.lit(0), F.least(F.lit(2), F.size("l") - 1))).alias("section_ord"))
+    own = F.transform(F.filter("l", lambda x: x["part"] == F.col("section_ord")), lambda x: x["line"])
+    return rows.select("doc_id", "section_ord", F.get(kinds, F.col("section_ord")).alias("kind"), F.array_join(own, " ").alias("text"))
+
+
 @query(
     f"""WITH {LINES}, parts AS (SELECT doc_id, ['experience', 'skills', 'education'][1 + ln % 3] AS kind, string_agg(line, ' ' ORDER BY ln) AS text FROM lines GROUP BY ALL),
     ids(hit, skill_id, name, category) AS (VALUES {_IDS}), hits AS (SELECT DISTINCT doc_id, kind, unnest({_SCAN.format(x='text')}) AS hit FROM parts),
@@ -189,10 +268,7 @@ _KINDS = ("experience", "skills", "education")
            (row_number() OVER (PARTITION BY doc_id ORDER BY evidence = 'claimed', category, name, skill_id))::INTEGER AS skill_ord FROM skills"""
 )
 def match_skill_evidence(spark, sf_dir):
-    kinds = F.array(*[F.lit(k) for k in _KINDS])
-    rows = _lines(spark, sf_dir).groupBy("doc_id", (F.col("ln") % 3).alias("section_ord")).agg(F.array_sort(F.collect_list(F.struct("ln", "line"))).alias("l"))
-    parts = rows.select("doc_id", "section_ord", F.get(kinds, F.col("section_ord")).alias("kind"), F.array_join(F.transform("l", lambda x: x["line"]), " ").alias("text"))
-    skills = match.extract_skills(parts, _phrases(spark), 2)
+    skills = match.extract_skills(_parts(spark, sf_dir), _phrases(spark), 2)
     return skills.select("doc_id", "skill_id", "evidence", F.array_join("found_in", ",").alias("found_in"), "confidence", "skill_ord")
 
 
@@ -214,9 +290,11 @@ _OWNED = """bought AS (SELECT o_custkey AS doc_id, p_name AS skill_id, CASE WHEN
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY ALL),
     profile AS (SELECT DISTINCT p_brand AS role, p_name AS skill_id FROM part),
     seen AS (SELECT skill_id, count(DISTINCT role) AS appearances FROM profile GROUP BY 1),
-    unit AS (SELECT role, skill_id, 26771144400 // appearances AS u FROM profile JOIN seen USING (skill_id)),
-    avail AS (SELECT role, sum(u)::BIGINT AS available FROM unit GROUP BY 1),
-    score AS (SELECT doc_id, role, sum(u * tenths)::DOUBLE / (available * 10.0)::DOUBLE AS score FROM bought JOIN unit USING (skill_id) JOIN avail USING (role) GROUP BY doc_id, role, available)"""
+    unit AS (SELECT role, skill_id, appearances FROM profile JOIN seen USING (skill_id)),
+    avail AS (SELECT role, list_reduce([0.0::DOUBLE] || list(n::DOUBLE / appearances ORDER BY appearances), lambda a, b: a + b) AS available FROM (SELECT role, appearances, count(*) AS n FROM unit GROUP BY ALL) GROUP BY 1),
+    got AS (SELECT doc_id, role, list_reduce([0.0::DOUBLE] || list(n::DOUBLE / appearances ORDER BY appearances), lambda a, b: a + b) AS matched
+        FROM (SELECT doc_id, role, appearances, sum(tenths) AS n FROM bought JOIN unit USING (skill_id) GROUP BY ALL) GROUP BY ALL),
+    score AS (SELECT doc_id, role, matched / (available * 10.0::DOUBLE) AS score FROM got JOIN avail USING (role))"""
 
 
 @query("SELECT p_name AS skill_id, count(DISTINCT p_brand) AS appearances, 1.0::DOUBLE / count(DISTINCT p_brand) AS distinctiveness FROM part GROUP BY 1")
@@ -440,9 +518,14 @@ def layout_reading_order(spark, sf_dir):
     return layout.reading_order(_boxes(spark, sf_dir)).select("doc_id", "line_seq", "line_index", "is_column_start")
 
 
-@query("SELECT * FROM (VALUES (1, 'Calibri,Helvetica'), (2, 'Arial,TimesNewRoman')) AS t(doc_id, families)")
+@query(
+    """SELECT p_size AS doc_id, string_agg(f, ',' ORDER BY f) AS families FROM (SELECT DISTINCT p_size, CASE WHEN p_partkey % 4 = 3 THEN p_type ELSE replace(p_brand, '#', '') END AS f FROM part WHERE p_partkey % 5 <> 4) GROUP BY 1"""
+)
 def layout_font_families(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "ABCDEF+Calibri-Bold"), (1, "Helvetica"), (1, ""), (2, "Arial,Bold"), (2, "XYZABC+TimesNewRoman")], "doc_id int, font string")
+    """Names with subset prefixes, styles and variants, made from brands and types."""
+    brand, kind, k = F.regexp_replace("p_brand", "#", ""), F.col("p_type"), F.col("p_partkey")
+    font = F.when(k % 5 == 4, "").when(k % 4 == 0, F.concat(F.lit("QWERTY+"), brand, F.lit("-BoldItalic"))).when(k % 4 == 1, F.concat(brand, F.lit(",Oblique"))).when(k % 4 == 2, brand).otherwise(F.concat(F.lit("A+"), kind, F.lit("-,x")))
+    rows = _table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_type", "p_size").select(F.col("p_size").alias("doc_id"), font.alias("font"))
     return layout.font_families(rows).select("doc_id", F.array_join("font_families", ",").alias("families"))
 
 
@@ -472,35 +555,51 @@ def limiter_retry_after(spark, sf_dir):
     return _admitted(spark, sf_dir).filter("NOT admitted").select("event_id", text.retry_after(F.col("wait_us") / 1e6).alias("retry_after"))
 
 
-@query("SELECT * FROM (VALUES (1, '10.0.0.9', '1.1.1.1', '3.3.3.3'), (2, '10.0.0.9', '10.0.0.9', '10.0.0.9'), (3, 'unknown', 'unknown', 'unknown'), (4, 'unknown', '2.2.2.2', '2.2.2.2')) AS t(id, k0, k2, k1)")
+@query(
+    """WITH e AS (SELECT event_id, 'a' || user_id AS a, 'b' || event_id AS b, CASE WHEN event_id % 5 <> 0 THEN 'p' || user_id END AS peer, event_id % 3 AS hops FROM events)
+    SELECT event_id, coalesce(peer, 'unknown') AS k0, coalesce(CASE hops WHEN 1 THEN b WHEN 2 THEN b END, peer, 'unknown') AS k1, coalesce(CASE hops WHEN 2 THEN a END, peer, 'unknown') AS k2 FROM e"""
+)
 def client_key(spark, sf_dir):
-    rows = spark.createDataFrame([(1, " 1.1.1.1, 3.3.3.3 ", "10.0.0.9"), (2, None, "10.0.0.9"), (3, None, None), (4, "2.2.2.2", None)], "id int, xff string, peer string")
-    return rows.select("id", text.client_key("xff", "peer", 0).alias("k0"), F.when(F.col("id") == 4, F.col("xff")).otherwise(text.client_key("xff", "peer", 2)).alias("k2"), text.client_key("xff", "peer", 1).alias("k1"))
+    """Forwarding lists of no, one and two addresses, with blanks and empty entries, and missing peers."""
+    a, b = F.concat(F.lit("a"), "user_id"), F.concat(F.lit("b"), "event_id")
+    xff = F.when(F.col("event_id") % 3 == 1, F.concat(F.lit(" , "), b, F.lit(" ,"))).when(F.col("event_id") % 3 == 2, F.concat(a, F.lit(",  "), b))
+    rows = _table(spark, sf_dir, "events", "event_id", "user_id").select("event_id", xff.alias("xff"), F.when(F.col("event_id") % 5 != 0, F.concat(F.lit("p"), "user_id")).alias("peer"))
+    return rows.select("event_id", *[text.client_key("xff", "peer", n).alias(f"k{n}") for n in range(3)])
 
 
 # --- taxonomy, uploads, presentation --------------------------------------------------------------
 
 
 @query(
-    """SELECT * FROM (VALUES (0, 'onet:c', 'C', 'Programming', true, ''), (1, 'esco:data-mining', 'Data mining', 'knowledge', false, 'mining of data,text mining'),
-    (2, 'esco:r', 'R', 'skill', true, '')) AS t(entry_ord, skill_id, name, category, strict, aliases)"""
+    """WITH esco AS (SELECT p_partkey AS k, p_name AS name, CASE WHEN p_partkey % 3 = 0 THEN 'skill' ELSE 'kind ' || p_size END AS category, 'about ' || p_brand AS alias FROM part WHERE p_partkey % 4 <> 0),
+    onet AS (SELECT 1000000000 + p_partkey AS k, p_type AS name, p_brand AS category FROM part),
+    entries AS (SELECT k, 'esco:' || replace(name, ' ', '-') AS skill_id, name, category, alias FROM esco UNION ALL SELECT k, 'onet:' || lower(name), name, category, NULL FROM onet),
+    merged AS (SELECT skill_id, min(k) AS k, arg_min(name, k) AS name, arg_min(category, k) AS category, coalesce(string_agg(DISTINCT alias, ',' ORDER BY alias), '') AS aliases FROM entries GROUP BY 1)
+    SELECT (row_number() OVER (ORDER BY category, lower(name), k) - 1)::INTEGER AS entry_ord, skill_id, name, category, length(name) <= 2 AS strict, aliases FROM merged"""
 )
 def gazetteer_build(spark, sf_dir):
-    esco = spark.createDataFrame([(0, " Data mining ", "knowledge", "mining of data\nData mining|+"), (1, "R", None, None), (2, "a b c d e f", "skill", ""), (3, "Data mining", "other", "text mining"), (4, "#", "skill", "")], "input_ord int, preferredLabel string, skillType string, altLabels string")
-    onet = spark.createDataFrame([(10, "C", "Programming")], "input_ord int, Example string, `Commodity Title` string")
+    """Part names as an occupation list (blank names and lone signs among them) and part types as a technology list."""
+    part = _table(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    name = F.when(F.col("p_partkey") % 8 == 0, "#").when(F.col("p_partkey") % 4 == 0, "  ").otherwise(F.concat(F.lit(" "), "p_name"))
+    labels = F.concat(F.lit("about "), "p_brand", F.lit("\n"), "p_name", F.lit("|+| a b c d e f "))
+    esco = part.select(F.col("p_partkey").cast("long").alias("input_ord"), name.alias("preferredLabel"), F.when(F.col("p_partkey") % 3 != 0, F.concat(F.lit("kind "), "p_size")).alias("skillType"), labels.alias("altLabels"))
+    onet = part.select((F.lit(1_000_000_000) + F.col("p_partkey")).cast("long").alias("input_ord"), F.col("p_type").alias("Example"), F.col("p_brand").alias("Commodity Title"))
     entries = gazetteer.ordered(gazetteer.merge(gazetteer.from_occupations(esco).unionByName(gazetteer.from_technologies(onet))))
     return entries.select("entry_ord", "skill_id", "name", "category", "strict", F.array_join("aliases", ",").alias("aliases"))
 
 
 @query(
-    """SELECT * FROM (VALUES (1, NULL, NULL), (2, 'unsupported_media_type', 415), (3, 'empty_document', 422), (4, 'file_too_large', 413), (5, 'unsupported_media_type', 415),
-    (6, 'too_many_pages', 422), (7, 'not_machine_readable', 422), (8, NULL, NULL)) AS t(id, code, status)"""
+    """WITH o AS (SELECT o_orderkey AS id, o_orderkey % 7 = 0 AS typed, o_totalprice::BIGINT * 15 AS size, o_orderkey % 11 <> 0 AS signed, o_custkey % 13 AS pages, o_custkey * 2 AS characters FROM orders),
+    c AS (SELECT id, CASE WHEN typed THEN 'unsupported_media_type' WHEN size = 0 THEN 'empty_document' WHEN size > 5242880 THEN 'file_too_large' WHEN NOT signed THEN 'unsupported_media_type'
+        WHEN pages > 10 THEN 'too_many_pages' WHEN pages = 0 THEN 'empty_document' WHEN characters = 0 OR characters < 120 * pages THEN 'not_machine_readable' END AS code FROM o)
+    SELECT id, code, CASE code WHEN 'unsupported_media_type' THEN 415 WHEN 'file_too_large' THEN 413 WHEN 'empty_document' THEN 422 WHEN 'too_many_pages' THEN 422 WHEN 'not_machine_readable' THEN 422 END AS status FROM c"""
 )
 def upload_gate(spark, sf_dir):
-    pdf, ok = bytearray(b"%PDF-1.7"), "application/pdf"
-    rows = spark.createDataFrame(
-        [(1, ok, 100, pdf, 1, 500), (2, "text/plain", 100, pdf, 1, 500), (3, ok, 0, bytearray(), 1, 500), (4, ok, 5242881, pdf, 1, 500), (5, ok, 9, bytearray(b"PK"), 1, 500), (6, ok, 9, pdf, 11, 5000), (7, ok, 9, pdf, 2, 239), (8, ok, 5242880, pdf, 10, 1200)],
-        "id int, content_type string, length bigint, content binary, pages int, characters int",
+    """Uploads whose sizes, pages and texts are made from orders."""
+    key, custom = F.col("o_orderkey"), F.col("o_custkey")
+    rows = _table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice").select(
+        key.alias("id"), F.when(key % 7 == 0, "text/plain").otherwise(files.MEDIA_TYPES[0]).alias("content_type"), (F.rint("o_totalprice").cast("long") * 15).alias("length"),
+        F.when(key % 11 == 0, F.lit("PK")).otherwise(F.lit("%PDF-1.7")).cast("binary").alias("content"), (custom % 13).cast("int").alias("pages"), (custom * 2).cast("int").alias("characters"),
     )
     rows = rows.withColumn("code", files.upload_error(page_count=F.col("pages"), characters=F.col("characters")))
     return files.with_error(rows, "code", dims.errors(spark)).select("id", "code", F.col("error.status").alias("status"))
@@ -516,15 +615,26 @@ def present_checks(spark, sf_dir):
     return rows.select("doc_id", "passed", "failed", present.score_tone(F.col("score")).alias("tone"), F.floor(F.col("score") + 0.5).cast("int").alias("shown"))
 
 
+_SHOWN = ("education", "experience", "other", "skills")
+
+
 @query(
-    "SELECT * FROM (VALUES (1, 'Education', 'High', 'frequent', 'text', 'internal_error', 502), (2, 'Other', 'Low', 'occasional', NULL, 'rate_limited', 429)) AS t(id, section, severity, gap, jd, code, status)"
+    """WITH o AS (SELECT o_orderkey AS id, o_orderkey % 4 AS k, o_custkey % 4 AS sev, (o_custkey % 101) / 100.0 AS importance, o_orderkey % 3 AS jd, o_orderkey % 5 AS answer FROM orders)
+    SELECT id, ['Education', 'Experience', 'Other', 'Skills'][1 + k] AS section, ['Critical', 'High', 'Medium', 'Low'][1 + sev] AS severity, CASE WHEN importance >= 0.75 THEN 'frequent' ELSE 'occasional' END AS gap,
+           CASE jd WHEN 0 THEN 'order ' || id WHEN 1 THEN 'x' END AS jd, CASE WHEN answer IN (0, 1) THEN 'rate_limited' ELSE 'internal_error' END AS code, CASE WHEN answer = 4 THEN 502 ELSE 429 END AS status FROM o"""
 )
 def present_labels(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "education", "high", 0.75, " text ", None, None, None), (2, "other", "low", 0.74, "  ", 429, "rate_limited", "slow")], "id int, kind string, sev string, imp double, jd string, status int, code string, message string")
-    error = present.normalised_error(F.col("status"), F.col("code"), F.col("message"), tuple(e[0] for e in dims.ERRORS))
-    return rows.select(
-        "id", present.section_label(F.col("kind")).alias("section"), present.severity_label(F.col("sev")).alias("severity"), present.gap_label(F.col("imp")).alias("gap"),
-        present.job_description(F.col("jd")).alias("jd"), error["code"].alias("code"), error["status"].alias("status"),
+    """Labels, descriptions and passed-on errors made from orders."""
+    key, custom = F.col("o_orderkey"), F.col("o_custkey")
+    kind = F.get(F.array(*[F.lit(k) for k in _SHOWN]), (key % 4).cast("int"))
+    severity = F.get(F.array(*[F.lit(x) for x in ("critical", "high", "medium", "low")]), (custom % 4).cast("int"))
+    described = F.when(key % 3 == 0, F.concat(F.lit("  order "), key, F.lit(" "))).when(key % 3 == 1, "x ").otherwise("   ")
+    # Known codes with a message pass; unknown ones, those without a message, and no answer do not.
+    status, code = F.when(key % 5 != 4, 429), F.when(key % 5 == 2, "what").otherwise("rate_limited")
+    error = present.normalised_error(status, code, F.when(key % 5 != 3, "slow"), tuple(e[0] for e in dims.ERRORS))
+    return _table(spark, sf_dir, "orders", "o_orderkey", "o_custkey").select(
+        key.alias("id"), present.section_label(kind).alias("section"), present.severity_label(severity).alias("severity"), present.gap_label((custom % 101) / 100).alias("gap"),
+        present.job_description(described).alias("jd"), error["code"].alias("code"), error["status"].alias("status"),
     )
 
 

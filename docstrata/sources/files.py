@@ -34,10 +34,17 @@ class Settings:
         return cls(**{k: int(v) for k, v in given.items()})
 
 
-def read_uploads(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
-    """(path, content_type, length, content) of the files below ``path``; the length filter reaches the scan."""
+def read_uploads(spark: SparkSession, path: str, glob: str = "*.pdf", settings: Settings = Settings()) -> DataFrame:
+    """(path, content_type, length, content) of the files below ``path``.
+
+    Files above the size limit are listed without their content: filters on the length reach the scan, so
+    such a file is never read.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.lit(MEDIA_TYPES[0]).alias("content_type"), "length", "content")
+    limit = F.lit(settings.max_upload_bytes)
+    small = files.filter(F.col("length") <= limit).select("path", "length", "content")
+    large = files.filter(F.col("length") > limit).select("path", "length", F.lit(None).cast("binary").alias("content"))
+    return small.unionByName(large).select("path", F.lit(MEDIA_TYPES[0]).alias("content_type"), "length", "content")
 
 
 def upload_error(settings: Settings = Settings(), page_count: Column | None = None, characters: Column | None = None) -> Column:
