@@ -207,6 +207,8 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, percent: int, words: in
     least = links.join(where, "node").groupBy("component").agg(F.min("id").alias("component_id"))
     linked = links.join(least, "component").select("node", "component_id")
     components = where.join(linked, "node", "left").select(F.col("node").alias("set_key"), F.coalesce("component_id", "id").alias("component_id"))
+    # Both sides of this join are plain reads, so adaptive execution can split a set that most rows have.
+    components = stored(components, "components")
     out = drawn.select("id", "text_hash", "n_shingles", "set_key").join(components, "set_key", "left")
     return out.withColumn("component_id", F.when(F.col("set_key").isNull(), F.col("id")).otherwise(F.col("component_id"))).drop("set_key")
 
