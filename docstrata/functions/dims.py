@@ -95,6 +95,11 @@ def role_skills(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, schemas.ROLE_SKILLS)
 
 
+def unknown_skills(roles: DataFrame, surfaces: DataFrame) -> DataFrame:
+    """(role, skill_id) of the role skills that no taxonomy entry has; a sound set of dimensions has none."""
+    return roles.select("role", "skill_id").join(surfaces.select("skill_id").distinct(), "skill_id", "left_anti").select("role", "skill_id")
+
+
 # Codes and status numbers are fixed; the wording is ours.
 ERRORS = (
     ("file_too_large", 413, "The file is larger than the limit.", "Reduce embedded pictures or export at lower quality."),

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 #: The characters that Python's ``str.split`` and ``str.strip`` treat as white space.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
-# Fixed patterns: glyphs without a mapping, and what separates tokens.
+# Fixed patterns: glyphs without a mapping, and what separates tokens (dots at their ends do, too).
 UNMAPPABLE = r"[\uE000-\uF8FF\uFFFD]"
-NO_TOKEN = r"[^A-Za-z0-9+#.]+"
+NO_TOKEN = r"(?<!\.)\.*+[^A-Za-z0-9+#.]+|(?<!\.)\.++$"
 
 
 def col(c: str | Column) -> Column:
@@ -30,7 +30,7 @@ def right_stripped(x: str | Column) -> Column:
 
 
 def words(x: str | Column) -> Column:
-    return F.filter(F.split(col(x), f"{SPACE}+"), lambda w: w != "")
+    return F.array_remove(F.split(col(x), f"{SPACE}+"), "")
 
 
 def word_count(x: str | Column) -> Column:
@@ -81,7 +81,7 @@ def surface(x: str | Column) -> Column:
 
 def tokens(x: str | Column) -> Column:
     """Tokens as written, without trailing dots."""
-    return F.filter(F.transform(F.split(col(x), NO_TOKEN), lambda t: F.rtrim(t, F.lit("."))), lambda t: t != "")
+    return F.array_remove(F.split(col(x), NO_TOKEN), "")
 
 
 def excerpt(x: str | Column, most: int = 200) -> Column:

@@ -33,7 +33,7 @@ def from_missing_sections(missing: DataFrame, advice: DataFrame, key: str = "doc
 
 def from_unevidenced_skills(skills: DataFrame, key: str = "doc_id") -> DataFrame:
     """At most one suggestion a document, naming the first claimed skills in their order."""
-    claimed = skills.filter("evidence = 'claimed'").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("skill_ord", "name"))).alias("c"))
+    claimed = skills.filter("evidence = 'claimed'").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("skill_ord", "name"))).alias("c"))
     names = F.transform("c", lambda c: c["name"])
     return claimed.select(
         key, F.lit(2).alias("source_ord"), F.lit(0).alias("item_ord"), F.lit("skills.unevidenced").alias("id"), F.lit("medium").alias("severity"),

@@ -28,7 +28,7 @@ def _by_appearances(rows: DataFrame, keys: list[str], amount: Column, name: str)
     the order of that count, so no result depends on how rows are dealt out.
     """
     per = rows.groupBy(*keys, "appearances").agg(F.sum(amount).alias("amount"))
-    per = per.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("appearances", "amount"))).alias("parts"))
+    per = per.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("appearances", "amount"))).alias("parts"))
     return per.select(*keys, F.aggregate("parts", F.lit(0.0), lambda total, p: total + p["amount"] / p["appearances"]).alias(name))
 
 
@@ -52,7 +52,7 @@ def top_profiles(owned: DataFrame, profiles: DataFrame, owner: str = "doc_id", p
     """
     score = coverage(owned, profiles, owner, profile, item).withColumn("score", F.col("matched") / (F.col("available") * 10.0))
     # Sums in a fixed order, so that equal inputs give equal doubles.
-    per = score.groupBy(owner).agg(F.array_sort(F.collect_list("score")).alias("all"))
+    per = score.groupBy(owner).agg(F.sort_array(F.collect_list("score")).alias("all"))
     per = per.select(owner, F.aggregate("all", F.lit(0.0), lambda a, x: a + x).alias("total"))
     order = Window.partitionBy(owner).orderBy(F.desc("score"), profile)
     ranked = score.join(per, owner).withColumn("rank", F.row_number().over(order)).filter((F.col("rank") <= k) & (F.col("score") > 0))
@@ -72,8 +72,8 @@ def gap_analysis(owned: DataFrame, required: DataFrame, names: DataFrame, owner:
     gap = F.struct((-F.col("importance")).alias("order"), F.col("name").alias("skill"), "importance")
     out = rows.groupBy(owner, request).agg(
         rounded(F.count_if("has") / F.count(F.lit(1)), 2).alias("similarity"),
-        F.array_sort(F.collect_list(F.when(F.col("has"), F.col("name")))).alias("matched_skills"),
-        F.array_sort(F.collect_list(F.when(~F.col("has"), gap))).alias("gaps"),
+        F.sort_array(F.collect_list(F.when(F.col("has"), F.col("name")))).alias("matched_skills"),
+        F.sort_array(F.collect_list(F.when(~F.col("has"), gap))).alias("gaps"),
     )
     cut = F.transform(F.slice("gaps", 1, k), lambda g: F.struct(g["skill"].alias("skill"), g["importance"].alias("importance")))
     return out.select(owner, request, "similarity", "matched_skills", cut.alias("missing_skills"))

@@ -41,7 +41,7 @@ def from_technologies(rows: DataFrame) -> DataFrame:
 def merge(entries: DataFrame) -> DataFrame:
     """One row per skill id: the first entry's name, category and strictness, and everyone's aliases."""
     first = F.min(F.struct("input_ord", "name", "category", "strict")).alias("f")
-    merged = entries.groupBy("skill_id").agg(first, F.array_sort(F.array_distinct(F.flatten(F.collect_list("aliases")))).alias("aliases"))
+    merged = entries.groupBy("skill_id").agg(first, F.sort_array(F.array_distinct(F.flatten(F.collect_list("aliases")))).alias("aliases"))
     return merged.select("skill_id", "f.name", "f.category", "f.strict", "aliases", "f.input_ord")
 
 

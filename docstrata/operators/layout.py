@@ -31,7 +31,7 @@ def lines(styled: DataFrame) -> DataFrame:
 
     Bold means that every span with more than white space is bold.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("span_seq", "text", "size", "bold")))
+    ordered = F.sort_array(F.collect_list(F.struct("span_seq", "text", "size", "bold")))
     rows = styled.groupBy(*PAGE, "line_seq").agg(
         ordered.alias("s"),
         *[F.first(f"line_{c}").alias(c) for c in ("x0", "top", "x1", "bottom")],
@@ -131,7 +131,7 @@ def cluster_rows(placed: DataFrame, key: list[str]) -> DataFrame:
     """Adds ``row`` and the reading order within a column: rows from the top, items from the left."""
     height = F.when(F.col("bottom") > F.col("top"), F.col("bottom") - F.col("top"))
     grouped = placed.groupBy(*key).agg(
-        F.array_sort(F.collect_list(F.struct("top", "x0", "line_seq"))).alias("items"), (F.coalesce(F.median(height), F.lit(0.0)) * ROW_TOLERANCE).alias("tolerance")
+        F.sort_array(F.collect_list(F.struct("top", "x0", "line_seq"))).alias("items"), (F.coalesce(F.median(height), F.lit(0.0)) * ROW_TOLERANCE).alias("tolerance")
     )
     rows = grouped.select(*key, F.explode(F.arrays_zip("items", row_numbers(F.col("items"), F.col("tolerance")).alias("row"))).alias("z"))
     return rows.select(*key, F.col("z.items.line_seq").alias("line_seq"), F.col("z.row").alias("row"))
@@ -164,7 +164,7 @@ def running_furniture(placed: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def font_families(styled: DataFrame, key: str = "doc_id") -> DataFrame:
-    return styled.filter("font <> ''").groupBy(key).agg(F.array_sort(F.collect_set(font_family("font"))).alias("font_families"))
+    return styled.filter("font <> ''").groupBy(key).agg(F.sort_array(F.collect_set(font_family("font"))).alias("font_families"))
 
 
 def document_statistics(ordered: DataFrame, pages: DataFrame, styled: DataFrame) -> DataFrame:

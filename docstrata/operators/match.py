@@ -14,7 +14,7 @@ DEMONSTRATING = ("experience", "projects", "publications")
 
 
 #: Hits that a scan takes one by one before it puts them with the others.
-RUN = 128
+RUN = 16
 
 
 def greedy(hits: Column) -> Column:
@@ -51,8 +51,9 @@ def exact_matches(texts: DataFrame, surfaces: DataFrame, keys: list[str], longes
     """
     allowed = F.lit(False) if allow_strict is None else allow_strict
     rows = texts.select(*keys, allowed.alias("allowed"), tokens(text_col).alias("tk"))
-    windows = F.transform("tk", lambda _, i: F.slice("tk", i + 1, longest)) if longest > 1 else F.transform("tk", lambda t: F.array(t))
-    rows = rows.select(*keys, "allowed", F.posexplode(windows).alias("pos", "win"))
+    # Each place with the words that follow, cut from the array at once, so the array travels nowhere.
+    rows = rows.select(*keys, "allowed", "tk", F.posexplode("tk").alias("pos", "word"))
+    rows = rows.select(*keys, "allowed", "pos", F.slice("tk", F.col("pos") + 1, F.lit(longest)).alias("win"))
     # Only places whose first word opens some surface are expanded.
     heads = surfaces.select(F.substring_index("surface", " ", 1).alias("head")).distinct()
     rows = rows.withColumn("head", F.lower(F.col("win")[0])).join(heads, "head", "left_semi")
@@ -61,7 +62,7 @@ def exact_matches(texts: DataFrame, surfaces: DataFrame, keys: list[str], longes
     hits = rows.join(surfaces.select("surface", "skill_id", "name", "strict"), "surface")
     hits = hits.filter("NOT strict OR (allowed AND (written = name OR written = surface))")
     found = F.struct("pos", (-F.col("n")).alias("shorter"), "n", "skill_id")
-    gathered = hits.groupBy(*keys).agg(F.array_sort(F.collect_list(found)).alias("hits"))
+    gathered = hits.groupBy(*keys).agg(F.sort_array(F.collect_list(found)).alias("hits"))
     return gathered.select(*keys, F.explode(greedy(F.col("hits"))).alias("h")).select(*keys, "h.pos", "h.n", "h.skill_id")
 
 
@@ -137,7 +138,7 @@ def extract_skills(section_texts: DataFrame, surfaces: DataFrame, longest: int,
     first = near.groupBy(doc, "skill_id").agg(F.min(F.struct("section_ord", "pos", "kind")).alias("at"))
     added = first.join(exact.select(doc, "skill_id").distinct(), [doc, "skill_id"], "left_anti").select(doc, F.col("at.kind").alias("kind"), "skill_id")
     found = exact.withColumn("confidence", F.lit(EXACT_CONFIDENCE)).unionByName(added.withColumn("confidence", F.lit(FUZZY_CONFIDENCE)))
-    skills = found.groupBy(doc, "skill_id").agg(F.array_sort(F.collect_set("kind")).alias("found_in"), F.max("confidence").alias("confidence"))
+    skills = found.groupBy(doc, "skill_id").agg(F.sort_array(F.collect_set("kind")).alias("found_in"), F.max("confidence").alias("confidence"))
     shown = F.arrays_overlap("found_in", F.array(*[F.lit(k) for k in DEMONSTRATING]))
     named = surfaces.groupBy("skill_id").agg(F.first("name").alias("name"), F.first("category").alias("category"))
     skills = skills.join(named, "skill_id").withColumn("evidence", F.when(shown, "demonstrated").otherwise("claimed"))

@@ -56,6 +56,16 @@ def normalised_error(status: Column, code: Column, message: Column, known: tuple
     )
 
 
+#: The path that health checks ask for; they are not logged.
+HEALTH_PATH = "/v1/health"
+
+
+def logged_requests(requests: DataFrame, path: str = "path") -> DataFrame:
+    """Requests that belong into the log: all but health checks."""
+    return requests.filter(~F.col(path).eqNullSafe(F.lit(HEALTH_PATH)))
+
+
+# The names of the columns are fixed.
 def log_shape(result: DataFrame) -> DataFrame:
     """One row of numbers and flags per analysed document, with none of its content."""
     other = lambda labelled: F.size(F.filter("sections", lambda s: (s["kind"] == "other") & (s["heading"].isNotNull() if labelled else s["heading"].isNull())))

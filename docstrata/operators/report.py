@@ -1,4 +1,8 @@
-"""An HTML report column from an analysis result."""
+"""A report of an analysis result: titled blocks of lines, as an HTML column or as pages of text.
+
+What is shown is one array of ``(block, mark, text)``; HTML and pages are two renderings of it, so they
+never differ in content.
+"""
 
 from __future__ import annotations
 
@@ -7,44 +11,61 @@ from pyspark.sql import functions as F
 
 from docstrata.functions.text import html_escape, percent_half_even
 
+#: Skills of one kind that a report lists at most.
 MAX_LISTED = 60
+#: Lines of an A4 page of 12 point text inside margins of 48 points.
+PAGE_LINES = 62
 
 
-def _text(x: Column) -> Column:
-    return F.coalesce(x.cast("string"), F.lit(""))
+def _line(block: str, text: Column, mark: Column | str = "") -> Column:
+    return F.struct(F.lit(block).alias("block"), (F.lit(mark) if isinstance(mark, str) else mark).alias("mark"), F.coalesce(text.cast("string"), F.lit("")).alias("text"))
 
 
-def _list(items: Column, empty: str) -> Column:
-    return F.when(F.size(items) > 0, F.concat(F.lit("<ul>"), F.array_join(items, ""), F.lit("</ul>"))).otherwise(F.lit(empty))
+def _percent(share: Column) -> Column:
+    return F.concat(percent_half_even(share).cast("string"), F.lit(" %"))
 
 
-def _names(items: Column) -> Column:
-    escaped = F.transform(items, html_escape)
-    return F.when(F.size(items) > 0, F.array_join(escaped, ", ")).otherwise("none")
+def report_lines() -> Column:
+    """The lines of a result's report in order: block, mark (a severity, a verdict, a share) and text."""
+    c = F.col
+    facts = F.array(
+        _line("Overview", F.round("ats.score").cast("int"), "score"),
+        _line("Overview", c("rubric_version"), "rubric"),
+        *[_line("Overview", c(f"document.{name}"), shown) for name, shown in (("page_count", "pages"), ("word_count", "words"), ("column_count", "columns"))],
+    )
+    advice = F.transform("suggestions", lambda s: _line("Advice", F.concat_ws(" - ", s["title"], s["detail"]), s["severity"]))
+    rules = F.transform("ats.checks", lambda k: _line("Rules", F.concat_ws(" - ", k["label"], k["explanation"]), F.when(k["passed"], "met").otherwise("not met")))
+    parts = F.concat(
+        F.transform("sections", lambda s: _line("Parts", s["kind"], "present")),
+        F.transform("missing_sections", lambda kind: _line("Parts", kind, "absent")),
+    )
 
+    def skills(evidence: str) -> Column:
+        names = F.slice(F.filter("skills", lambda s: s["evidence"] == evidence), 1, MAX_LISTED)
+        return F.transform(names, lambda s: _line("Skills", s["name"], evidence))
 
-def report_html() -> Column:
-    """Heading, suggestions, checks, sections, skills and fit, every text escaped."""
-    c = F.col
-    head = F.concat(
-        F.lit("<h1>Document analysis</h1><p>"), _text(c("document.page_count")), F.lit(" page(s), "), _text(c("document.word_count")), F.lit(" words, "),
-        _text(c("document.column_count")), F.lit(" column(s). Rubric "), html_escape("rubric_version"), F.lit(".</p><p>"), _text(F.rint("ats.score").cast("int")), F.lit(" / 100</p>"),
-    )
-    tips = F.transform("suggestions", lambda s: F.concat(F.lit("<li><b>["), F.upper(s["severity"]), F.lit("] "), html_escape(s["title"]), F.lit("</b><br>"), html_escape(s["detail"]), F.lit("</li>")))
-    checks = F.transform("ats.checks", lambda k: F.concat(F.lit("<li><b>"), F.when(k["passed"], "PASS").otherwise("FAIL"), F.lit("</b> "), html_escape(k["label"]), F.lit("<br>"), html_escape(k["explanation"]), F.lit("</li>")))
-    kinds = F.transform("sections", lambda s: s["kind"])
-    of = lambda e: F.slice(F.transform(F.filter("skills", lambda s: s["evidence"] == e), lambda s: s["name"]), 1, MAX_LISTED)
-    roles = F.transform("fit.predictions", lambda p: F.concat(F.lit("<li>"), html_escape(p["role"]), F.lit(" ("), _text(percent_half_even(p["confidence"])), F.lit("%)</li>")))
+    roles = F.transform("fit.predictions", lambda p: _line("Roles", p["role"], _percent(p["confidence"])))
     jd = c("fit.job_description")
-    match = F.when(jd.isNull(), "").otherwise(
-        F.concat(
-            F.lit("<h2>Target job match</h2><p><b>Similarity:</b> "), _text(percent_half_even(jd["similarity"])), F.lit("%</p><p><b>Matched:</b> "), _names(jd["matched_skills"]),
-            F.lit("</p><p><b>Missing:</b> "), _names(F.transform(jd["missing_skills"], lambda g: g["skill"])), F.lit("</p>"),
-        )
+    nothing = F.slice(facts, 1, 0)
+    wanted = F.concat(
+        F.array(_line("Position", _percent(jd["similarity"]), "covered")),
+        F.transform(jd["matched_skills"], lambda name: _line("Position", name, "has")),
+        F.transform(jd["missing_skills"], lambda gap: _line("Position", gap["skill"], "lacks")),
+    )
+    return F.concat(facts, advice, rules, parts, skills("demonstrated"), skills("claimed"), roles, F.when(jd.isNull(), nothing).otherwise(wanted))
+
+
+def report_html(lines: Column | None = None) -> Column:
+    """The lines as one table, a row each, every text escaped."""
+    row = lambda x: F.concat(F.lit("<tr><th>"), html_escape(x["block"]), F.lit("</th><td>"), html_escape(x["mark"]), F.lit("</td><td>"), html_escape(x["text"]), F.lit("</td></tr>"))
+    return F.concat(F.lit("<table>"), F.array_join(F.transform(report_lines() if lines is None else lines, row), ""), F.lit("</table>"))
+
+
+def report_pages(lines: Column | None = None, page_lines: int = PAGE_LINES) -> Column:
+    """The lines as text, ``page_lines`` to a page; a report has one page at least."""
+    shown = F.transform(report_lines() if lines is None else lines, lambda x: F.concat_ws(" | ", x["block"], x["mark"], x["text"]))
+    paged = lambda all_lines: F.transform(
+        F.sequence(F.lit(0), F.floor((F.greatest(F.size(all_lines), F.lit(1)) - 1) / page_lines).cast("int")),
+        lambda k: F.array_join(F.slice(all_lines, k * page_lines + 1, F.lit(page_lines)), "\n"),
     )
-    return F.concat(
-        head, F.lit("<h2>What to fix</h2>"), _list(tips, "<p>Nothing to fix.</p>"), F.lit("<h2>Checks</h2>"), _list(checks, ""),
-        F.lit("<h2>Sections</h2><p><b>Found:</b> "), _names(kinds), F.lit("</p><p><b>Missing:</b> "), _names(c("missing_sections")),
-        F.lit("</p><h2>Skills</h2><p><b>Demonstrated:</b> "), _names(of("demonstrated")), F.lit("</p><p><b>Claimed only:</b> "), _names(of("claimed")),
-        F.lit("</p><h2>Role fit</h2>"), _list(roles, "<ul><li>No roles matched.</li></ul>"), match,
-    )
+    return F.get(F.transform(F.array(shown), paged), 0)

@@ -69,7 +69,7 @@ def sections(lines: DataFrame, aliases: DataFrame) -> DataFrame:
     rows = _owned(lines, aliases)
     own_heading = F.coalesce(F.col("is_heading") & (F.col("line_index") == F.col("start")), F.lit(False))
     body = ~own_heading
-    text = F.array_sort(F.collect_list(F.when(body, F.struct("line_index", "text"))))
+    text = F.sort_array(F.collect_list(F.when(body, F.struct("line_index", "text"))))
     built = rows.groupBy("doc_id", "start", "kind").agg(
         F.max(F.when(own_heading, F.col("text"))).alias("heading"),
         F.coalesce(F.min_by("page_number", F.when(body, F.col("line_index"))), F.lit(1)).alias("page"),
@@ -104,7 +104,7 @@ def section_texts(lines: DataFrame, found: DataFrame) -> DataFrame:
     """(doc_id, section_ord, kind, text): the lines of each section's place, joined; one row per kind."""
     spans = found.filter("word_count > 0").select("doc_id", "section_ord", "kind", F.explode(F.sequence("line_start", "line_end")).alias("line_index"))
     rows = spans.join(lines.select("doc_id", "line_index", stripped("text").alias("text")), ["doc_id", "line_index"])
-    bodies = rows.groupBy("doc_id", "kind", "section_ord").agg(F.array_sort(F.collect_list(F.struct("line_index", "text"))).alias("t"))
+    bodies = rows.groupBy("doc_id", "kind", "section_ord").agg(F.sort_array(F.collect_list(F.struct("line_index", "text"))).alias("t"))
     bodies = bodies.select("doc_id", "kind", "section_ord", F.array_join(F.transform("t", lambda t: t["text"]), " ").alias("body")).filter("body <> ''")
-    whole = bodies.groupBy("doc_id", "kind").agg(F.min("section_ord").alias("section_ord"), F.array_sort(F.collect_list(F.struct("section_ord", "body"))).alias("b"))
+    whole = bodies.groupBy("doc_id", "kind").agg(F.min("section_ord").alias("section_ord"), F.sort_array(F.collect_list(F.struct("section_ord", "body"))).alias("b"))
     return whole.select("doc_id", "section_ord", "kind", stripped(F.array_join(F.transform("b", lambda b: b["body"]), " ")).alias("text"))

@@ -11,7 +11,7 @@ from docstrata import schemas
 from docstrata.functions import dims
 from docstrata.functions.storage import stored
 from docstrata.operators import advise, ats, fit, layout, match, segment
-from docstrata.operators.report import report_html
+from docstrata.operators.report import report_html, report_lines, report_pages
 
 
 @dataclass
@@ -32,7 +32,7 @@ class Dimensions:
 
 
 def _gathered(rows: DataFrame, key: str, order: str, name: str, fields: list[str]) -> DataFrame:
-    packed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), *fields)))
+    packed = F.sort_array(F.collect_list(F.struct(F.col(order).alias("_o"), *fields)))
     return rows.groupBy(key).agg(F.transform(packed, lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias(name))
 
 
@@ -91,4 +91,6 @@ def with_stamps(result: DataFrame) -> DataFrame:
 
 
 def with_report(result: DataFrame) -> DataFrame:
-    return result.withColumn("html", report_html())
+    """Adds the report as HTML and as pages of text."""
+    lined = result.withColumn("lines", report_lines())
+    return lined.withColumn("html", report_html(F.col("lines"))).withColumn("pages", report_pages(F.col("lines"))).drop("lines")

@@ -555,6 +555,19 @@ def limiter_retry_after(spark, sf_dir):
     return _admitted(spark, sf_dir).filter("NOT admitted").select("event_id", text.retry_after(F.col("wait_us") / 1e6).alias("retry_after"))
 
 
+@query("SELECT event_id FROM events WHERE event_type <> 'view'")
+def limiter_logged_requests(spark, sf_dir):
+    """Views stand for health checks."""
+    rows = _table(spark, sf_dir, "events", "event_id", "event_type")
+    return present.logged_requests(rows.withColumn("path", F.when(F.col("event_type") == "view", present.HEALTH_PATH).otherwise(F.col("event_type")))).select("event_id")
+
+
+@query("SELECT DISTINCT p_brand AS role, p_name AS skill_id FROM part WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_size < 10)")
+def dims_unknown_skills(spark, sf_dir):
+    known = _table(spark, sf_dir, "part", "p_name", "p_size").filter("p_size < 10").select(F.col("p_name").alias("skill_id"))
+    return dims.unknown_skills(_profiles(spark, sf_dir), known)
+
+
 @query(
     """WITH e AS (SELECT event_id, 'a' || user_id AS a, 'b' || event_id AS b, CASE WHEN event_id % 5 <> 0 THEN 'p' || user_id END AS peer, event_id % 3 AS hops FROM events)
     SELECT event_id, coalesce(peer, 'unknown') AS k0, coalesce(CASE hops WHEN 1 THEN b WHEN 2 THEN b END, peer, 'unknown') AS k1, coalesce(CASE hops WHEN 2 THEN a END, peer, 'unknown') AS k2 FROM e"""

@@ -137,7 +137,11 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scrub_records(records: DataFrame, field: str = "text") -> DataFrame:
-    """Each record with contact details masked in ``field``; its other fields and their order stay."""
+    """Each record with contact details masked in ``field``; its other fields and their order stay.
+
+    Items are parted by ``, `` and names from values by ``: ``, at every depth, and letters stay unescaped.
+    A line that is no JSON object fails the job with that line's beginning in the message.
+    """
     as_map = F.from_json("value", "map<string,string>")
     old = F.get_json_object("value", f"$.{field}")
     parts = F.transform(F.map_keys(as_map), lambda k: F.struct(k.alias("k")))
@@ -147,10 +151,18 @@ def scrub_records(records: DataFrame, field: str = "text") -> DataFrame:
         lambda p: F.concat(
             F.to_json(F.array(p["k"])).substr(F.lit(2), F.length(F.to_json(F.array(p["k"]))) - 2),
             F.lit(": "),
-            F.when(p["k"] == field, _json_string(scrubbed(old))).otherwise(F.to_json(F.element_at(raw, p["k"]))),
+            F.when(p["k"] == field, _json_string(scrubbed(old))).otherwise(_spaced(F.to_json(F.element_at(raw, p["k"])))),
         ),
     )
-    return records.select(F.concat(F.lit("{"), F.array_join(pieces, ", "), F.lit("}")).alias("value"))
+    whole = F.concat(F.lit("{"), F.array_join(pieces, ", "), F.lit("}"))
+    broken = F.raise_error(F.concat(F.lit("not a JSON object: "), F.substring("value", 1, 80))).cast("string")
+    return records.select(F.when(as_map.isNull(), broken).otherwise(whole).alias("value"))
+
+
+def _spaced(json: Column) -> Column:
+    """Compact JSON with a blank behind every comma and colon outside strings."""
+    parts = F.regexp_extract_all(json, F.lit(r'"(?:[^"\\]|\\.)*"|[^",:]+|[,:]'), F.lit(0))
+    return F.array_join(F.transform(parts, lambda x: F.when(x.isin(",", ":"), F.concat(x, F.lit(" "))).otherwise(x)), "")
 
 
 def _json_string(x: Column) -> Column:

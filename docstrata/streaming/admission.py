@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,6 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from docstrata.operators.admission import admit
+
+
+def admit_any(requests: DataFrame, limit: int, window_us: int, key: str = "key", ts: str = "ts", event: str = "event_id", lateness: str = "0 seconds") -> DataFrame:
+    """The limiter that suits the table: with shared state for a stream, a fold for a batch."""
+    if requests.isStreaming:
+        return admit_stream(requests, limit, window_us, key, ts, event, lateness)
+    return admit(requests, limit, window_us, key, ts, event)
+
 
 def admit_stream(requests: DataFrame, limit: int, window_us: int, key: str = "key", ts: str = "ts", event: str = "event_id", lateness: str = "0 seconds") -> DataFrame:
     """The streaming form of ``operators.admission.admit``: a row per request as it arrives.
@@ -25,11 +35,12 @@ def admit_stream(requests: DataFrame, limit: int, window_us: int, key: str = "ke
         if state.hasTimedOut:
             state.remove()
             return
-        live = list(state.get[0]) if state.exists else []
+        live = deque(state.get[0] if state.exists else ())
         data = pd.concat(list(batches)).sort_values(["us", "event_id"], kind="stable")
         admitted, wait = [], []
         for us in data["us"].tolist():
-            live = [x for x in live if x > us - window_us]
+            while live and live[0] <= us - window_us:
+                live.popleft()
             if 0 < limit <= len(live):
                 admitted.append(False)
                 wait.append(live[0] + window_us - us)
@@ -38,7 +49,7 @@ def admit_stream(requests: DataFrame, limit: int, window_us: int, key: str = "ke
                     live.append(us)
                 admitted.append(True)
                 wait.append(None)
-        state.update((live,))
+        state.update((list(live),))
         if live:
             expires = (live[-1] + window_us) // 1000 + 1
             state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
