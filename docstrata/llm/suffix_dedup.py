@@ -35,8 +35,9 @@ LENGTH = 400
 GRAM = 64
 #: Bytes of units from which on a shard ends.
 SHARD_BYTES = 4 << 20
-#: A minimizer with more bytes of different units is dealt over several shards, so many bytes to each.
-DEAL_BYTES = 1 << 19
+#: A minimizer with more bytes of different units is dealt over several shards, so many bytes to each.  Every
+#: window of a dealt unit is a row then, so minimizers that fit in one shard stay together.
+DEAL_BYTES = SHARD_BYTES
 #: Units whose windows are handled together when a shard is done.
 UNITS = 4096
 #: Texts longer than this are scanned in overlapping parts; positions within a part fit in 20 bits.
