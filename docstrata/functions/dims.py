@@ -2,30 +2,22 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from docstrata import schemas
 from docstrata.functions import seed
 from docstrata.functions.text import surface
 
 
-def _lines(text: str) -> list[str]:
-    return [x for x in text.strip().splitlines() if x]
-
-
-def seed_skills() -> list[tuple[str, str, str, bool, list[str]]]:
-    """(id, name, category, strict, aliases) in order."""
-    out, category = [], ""
-    for line in _lines(seed.SKILLS):
-        if line.startswith("["):
-            category = line.strip("[]")
-            continue
-        head, _, aliases = line.partition(" | ")
-        strict = head.endswith(" !")
-        name, _, key = head.removesuffix(" !").rpartition(" = ")
-        out.append((f"seed:{key}", name, category, strict, [a for a in aliases.split(", ") if a]))
-    return out
+def small_frame(spark: SparkSession, rows, schema: str) -> DataFrame:
+    """Rows as a local relation, whose size the optimizer knows; rows from Python objects would count as unbounded."""
+    kinds = StructType.fromDDL(schema)
+    columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+    return spark.createDataFrame(pa.table([pa.array(list(c), f.type) for c, f in zip(columns, to_arrow_schema(kinds), strict=True)], kinds.names), kinds)
 
 
 def taxonomy(skills: DataFrame) -> DataFrame:
@@ -44,21 +36,20 @@ def taxonomy(skills: DataFrame) -> DataFrame:
 
 
 def skills_frame(spark: SparkSession, skills=None) -> DataFrame:
-    rows = [(*s, k) for k, s in enumerate(skills if skills is not None else seed_skills())]
-    return spark.createDataFrame(rows, "skill_id string, name string, category string, strict boolean, aliases array<string>, entry_ord int")
+    rows = [(*s[:4], list(s[4]), k) for k, s in enumerate(seed.SKILLS if skills is None else skills)]
+    return small_frame(spark, rows, "skill_id string, name string, category string, strict boolean, aliases array<string>, entry_ord int")
 
 
 def heading_aliases(spark: SparkSession) -> DataFrame:
     """Normalised alias to kind; of a repeated alias the last kind counts."""
     found: dict[str, str] = {}
-    for line in _lines(seed.HEADINGS):
-        kind, _, aliases = line.partition(": ")
-        found |= {" ".join("".join(c if c.isalnum() else " " for c in a.lower()).split()): kind for a in aliases.split(", ")}
-    return spark.createDataFrame(list(found.items()), schemas.HEADING_ALIASES)
+    for kind, aliases in seed.HEADINGS.items():
+        found |= {" ".join("".join(c if c.isalnum() else " " for c in a.lower()).split()): kind for a in aliases}
+    return small_frame(spark, list(found.items()), schemas.HEADING_ALIASES)
 
 
 def expected_sections(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(seed.EXPECTED_SECTIONS)), schemas.EXPECTED_SECTIONS)
+    return small_frame(spark, list(enumerate(seed.EXPECTED_SECTIONS)), schemas.EXPECTED_SECTIONS)
 
 
 ADVICE = {
@@ -80,19 +71,16 @@ TEXTS = {
 
 
 def section_advice(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k, seed.MISSING_SEVERITY[k], *v) for k, v in ADVICE.items()], schemas.SECTION_ADVICE)
+    return small_frame(spark, [(k, seed.MISSING_SEVERITY[k], *v) for k, v in ADVICE.items()], schemas.SECTION_ADVICE)
 
 
 def rubric(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k, *c, *TEXTS[c[0]]) for k, c in enumerate(seed.CHECKS)], schemas.RUBRIC)
+    return small_frame(spark, [(k, *c, *TEXTS[c[0]]) for k, c in enumerate(seed.CHECKS)], schemas.RUBRIC)
 
 
 def role_skills(spark: SparkSession) -> DataFrame:
-    rows = []
-    for line in _lines(seed.ROLES):
-        role, _, skills = line.partition(": ")
-        rows += [(role, f"seed:{s}") for s in skills.split(", ")]
-    return spark.createDataFrame(rows, schemas.ROLE_SKILLS)
+    rows = [(role, skill) for role, skills in seed.ROLES.items() for skill in skills]
+    return small_frame(spark, rows, schemas.ROLE_SKILLS)
 
 
 def unknown_skills(roles: DataFrame, surfaces: DataFrame) -> DataFrame:
@@ -115,4 +103,4 @@ ERRORS = (
 
 
 def errors(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(ERRORS), schemas.ERRORS)
+    return small_frame(spark, list(ERRORS), schemas.ERRORS)

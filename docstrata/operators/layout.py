@@ -133,7 +133,7 @@ def cluster_rows(placed: DataFrame, key: list[str]) -> DataFrame:
     grouped = placed.groupBy(*key).agg(
         F.sort_array(F.collect_list(F.struct("top", "x0", "line_seq"))).alias("items"), (F.coalesce(F.median(height), F.lit(0.0)) * ROW_TOLERANCE).alias("tolerance")
     )
-    rows = grouped.select(*key, F.explode(F.arrays_zip("items", row_numbers(F.col("items"), F.col("tolerance")).alias("row"))).alias("z"))
+    rows = grouped.select(*key, F.explode_outer(F.arrays_zip("items", row_numbers(F.col("items"), F.col("tolerance")).alias("row"))).alias("z"))
     return rows.select(*key, F.col("z.items.line_seq").alias("line_seq"), F.col("z.row").alias("row"))
 
 

@@ -51,19 +51,18 @@ def exact_matches(texts: DataFrame, surfaces: DataFrame, keys: list[str], longes
     """
     allowed = F.lit(False) if allow_strict is None else allow_strict
     rows = texts.select(*keys, allowed.alias("allowed"), tokens(text_col).alias("tk"))
-    # Each place with the words that follow, cut from the array at once, so the array travels nowhere.
-    rows = rows.select(*keys, "allowed", "tk", F.posexplode("tk").alias("pos", "word"))
-    rows = rows.select(*keys, "allowed", "pos", F.slice("tk", F.col("pos") + 1, F.lit(longest)).alias("win"))
-    # Only places whose first word opens some surface are expanded.
+    # The outer form, since Spark would tokenise again to filter empty arrays out before the plain one.
+    rows = rows.select(*keys, "allowed", "tk", F.posexplode_outer("tk").alias("pos", "word"))
+    # Only places whose first word opens some surface go on, with the words that follow.
     heads = surfaces.select(F.substring_index("surface", " ", 1).alias("head")).distinct()
-    rows = rows.withColumn("head", F.lower(F.col("win")[0])).join(heads, "head", "left_semi")
+    rows = rows.select(*keys, "allowed", "pos", F.slice("tk", F.col("pos") + 1, F.lit(longest)).alias("win"), F.lower("word").alias("head")).join(heads, "head", "left_semi")
     rows = rows.select(*keys, "allowed", "pos", "win", F.explode(F.sequence(F.lit(1), F.size("win"))).alias("n"))
     rows = rows.withColumn("written", F.array_join(F.slice("win", F.lit(1), F.col("n")), " ")).withColumn("surface", F.lower("written"))
     hits = rows.join(surfaces.select("surface", "skill_id", "name", "strict"), "surface")
     hits = hits.filter("NOT strict OR (allowed AND (written = name OR written = surface))")
     found = F.struct("pos", (-F.col("n")).alias("shorter"), "n", "skill_id")
     gathered = hits.groupBy(*keys).agg(F.sort_array(F.collect_list(found)).alias("hits"))
-    return gathered.select(*keys, F.explode(greedy(F.col("hits"))).alias("h")).select(*keys, "h.pos", "h.n", "h.skill_id")
+    return gathered.select(*keys, F.explode_outer(greedy(F.col("hits"))).alias("h")).select(*keys, "h.pos", "h.n", "h.skill_id")
 
 
 def mention_counts(texts: DataFrame, surfaces: DataFrame, keys: list[str], longest: int, text_col: str = "text") -> DataFrame:
@@ -133,7 +132,7 @@ def extract_skills(section_texts: DataFrame, surfaces: DataFrame, longest: int,
     (sorted), confidence, skill_ord (demonstrated first, then category and name).
     """
     exact = exact_matches(section_texts, surfaces, [doc, "kind"], longest, F.col("kind") == "skills").select(doc, "kind", "skill_id").distinct()
-    placed = section_texts.select(doc, "section_ord", "kind", F.posexplode(tokens(F.lower("text"))).alias("pos", "token")).filter(F.length("token") >= MIN_FUZZY_LENGTH)
+    placed = section_texts.select(doc, "section_ord", "kind", F.posexplode_outer(tokens(F.lower("text"))).alias("pos", "token")).filter(F.length("token") >= MIN_FUZZY_LENGTH)
     near = placed.join(fuzzy_best(placed.select("token").distinct(), surfaces), "token")
     first = near.groupBy(doc, "skill_id").agg(F.min(F.struct("section_ord", "pos", "kind")).alias("at"))
     added = first.join(exact.select(doc, "skill_id").distinct(), [doc, "skill_id"], "left_anti").select(doc, F.col("at.kind").alias("kind"), "skill_id")

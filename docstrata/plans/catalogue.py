@@ -41,7 +41,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
+    return _docs(spark, sf_dir).select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("ln", "line")).filter("ln IS NOT NULL")
 
 
 LINES = "lines AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS ln, unnest(string_split(text, chr(10))) AS line FROM documents)"
@@ -206,7 +206,7 @@ def match_exact_strict(spark, sf_dir):
 
 def _benchmark_words(spark, sf_dir) -> DataFrame:
     """The words of seven to ten letters in ``benchmark`` as a taxonomy; the name is the word."""
-    found = _table(spark, sf_dir, "benchmark", "text").select(F.explode(text.tokens(F.lower("text"))).alias("name")).filter(F.col("name").rlike("^[a-z]{7,10}$")).distinct()
+    found = _table(spark, sf_dir, "benchmark", "text").select(F.explode_outer(text.tokens(F.lower("text"))).alias("name")).filter(F.col("name").rlike("^[a-z]{7,10}$")).distinct()
     rows = found.select(F.concat(F.lit("b:"), "name").alias("skill_id"), "name", F.lit("word").alias("category"), F.lit(False).alias("strict"), F.array().cast("array<string>").alias("aliases"))
     # A surface is its entry's only one and the words differ, so one order number serves all.
     rows = rows.withColumn("entry_ord", F.lit(0))
@@ -226,7 +226,7 @@ _NEAR = f"""sur AS (SELECT DISTINCT w AS s FROM (SELECT unnest({TOKENS.format(x=
 @query(f"WITH {_NEAR} SELECT t AS token, 'b:' || s AS skill_id, printf('%.2f', score) AS score FROM best")
 def match_fuzzy_top1(spark, sf_dir):
     """The nearest word of ``benchmark`` for every distinct token of ``documents``."""
-    words = _docs(spark, sf_dir).select(F.explode(text.tokens(F.lower("text"))).alias("token")).distinct()
+    words = _docs(spark, sf_dir).select(F.explode_outer(text.tokens(F.lower("text"))).alias("token")).distinct()
     found = match.fuzzy_best(words, _benchmark_words(spark, sf_dir))
     return found.select("token", "skill_id", F.format_number("score", 2).alias("score"))
 
@@ -254,7 +254,7 @@ def _parts(spark, sf_dir) -> DataFrame:
     """Every document's lines in turn as three sections."""
     kinds = F.array(*[F.lit(k) for k in _KINDS])
     numbered = F.transform(F.split("text", "\n"), lambda line, k: F.struct((k % 3).alias("part"), line.alias("line")))
-    rows = _docs(spark, sf_dir).select("doc_id", numbered.alias("l")).select("doc_id", "l", F.explode(F.sequence(F.lit(0), F.least(F.lit(2), F.size("l") - 1))).alias("section_ord"))
+    rows = _docs(spark, sf_dir).select("doc_id", numbered.alias("l")).select("doc_id", "l", F.explode_outer(F.sequence(F.lit(0), F.least(F.lit(2), F.size("l") - 1))).alias("section_ord"))
     own = F.transform(F.filter("l", lambda x: x["part"] == F.col("section_ord")), lambda x: x["line"])
     return rows.select("doc_id", "section_ord", F.get(kinds, F.col("section_ord")).alias("kind"), F.array_join(own, " ").alias("text"))
 

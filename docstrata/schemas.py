@@ -16,6 +16,7 @@ ROLE_SKILLS = "role string, skill_id string"
 RUBRIC = "check_ord int, check_id string, label string, weight double, severity string, passed_text string, failed_text string, fix_title string, fix_detail string"
 ERRORS = "code string, status int, message string, remediation string"
 
+# Kinds, severities and versions.
 SECTION_KINDS = (
     "contact", "summary", "education", "experience", "skills", "projects", "certifications",
     "awards", "publications", "languages", "interests", "references", "other",
