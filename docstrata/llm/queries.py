@@ -12,6 +12,7 @@ from docstrata.llm.common import read_table
 from docstrata.llm.exact_dedup import exact_duplicates
 from docstrata.llm.fingerprint import edited_fingerprints
 from docstrata.llm.langid import detect_languages, train
+from docstrata.llm.lexical import ranked_search
 from docstrata.llm.minhash import near_duplicates
 from docstrata.llm.packing import pack_documents
 from docstrata.llm.secrets import scan_secrets
@@ -65,6 +66,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
@@ -88,5 +93,19 @@ FROM part LEFT JOIN (SELECT * FROM fit WHERE k = 1) USING (page_id)
 """
 
 
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+_OP11 = f"""
+WITH term AS (SELECT doc_id, unnest({_TERMS}) AS t FROM documents),
+asked AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark) GROUP BY ALL),
+size AS (SELECT doc_id, count(*) AS n FROM term GROUP BY 1),
+whole AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS l FROM size),
+held AS (SELECT doc_id, t, count(*) AS tf FROM term WHERE t IN (SELECT t FROM asked) GROUP BY ALL),
+weight AS (SELECT t, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM held, whole GROUP BY t),
+impact AS (SELECT doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // l))) AS x FROM held JOIN size USING (doc_id) JOIN weight USING (t), whole),
+scored AS (SELECT item_id, doc_id, sum(times * x)::BIGINT AS score FROM asked JOIN impact USING (t) GROUP BY ALL)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": _OP2, "op4_url_filter": _OP4}
+    return {"op2_exact_dedup": _OP2, "op4_url_filter": _OP4, "op11_lexical_search": _OP11}
