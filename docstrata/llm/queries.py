@@ -19,6 +19,7 @@ from docstrata.llm.secrets import scan_secrets
 from docstrata.llm.suffix_dedup import remove_repeats
 from docstrata.llm.toxicity import fit, score_documents
 from docstrata.llm.url_filter import judge_urls
+from docstrata.llm.variants import spelling_variants
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +71,10 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
@@ -107,5 +112,24 @@ SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT *, row_number(
 """
 
 
+#: The checksum is worked out bit by bit; words meet in their strings of one letter less.
+_OP13 = r"""
+WITH RECURSIVE run AS (SELECT doc_id, r, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS r FROM documents) WHERE length(r) >= 7 GROUP BY ALL),
+bytes AS (SELECT r, doc_id, k, list_transform(string_split(hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || r)), ''), lambda c: strpos('0123456789ABCDEF', c) - 1) AS x FROM run),
+crc AS (SELECT r, k, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, len(x), 2), lambda i: [16 * x[i] + x[i + 1], 0, 0, 0, 0, 0, 0, 0]))),
+    lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1)))) AS h FROM bytes),
+spelt AS (SELECT CASE WHEN h % 31 = 0 THEN substr(r, 1, (h % length(r))::BIGINT) || substr(r, (h % length(r))::BIGINT + 2) ELSE r END AS w, k FROM crc),
+word AS (SELECT w, sum(k)::BIGINT AS n FROM spelt WHERE length(w) >= 7 GROUP BY w HAVING sum(k) >= 2),
+less AS (SELECT DISTINCT w, n, i, substr(w, 1, i - 1) || substr(w, i + 1) AS x FROM (SELECT w, n, unnest(range(1, length(w) + 1)) AS i FROM word)),
+pair AS (SELECT a.w, b.w AS v, b.n AS v_n FROM less a JOIN word b ON a.x = b.w UNION SELECT b.w, a.w, a.n FROM less a JOIN word b ON a.x = b.w
+    UNION SELECT a.w, b.w, b.n FROM less a JOIN less b ON a.x = b.x AND a.i = b.i AND a.w <> b.w),
+best AS (SELECT w, count(*) AS n_near, max(v_n) AS most, arg_max(v, (v_n, -k)) AS v FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY v) AS k FROM pair) GROUP BY w),
+rated AS (SELECT w, CASE WHEN most >= 10 * n THEN v END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 10 * n THEN most END AS form_n FROM word LEFT JOIN best USING (w)),
+chain AS (SELECT w, w AS r FROM rated UNION ALL SELECT c.w, f.form FROM chain c JOIN rated f ON f.w = c.r WHERE f.form IS NOT NULL),
+last AS (SELECT c.w, c.r FROM chain c JOIN rated f ON f.w = c.r WHERE f.form IS NULL)
+SELECT w AS word, form, r AS root, n, n_near, form_n FROM rated JOIN last USING (w)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": _OP2, "op4_url_filter": _OP4, "op11_lexical_search": _OP11}
+    return {"op2_exact_dedup": _OP2, "op4_url_filter": _OP4, "op11_lexical_search": _OP11, "op13_spelling_variants": _OP13}
