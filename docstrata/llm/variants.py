@@ -12,6 +12,9 @@ first half the second: the walk starts in the middle of the word, once in each t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,6 +31,11 @@ EVERY = 31
 # Fixed: a run's letters, and the letters that a lowered run may have.
 RUN = "[A-Za-zÀ-ÿ]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: The bit of a word's end in the mask of letters.
+END = f"{1 << 62}L"
+#: Masks of 64 bits that tell which rests of words cannot stand below a node.
+MARKS = 3
+_NEXT = ("low", "high", *[f"mark{k}" for k in range(MARKS)])
 #: Seeds of the two tries, and an odd factor with bits all over.
 _SEEDS, _FACTOR, _MASK = (0x9AE16A3B2F90404F, 0xC3A5C85C97CB3127), 0x9E3779B97F4A7C15, (1 << 64) - 1
 
@@ -78,24 +86,54 @@ def _bit(letter: Column) -> tuple[Column, Column]:
     return low.cast("bigint"), F.when(code >= 128, F.expr("shiftleft(1L, code - 192)")).otherwise(F.lit(0).cast("bigint"))
 
 
-def build_trie(words: DataFrame, root: int) -> DataFrame:
-    """The words' ways through the trie, stored: a row for each word and each node of its that is kept.
+def _marks(rest: Column) -> list[Column]:
+    """A rest of a word as one bit in ``MARKS`` masks; a node's masks hold those of all words below it."""
+    h = F.xxhash64(rest)
+    which, bit = F.pmod(h, F.lit(MARKS)), F.pmod(F.shiftright(h, 8), F.lit(64)).cast("int")
+    return [F.when(which == k, F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).otherwise(F.lit(0).cast("bigint")) for k in range(MARKS)]
 
-    Columns: way, word, n, depth, node, and the next kept node of the word: child, child_depth, and the letters
-    behind it (low, high).  Kept are prefixes of ``root`` letters, those that branch and those that are words.
-    Nodes are told by 64-bit hashes: two prefixes with one hash become one node, whose further candidates the last comparison of words drops.
+
+@dataclass(frozen=True)
+class Trie:
+    """Stored tables: the words' ways through the trie, its edges, and the words that end at its nodes."""
+
+    path: DataFrame
+    edges: DataFrame
+
+    def ends(self) -> DataFrame:
+        """(node, near, near_n) of the nodes where words end."""
+        last = self.path.filter(F.col("depth") == F.length("word"))
+        return last.select("node", F.when(F.col("way") == 0, F.col("word")).otherwise(F.reverse("word")).alias("near"), F.col("n").alias("near_n"))
+
+
+def build_trie(words: DataFrame, root: int) -> Trie:
+    """The trie of ``words(word, n)`` and that of the words backwards, below their first ``root`` letters.
+
+    ``path`` has a row for each word and each node of its that is kept: way, word, n, depth, node, and the
+    word's next kept node (child, child_depth).  Kept are prefixes of ``root`` letters, those that branch
+    and those that are words.  ``edges`` has a row per edge and step: under an empty step for states without an
+    edit, under its first letter for those with one; with it go the letters behind the child (low, high) and marks
+    of the rests below it.  Nodes are told by 64-bit hashes: two prefixes with one hash become one node,
+    whose further candidates the last comparison of words drops.
     """
-    steps = _with_nodes(words, root).select("way", "word", "n", F.posexplode("nodes").alias("k", "node"))
+    hashed = stored(_with_nodes(words, root), "prefixes")
+    steps = hashed.select("way", "word", "n", F.posexplode("nodes").alias("k", "node"))
     steps = steps.select("way", "word", "n", (F.col("k") + root).alias("depth"), "node")
-    lettered = steps.select("node", "depth", F.substring(F.col("word"), F.col("depth") + 1, F.lit(1)).alias("letter")).withColumn("code", F.ascii("letter"))
-    low, high = _bit(F.col("letter"))
-    nodes = lettered.groupBy("node").agg(F.bit_or(low).alias("low"), F.bit_or(high).alias("high"), F.min("depth").alias("least"))
-    kept = nodes.filter((F.col("least") == root) | (F.bit_count("low") + F.bit_count("high") > 1) | F.expr("low & 4611686018427387904 <> 0")).drop("least")
-    path = steps.join(kept, "node")
+    lettered = steps.select("node", "depth", F.substring(F.col("word"), F.col("depth") + 1, F.length("word")).alias("rest")).withColumn("code", F.ascii("rest"))
+    masks = zip(_NEXT, [*_bit(F.substring("rest", 1, 1)), *_marks(F.col("rest"))], strict=True)
+    nodes = lettered.groupBy("node").agg(*[F.bit_or(m).alias(c) for c, m in masks], F.min("depth").alias("least"))
+    kept = nodes.filter((F.col("least") == root) | (F.bit_count("low") + F.bit_count("high") > 1) | F.expr(f"low & {END} <> 0")).drop("least")
+    kept = stored(kept, "nodes")
     # A word has no more kept nodes than letters, so its window is bounded.
-    after = lambda c: F.expr(f"lead({c}) OVER (PARTITION BY way, word ORDER BY depth)")
-    out = path.select("way", "word", "n", "depth", "node", after("node").alias("child"), after("depth").alias("child_depth"), after("low").alias("low"), after("high").alias("high"))
-    return stored(out, "trie")
+    after = lambda c: F.expr(f"lead({c}) OVER (PARTITION BY way, word ORDER BY depth)").alias
+    path = steps.join(kept.select("node"), "node", "left_semi")
+    path = stored(path.select("way", "word", "n", "depth", "node", after("node")("child"), after("depth")("child_depth")), "trie")
+    label = F.substring(F.col("word"), F.col("depth") + 1, F.col("child_depth") - F.col("depth"))
+    edges = path.filter("child IS NOT NULL").select("node", "child", label.alias("label")).distinct().join(kept.withColumnRenamed("node", "child"), "child")
+    step = F.explode(F.array(F.lit(""), F.substring("label", 1, 1)))
+    edges = stored(edges.select("node", step.alias("step"), "label", "child", *_NEXT), "edges")
+    release(hashed, kept)
+    return Trie(path, edges)
 
 
 def neighbours(words: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
@@ -104,38 +142,26 @@ def neighbours(words: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
     Words are distinct and have ``min_length`` letters at least.  There are as many rounds as kept nodes on the
     longest way from a word's middle to its end; the frontier is written after each.
     """
-    root = max(1, min_length // 2)
-    trie = build_trie(words, root)
-    label = F.substring(F.col("word"), F.col("depth") + 1, F.col("child_depth") - F.col("depth"))
-    ends = F.col("child_depth") == F.length("word")
-    own = F.when(F.col("way") == 0, F.col("word")).otherwise(F.reverse("word"))
-    edges = trie.filter("child IS NOT NULL").withColumn("label", label).groupBy("node", "child", "label").agg(
-        F.max(F.when(ends, own)).alias("near"), F.max(F.when(ends, F.col("n"))).alias("near_n"), F.first("low").alias("low"), F.first("high").alias("high")
-    )
-    # Under an empty step for states without an edit, under its first letter for those with one.
-    step = F.explode(F.array(F.lit(""), F.substring("label", 1, 1)))
-    edges = stored(edges.select("node", step.alias("step"), "label", "child", "near", "near_n", "low", "high"), "edges")
-    middle = F.floor(F.length("word") / 2)
-    states = trie.filter(F.col("depth") <= middle).groupBy("way", "word").agg(F.max_by("node", "depth").alias("node"), F.max("depth").alias("at"))
+    trie = build_trie(words, max(1, min_length // 2))
+    # An edit with fewer letters before it than half of them, rounded down, has half of them, rounded up, behind it.
+    middle = F.floor((F.length("word") + F.col("way")) / 2)
+    states = trie.path.filter(F.col("depth") <= middle).groupBy("way", "word").agg(F.max_by("node", "depth").alias("node"), F.max("depth").alias("at"))
     states = states.select("way", "word", "at", "node", F.lit(0).alias("edits"))
     levels = []
     while True:
-        level = stored(_advance(states, edges), "frontier")
-        levels.append(level)
-        states = level.filter("near IS NULL").select("way", "word", "at", "node", "edits")
+        levels.append(stored(_advance(states, trie.edges), "frontier"))
+        states = levels[-1].filter("NOT met").drop("met")
         if states.isEmpty():
             break
-    release(trie, edges)
-    pairs = None
-    for level in levels:
-        found = level.filter("near IS NOT NULL").select(F.when(F.col("way") == 0, F.col("word")).otherwise(F.reverse("word")).alias("word"), "near", "near_n")
-        pairs = found if pairs is None else pairs.unionByName(found)
+    release(trie.edges)
+    ended = reduce(DataFrame.unionByName, [level.filter("met").select("way", "word", "node") for level in levels])
+    pairs = ended.join(trie.ends(), "node").select(F.when(F.col("way") == 0, F.col("word")).otherwise(F.reverse("word")).alias("word"), "near", "near_n")
     # One pair may be met in both tries, and by edits of equal letters side by side.
     return pairs.distinct().filter(F.levenshtein("word", "near", 1) == 1)
 
 
 def _advance(states: DataFrame, edges: DataFrame) -> DataFrame:
-    """The states one edge further: those that go on, and with ``near`` those that have met a neighbour."""
+    """The states one edge further: those that go on, and (``met``) those that have come to the end of another word."""
     rest = lambda k: F.substring(F.col("word"), F.col("at") + 1, k)
     met = states.withColumn("step", F.when(F.col("edits") == 0, "").otherwise(rest(F.lit(1)))).join(edges, ["node", "step"])
     m, length = F.length("label"), F.length("word")
@@ -150,16 +176,15 @@ def _advance(states: DataFrame, edges: DataFrame) -> DataFrame:
         goes(m, 0, (F.col("edits") == 0) & same), goes(m, 1, (F.col("edits") == 1) & same),
         goes(m - 1, 1, one(m - 1)), goes(m, 1, one(m)), goes(m + 1, 1, one(m + 1)),
     )
-    moved = met.select("way", "word", F.explode_outer(tries).alias("s"), "child", "near", "near_n", "low", "high").filter("s IS NOT NULL")
-    moved = moved.select("way", "word", "s.at", "s.edits", F.col("child").alias("node"), "near", "near_n", "low", "high")
-    moved = moved.withColumn("letter", rest(F.lit(1))).withColumn("code", F.ascii("letter"))
-    low, high = _bit(F.col("letter"))
+    moved = met.select("way", "word", F.explode_outer(tries).alias("s"), "child", *_NEXT).filter("s IS NOT NULL")
+    moved = moved.select("way", "word", "s.at", "s.edits", F.col("child").alias("node"), *_NEXT)
+    moved = moved.withColumn("rest", rest(length))
     over = F.col("at") == length
-    # With an edit spent, only the next letter may follow; without one, anything that the node has.
-    on = F.when(F.col("edits") == 1, ~over & ((F.col("low").bitwiseAND(low) != 0) | (F.col("high").bitwiseAND(high) != 0))).otherwise(F.expr("(low & ~4611686018427387904L) <> 0 OR high <> 0"))
-    found = (F.col("edits") == 1) & over & F.col("near").isNotNull()
-    moved = moved.filter(on | found)
-    return moved.select("way", "word", "at", "node", "edits", F.when(found, F.col("near")).alias("near"), F.when(found, F.col("near_n")).alias("near_n"))
+    # With an edit spent, only the rest as it is may follow; without one, anything that the node has.
+    held = reduce(or_, [F.col(f"mark{k}").bitwiseAND(m) != 0 for k, m in enumerate(_marks(F.col("rest")))])
+    on = F.when(F.col("edits") == 1, ~over & held).otherwise(F.expr(f"(low & ~{END}) <> 0 OR high <> 0"))
+    met = (F.col("edits") == 1) & over & F.expr(f"low & {END} <> 0")
+    return moved.filter(on | met).select("way", "word", "at", "node", "edits", met.alias("met"))
 
 
 def roots(forms: DataFrame) -> DataFrame:
