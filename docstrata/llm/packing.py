@@ -122,57 +122,105 @@ def token_pieces(docs: DataFrame, path: str, id_col: str, text_col: str, capacit
     return rows.mapInArrow(run, schema)
 
 
-def _best_pattern(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """Unbounded knapsack: the most valuable multiset of ``sizes`` within ``capacity``."""
-    best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+def _priced(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unbounded knapsack: for each class the most valuable multiset of ``sizes`` within ``capacity`` that holds it.
+
+    Returns the values and the patterns, a row each; the best of them is the best pattern of all.
+    """
+    best, counts = np.zeros(capacity + 1), np.zeros((capacity + 1, len(sizes)), np.int32)
+    fits = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
     for room in range(1, capacity + 1):
-        best[room] = best[room - 1]
-        fit = np.searchsorted(sizes, room, side="right")
-        if fit:
+        best[room], counts[room] = best[room - 1], counts[room - 1]
+        if fit := fits[room]:
             gain = values[:fit] + best[room - sizes[:fit]]
             k = int(gain.argmax())
             if gain[k] > best[room] + 1e-12:
-                best[room], pick[room] = gain[k], k
-    counts, room = np.zeros(len(sizes), np.int64), capacity
-    while room > 0:
-        k = pick[room]
-        if k < 0:
-            room -= 1
-            continue
-        counts[k] += 1
-        room -= sizes[k]
-    return float(best[capacity]), counts
+                best[room], counts[room] = gain[k], counts[room - sizes[k]]
+                counts[room, k] += 1
+    return values + best[capacity - sizes], counts[capacity - sizes] + np.eye(len(sizes), dtype=np.int32)
+
+
+#: A pattern of this value or less does not better the plan.
+ENOUGH = 1 + 1e-7
+#: Pivots after which the inverse is worked out anew.
+RENEW = 100
+#: How far prices keep to the best dual values known so far; less where that finds nothing.
+SMOOTH = (0.9, 0.6, 0.0)
+
 
+#: Demands are raised by so small a share, differently for each class, so that no two ratios tie and no basis returns.
+APART = 1e-9
 
-def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, most_rounds: int = 5000) -> tuple[np.ndarray, np.ndarray]:
-    """Patterns (one column each) and how often the linear program uses each.
 
-    ``sizes`` ascend.  The start is one pattern for each class, filled with that class alone; a round
-    adds the pattern with the best reduced cost and pivots, until none is better.  Where degenerate pivots
-    make that long it ends after ``most_rounds``: the patterns in use then cover the demand all the same, only
-    with more padding than the optimum.
+def _leaving(use: np.ndarray, move: np.ndarray) -> int:
+    """The row that leaves: the least ratio; of those that rounding cannot tell apart the one that moves most."""
+    up = np.flatnonzero(move > 1e-7)
+    ratio = use[up] / move[up]
+    tied = up[ratio <= ratio.min() + 1e-13]
+    return int(tied[move[tied].argmax()])
+
+
+def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Patterns (one column each), how often the linear program uses each, and dual values that prove it.
+
+    ``sizes`` ascend.  The start is one pattern for each class, filled with that class alone.  A round
+    prices the best pattern that holds each class, by dual values drawn towards the best known ones, and pivots
+    among these patterns until none is better.  The first known ones are the sizes' shares of the capacity, which
+    no pattern exceeds.  Generation ends at the optimum alone: when the plain dual values price no pattern above
+    ``ENOUGH``, or when feasible dual values reach the plan's own number of sequences.
     """
     m = len(sizes)
+    # Demands are scaled, so that tolerances mean the same for any corpus.
+    scale = float(demand.max())
+    plain = demand / scale
+    want = plain + APART * (1 + np.arange(m) * 0.6180339887498949 % 1)
     patterns = np.diag(capacity // sizes).astype(np.int64)
     inverse = np.diag(1.0 / np.diag(patterns))
-    use = inverse @ demand
-    for _ in range(most_rounds):
-        value, column = _best_pattern(inverse.sum(axis=0), sizes, capacity)
-        if value <= 1 + 1e-7:
+    use, pivots, since = inverse @ want, 0, 0
+    center, near = sizes / capacity, 0
+    while True:
+        dual = inverse.sum(axis=0)
+        if use.sum() - center @ want <= 1e-9 * use.sum():
             break
-        move = inverse @ column
-        up = move > 1e-9
-        ratio = np.full(m, np.inf)
-        ratio[up] = use[up] / move[up]
-        leave = int(ratio.argmin())
-        step = ratio[leave]
-        use = np.maximum(use - step * move, 0)
-        use[leave] = step
-        inverse[leave] /= move[leave]
-        rest = np.arange(m) != leave
-        inverse[rest] -= np.outer(move[rest], inverse[leave])
-        patterns[:, leave] = column
-    return patterns, use
+        share = SMOOTH[near]
+        tried = share * center + (1 - share) * dual
+        values, pool = _priced(tried, sizes, capacity)
+        feasible = tried / max(1.0, values.max())
+        if feasible @ want > center @ want:
+            center = feasible
+        pool = pool[pool @ dual > ENOUGH]
+        if not len(pool):
+            if near + 1 < len(SMOOTH):
+                near += 1
+            elif since:
+                # Before the optimum is believed, the inverse is made exact.
+                inverse, since = np.linalg.inv(patterns.astype(float)), 0
+                use = np.maximum(inverse @ want, 0)
+            else:
+                center = dual
+                break
+            continue
+        near = 0
+        while True:
+            value = pool @ inverse.sum(axis=0)
+            j = int(value.argmax())
+            if value[j] <= ENOUGH:
+                break
+            move = inverse @ pool[j]
+            leave = _leaving(use, move)
+            step = use[leave] / move[leave]
+            use = np.maximum(use - step * move, 0)
+            use[leave] = step
+            patterns[:, leave] = pool[j]
+            pivots, since = pivots + 1, since + 1
+            if pivots % RENEW == 0:
+                inverse = np.linalg.inv(patterns.astype(float))
+                use = np.maximum(inverse @ want, 0)
+            else:
+                inverse[leave] /= move[leave]
+                move[leave] = 0
+                inverse -= np.outer(move, inverse[leave])
+    return patterns, np.maximum(np.linalg.solve(patterns.astype(float), plain), 0) * scale, center
 
 
 def plan_patterns(histogram: dict[int, int], units: int) -> list[tuple[int, int, int, int, int]]:
@@ -185,7 +233,7 @@ def plan_patterns(histogram: dict[int, int], units: int) -> list[tuple[int, int,
         return []
     sizes = np.array(sorted(histogram))
     demand = np.array([histogram[int(s)] for s in sizes], np.int64)
-    patterns, use = column_generation(sizes, demand.astype(float), units)
+    patterns, use, _ = column_generation(sizes, demand.astype(float), units)
     left, uses = demand.copy(), []
     for k in np.argsort(-use):
         column = patterns[:, k]
