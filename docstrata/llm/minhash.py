@@ -328,6 +328,7 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     Rows that share an id stay or go by their own texts.
     """
     judged = _judged(docs, "doc_id", "text", percent, WORDS)
-    gone = judged.filter("id <> component_id").select(F.col("id").alias("_id"), F.col("text_hash").alias("_text")).distinct()
-    marked = docs.withColumn("_hash", F.xxhash64("text"))
-    return marked.join(gone, (F.col("doc_id") == F.col("_id")) & (F.col("_hash") == F.col("_text")), "left_anti").select(*docs.columns)
+    gone = judged.filter("id <> component_id").select(F.col("id").alias("gone_id"), F.col("text_hash").alias("gone_text")).distinct()
+    # The row travels as one value, so its columns may have any names.
+    marked = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_text"))
+    return marked.join(gone, (F.col("own_id") == F.col("gone_id")) & (F.col("own_text") == F.col("gone_text")), "left_anti").select("row.*")

@@ -19,8 +19,8 @@ from docstrata.llm.common import stored, whole_text
 ASSIGN = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-#: A run of 24 or more token letters with a digit, a capital and a small letter among its first 64.
-MIXED = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]{0,63}[0-9])(?=[a-z0-9_-]{0,63}[A-Z])(?=[A-Z0-9_-]{0,63}[a-z])[A-Za-z0-9_-]{24,}"
+#: A run of 24 or more token letters; it counts where a digit, a capital and a small letter are among them.
+MIXED = r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{24,}"
 #: Matches whose positions are summed one by one.
 RUN = 128
 KINDS = ("assign", "access", "hex", "owned")
@@ -70,7 +70,7 @@ def base_spans(text: Column) -> Column:
 
 
 def mixed_spans(text: Column) -> Column:
-    return _spans(text, MIXED, 3, 0, 24)
+    return F.filter(_spans(text, MIXED, 3, 0, 24), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Z]") & s["value"].rlike("[a-z]"))
 
 
 def _joined(spans: Column) -> Column:
@@ -151,23 +151,24 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", repo_col: str = "source", ow
     included.
     """
     # Ids may repeat with other texts, so a hash of the text goes with the id.
-    spans = F.filter("found", lambda s: s["class"] != "example").alias("_cut")
-    found = scan_secrets(docs, repo_col=repo_col, owner_col=owner_col).filter("size(found) > 0").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), spans)
-    found = found.filter("size(_cut) > 0").dropDuplicates(["_id", "_mark"])
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    spans = F.filter("found", lambda s: s["class"] != "example").alias("cut")
+    found = scan_secrets(docs, repo_col=repo_col, owner_col=owner_col).filter("size(found) > 0").select(F.col("doc_id").alias("cut_id"), F.col("mark").alias("cut_mark"), spans)
+    found = found.filter("size(cut) > 0").dropDuplicates(["cut_id", "cut_mark"])
+    # The row travels as one value, so its columns may have any names.
+    marked = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64(whole_text("text")).alias("own_mark"))
+    text, start = F.col("row")["text"], F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(state: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), state["at"] + 1, s["start"] - state["at"])
+        gap = F.substring(text, state["at"] + 1, s["start"] - state["at"])
         fresh = s["start"] >= state["at"]
         return F.struct(
             F.greatest(state["at"], s["end"]).alias("at"),
             F.when(fresh, F.concat(state["out"], gap, F.lit(mask))).otherwise(state["out"]).alias("out"),
         )
 
-    tail = lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text")))
-    mark = F.xxhash64(whole_text("text"))
-    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (mark == F.col("_mark")), "left")
-    changed = F.col("_cut").isNotNull()
-    joined = joined.withColumn("text", F.when(changed, F.aggregate("_cut", start, step, tail)).otherwise(F.col("text")))
-    n_chars = F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return joined.withColumn("n_chars", n_chars).select(*docs.columns)
+    tail = lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text)))
+    joined = marked.join(found, F.col("own_id").eqNullSafe(F.col("cut_id")) & (F.col("own_mark") == F.col("cut_mark")), "left")
+    masked = joined.select("row", F.when(F.col("cut").isNotNull(), F.aggregate("cut", start, step, tail)).alias("masked"))
+    changed = F.col("masked").isNotNull()
+    new = {"text": F.coalesce("masked", F.col("row")["text"]), "n_chars": F.when(changed, F.length("masked").cast("long")).otherwise(F.col("row")["n_chars"])}
+    return masked.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
