@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docstrata.functions.numbering import numbered
 from docstrata.functions.text import slug, stripped, words
 
 STRICT_LENGTH, MIN_LENGTH, MAX_WORDS = 2, 2, 5
@@ -45,10 +46,17 @@ def merge(entries: DataFrame) -> DataFrame:
     return merged.select("skill_id", "f.name", "f.category", "f.strict", "aliases", "f.input_ord")
 
 
+def build(occupations: DataFrame, technologies: DataFrame, limit: int | None = None) -> DataFrame:
+    """The taxonomy of both lists: where they share a skill, the occupation list's entry comes first."""
+    entries = [from_occupations(occupations), from_technologies(technologies)]
+    first, second = (e.withColumn("input_ord", F.struct(F.lit(k).alias("list"), "input_ord")) for k, e in enumerate(entries))
+    return ordered(merge(first.unionByName(second)), limit)
+
+
 def ordered(merged: DataFrame, limit: int | None = None) -> DataFrame:
-    """Entries with ``entry_ord`` by category and lower-case name, the first ``limit`` of them."""
-    rows = merged.orderBy("category", F.lower("name"), "input_ord")
-    if limit is not None:
-        rows = rows.limit(limit)
-    order = Window.orderBy("category", F.lower("name"), "input_ord")
-    return rows.withColumn("entry_ord", F.row_number().over(order) - 1)
+    """Entries with ``entry_ord`` by category and lower-case name, the first ``limit`` of them.
+
+    Numbers are given range by range, so no task sorts the whole taxonomy.
+    """
+    rows = numbered(merged, ["category", F.lower("name"), "input_ord"], "entry_ord").withColumn("entry_ord", F.col("entry_ord").cast("int"))
+    return rows if limit is None else rows.filter(F.col("entry_ord") < limit)

@@ -71,8 +71,41 @@ def mention_counts(texts: DataFrame, surfaces: DataFrame, keys: list[str], longe
     return found.groupBy(*keys, "skill_id").agg(F.count(F.lit(1)).alias("mentions"))
 
 
+#: Letters of a word whose places fit a long, with room for the carry of an addition.
+WORD_BITS = 62
+
+
+def _by_bits(a: Column, b: Column) -> Column:
+    """Common subsequence of ``a`` (at most ``WORD_BITS`` letters) and ``b``, a long for each row of the table.
+
+    Bit j is set while letter j of ``a`` has not raised the row; a row follows from the one before by an
+    addition, whose carries move the raises, and the unset bits are the length.
+    """
+    letters, none = F.split(a, ""), F.lit(0).cast("long")
+    places = lambda c: F.aggregate(F.reverse(letters), none, lambda bits, x: bits * 2 + F.when(x == c, 1).otherwise(0))
+    masks = F.map_from_entries(F.transform(F.array_distinct(letters), lambda c: F.struct(c, places(c))))
+    full = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(a)) - 1
+
+    def run(s: Column) -> Column:
+        def row(bits: Column, c: Column) -> Column:
+            met = bits.bitwiseAND(F.coalesce(F.try_element_at(s["masks"], c), none))
+            return (bits + met).bitwiseOR(bits - met).bitwiseAND(s["full"])
+
+        return F.aggregate(F.split(b, ""), s["full"], row, lambda bits: (F.length(a) - F.bit_count(bits)).cast("int"))
+
+    # Bound once: inside the fold the masks would be built again for every letter.
+    return F.get(F.transform(F.array(F.struct(masks.alias("masks"), full.alias("full"))), run), 0)
+
+
 def common_subsequence(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two strings."""
+    """Length of the longest common subsequence of two strings; null if one is null.
+
+    In 64-bit arithmetic where the first has ``WORD_BITS`` letters at most, else by rows of the table.
+    """
+    return F.when(F.length(a) <= WORD_BITS, F.when(b.isNotNull(), _by_bits(a, b))).otherwise(_by_rows(a, b))
+
+
+def _by_rows(a: Column, b: Column) -> Column:
     other = F.split(b, "")
 
     def row(before: Column, letter: Column) -> Column:

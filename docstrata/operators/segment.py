@@ -10,6 +10,7 @@ from docstrata.functions.text import excerpt, heading_norm, is_upper_case, strip
 MAX_HEADING_WORDS = 6
 TITLE_RATIO, HEADING_RATIO, LARGE_RATIO = 2.0, 1.25, 1.15
 MIN_UNLABELLED_WORDS = 10
+MAX_EXCERPT = 200
 
 
 def looks_like_heading(text: Column, size: Column, bold: Column, upper: Column, median: Column) -> Column:
@@ -69,14 +70,22 @@ def sections(lines: DataFrame, aliases: DataFrame) -> DataFrame:
     rows = _owned(lines, aliases)
     own_heading = F.coalesce(F.col("is_heading") & (F.col("line_index") == F.col("start")), F.lit(False))
     body = ~own_heading
-    text = F.sort_array(F.collect_list(F.when(body, F.struct("line_index", "text"))))
+    own = Window.partitionBy("doc_id", "start", "kind").orderBy("line_index")
+    begun = F.max(F.when(body & (F.col("text") != ""), F.lit(1))).over(own.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("size", F.when(body & begun.isNotNull(), F.length("text") + 1))
+    rows = rows.withColumn("at", F.when(F.col("size").isNotNull(), F.coalesce(F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
+    # Lines that begin within the excerpt, and a sign for text beyond them: a section of any length gives a short row.
+    needed = F.when(F.col("at") <= MAX_EXCERPT, F.struct("line_index", F.substring("text", 1, MAX_EXCERPT + 1).alias("text")))
+    beyond = F.coalesce(F.max(F.when((F.col("at") > MAX_EXCERPT) & (F.col("text") != ""), F.lit("…"))), F.lit(""))
+    shown = F.array_join(F.transform(F.sort_array(F.collect_list(needed)), lambda t: t["text"]), " ")
     built = rows.groupBy("doc_id", "start", "kind").agg(
         F.max(F.when(own_heading, F.col("text"))).alias("heading"),
         F.coalesce(F.min_by("page_number", F.when(body, F.col("line_index"))), F.lit(1)).alias("page"),
         F.coalesce(F.min(F.when(body, F.col("line_index"))), F.lit(0)).alias("line_start"),
         F.coalesce(F.max(F.when(body, F.col("line_index"))), F.lit(0)).alias("line_end"),
         F.coalesce(F.sum(F.when(body, F.col("words"))), F.lit(0)).alias("word_count"),
-        excerpt(F.array_join(F.transform(text, lambda t: t["text"]), " ")).alias("excerpt"),
+        # Padded up to the text beyond, so that it counts as longer than an excerpt.
+        excerpt(F.when(beyond == "", shown).otherwise(F.concat(F.rpad(shown, MAX_EXCERPT, " "), beyond)), MAX_EXCERPT).alias("excerpt"),
     )
     place = F.coalesce("start", F.lit(-1))
     merge_key = F.when(F.col("kind") == "other", F.concat(F.lit("other:"), place.cast("string"))).otherwise(F.col("kind"))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docstrata.functions import dims, text
+from docstrata.functions.storage import scratch_path
 from docstrata.operators import admission, advise, ats, fit, gazetteer, layout, match, present, segment
 from docstrata.plans import samples
 from docstrata.plans.analyze import Dimensions, analyze, with_report
@@ -396,6 +397,7 @@ _SYNTHETIC_LINES = f"""{LINES}, made AS (SELECT doc_id, ln::INTEGER AS line_inde
     kinds AS (SELECT c.*, CASE WHEN words BETWEEN 1 AND 6 THEN coalesce(known, CASE WHEN regexp_matches(text, '[.,;:]$') THEN NULL WHEN m > 0 AND size >= m * 2.0 THEN NULL
         WHEN m > 0 AND size >= m * 1.25 THEN 'other' WHEN up AND (is_bold OR (m > 0 AND size >= m * 1.15)) THEN 'other' END) END AS raw_kind
         FROM counted c LEFT JOIN med USING (doc_id) LEFT JOIN alias ON norm = trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')))"""
+_STRIPPED_BODY = STRIP.format(x="string_agg(text, ' ' ORDER BY line_index) FILTER (WHERE NOT own)")
 _SECTIONS = f"""{_SYNTHETIC_LINES}, firsts AS (SELECT doc_id, min(line_index) FILTER (WHERE raw_kind <> 'other') AS f FROM kinds GROUP BY 1),
     heads AS (SELECT kinds.*, CASE WHEN line_index >= coalesce(f, 0) THEN raw_kind END AS hk FROM kinds JOIN firsts USING (doc_id)),
     sums AS (SELECT *, coalesce(sum(words) OVER (PARTITION BY doc_id ORDER BY line_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(words) OVER (PARTITION BY doc_id) AS total FROM heads),
@@ -404,9 +406,11 @@ _SECTIONS = f"""{_SYNTHETIC_LINES}, firsts AS (SELECT doc_id, min(line_index) FI
     owned AS (SELECT *, coalesce(last_value(CASE WHEN sk IS NOT NULL THEN line_index END IGNORE NULLS) OVER w, -1) AS place, coalesce(last_value(sk IGNORE NULLS) OVER w, 'contact') AS kind
         FROM starts WINDOW w AS (PARTITION BY doc_id ORDER BY line_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
     built AS (SELECT doc_id, place, kind, max(text) FILTER (WHERE own) AS heading, coalesce(min(page_number) FILTER (WHERE NOT own), 1) AS page, coalesce(min(line_index) FILTER (WHERE NOT own), 0) AS line_start,
-        coalesce(max(line_index) FILTER (WHERE NOT own), 0) AS line_end, coalesce(sum(words) FILTER (WHERE NOT own), 0) AS words
+        coalesce(max(line_index) FILTER (WHERE NOT own), 0) AS line_end, coalesce(sum(words) FILTER (WHERE NOT own), 0) AS words,
+        coalesce({_STRIPPED_BODY}, '') AS body
         FROM (SELECT *, hk IS NOT NULL AND line_index = place AS own FROM owned) GROUP BY doc_id, place, kind),
-    merged AS (SELECT doc_id, kind, min(place) AS place, arg_min_null(heading, place) AS heading, arg_min(page, place) AS page, arg_min(line_start, place) AS line_start, arg_min(line_end, place) AS line_end, sum(words) AS words
+    merged AS (SELECT doc_id, kind, min(place) AS place, arg_min_null(heading, place) AS heading, arg_min(page, place) AS page, arg_min(line_start, place) AS line_start, arg_min(line_end, place) AS line_end, sum(words) AS words,
+        arg_min(CASE WHEN length(body) <= 200 THEN body ELSE regexp_replace(substr(body, 1, 199), '\\s+$', '') || '…' END, place) AS excerpt
         FROM (SELECT *, CASE WHEN kind = 'other' THEN 'other:' || place ELSE kind END AS m FROM built) GROUP BY doc_id, kind, m)"""
 
 
@@ -430,10 +434,10 @@ def segment_headings(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_SECTIONS} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1)::INTEGER AS section_ord, kind, heading, page, line_start, line_end, words::BIGINT AS word_count FROM merged"""
+    f"""WITH {_SECTIONS} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1)::INTEGER AS section_ord, kind, heading, page, line_start, line_end, words::BIGINT AS word_count, excerpt FROM merged"""
 )
 def segment_sections(spark, sf_dir):
-    return _sections(spark, sf_dir).drop("excerpt")
+    return _sections(spark, sf_dir)
 
 
 @query(
@@ -562,9 +566,9 @@ def limiter_logged_requests(spark, sf_dir):
     return present.logged_requests(rows.withColumn("path", F.when(F.col("event_type") == "view", present.HEALTH_PATH).otherwise(F.col("event_type")))).select("event_id")
 
 
-@query("SELECT DISTINCT p_brand AS role, p_name AS skill_id FROM part WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_size < 10)")
+@query("SELECT DISTINCT p_brand AS role, p_name AS skill_id FROM part WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_brand = 'Brand#11' AND p_size < 5)")
 def dims_unknown_skills(spark, sf_dir):
-    known = _table(spark, sf_dir, "part", "p_name", "p_size").filter("p_size < 10").select(F.col("p_name").alias("skill_id"))
+    known = _table(spark, sf_dir, "part", "p_name", "p_brand", "p_size").filter("p_brand = 'Brand#11' AND p_size < 5").select(F.col("p_name").alias("skill_id"))
     return dims.unknown_skills(_profiles(spark, sf_dir), known)
 
 
@@ -583,6 +587,15 @@ def client_key(spark, sf_dir):
 # --- taxonomy, uploads, presentation --------------------------------------------------------------
 
 
+@query("SELECT p_partkey, p_name AS example, (row_number() OVER (ORDER BY p_partkey) - 1)::BIGINT AS input_ord FROM part")
+def technology_order(spark, sf_dir):
+    """Parts written as a technology list of several files and read back in blocks, with the order of their lines."""
+    path = scratch_path(spark, "technologies")
+    rows = _table(spark, sf_dir, "part", "p_partkey", "p_name").select("p_partkey", F.col("p_name").alias("Example"))
+    rows.repartitionByRange("p_partkey").sortWithinPartitions("p_partkey").write.csv(path, sep="\t", header=True)
+    return files.read_technologies(spark, path).select(F.col("p_partkey").cast("long").alias("p_partkey"), F.col("Example").alias("example"), "input_ord")
+
+
 @query(
     """WITH esco AS (SELECT p_partkey AS k, p_name AS name, CASE WHEN p_partkey % 3 = 0 THEN 'skill' ELSE 'kind ' || p_size END AS category, 'about ' || p_brand AS alias FROM part WHERE p_partkey % 4 <> 0),
     onet AS (SELECT 1000000000 + p_partkey AS k, p_type AS name, p_brand AS category FROM part),

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docstrata import schemas
+from docstrata.functions.numbering import numbered
 from docstrata.functions.text import scrubbed, stripped
 
 MEDIA_TYPES = ("application/pdf", "application/x-pdf")
@@ -120,15 +121,28 @@ def decode_pdfs(uploads: DataFrame, settings: Settings = Settings()) -> DataFram
     return uploads.select("doc_id", "content").mapInPandas(run, f"doc_id bigint, error string, pages array<struct<{schemas.RAW_PAGES.replace(' ', ':').replace(',:', ',')}>>, spans array<struct<{schemas.RAW_SPANS.replace(' ', ':').replace(',:', ',')}>>")
 
 
+def _in_order(rows: DataFrame) -> DataFrame:
+    """Adds ``input_ord``: the place of each row, files by path and rows as they stand in the file.
+
+    Spark packs blocks into tasks by size, so row ids alone do not follow the files.  A block is read by one
+    task from its begin to its end: file, begin of the block and row id together do.
+    """
+    source = F.col("_metadata")
+    placed = rows.select("*", source["file_path"].alias("_path"), source["file_block_start"].alias("_block"), F.monotonically_increasing_id().alias("_row"))
+    return numbered(placed, ["_path", "_block", "_row"], "input_ord").drop("_path", "_block", "_row")
+
+
 def read_occupations(spark: SparkSession, path: str) -> DataFrame:
-    """A comma-separated export with quoted line ends, with the order of its rows."""
-    rows = spark.read.csv(path, header=True, multiLine=True, escape='"', encoding="UTF-8")
-    return rows.withColumn("input_ord", F.monotonically_increasing_id())
+    """A comma-separated export with quoted line ends, with the order of its rows.
+
+    Quoted line ends keep a file whole: it is read by one task, several files by several.
+    """
+    return _in_order(spark.read.csv(path, header=True, multiLine=True, escape='"', encoding="UTF-8"))
 
 
 def read_technologies(spark: SparkSession, path: str) -> DataFrame:
-    """A tab-separated export, with the order of its rows."""
-    return spark.read.csv(path, header=True, sep="\t", encoding="UTF-8").withColumn("input_ord", F.monotonically_increasing_id())
+    """A tab-separated export, with the order of its rows; large files are read in blocks."""
+    return _in_order(spark.read.csv(path, header=True, sep="\t", encoding="UTF-8"))
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
