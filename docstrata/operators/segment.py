@@ -46,18 +46,18 @@ def _owned(lines: DataFrame, aliases: DataFrame) -> DataFrame:
     rows = rows.withColumn("first", first)
     rows = rows.withColumn("heading_kind", F.when(F.col("line_index") >= F.coalesce("first", F.lit(0)), F.col("heading_kind"))).drop("first")
     # A column that starts without a heading is a section of its own if enough words follow.
-    heading_at = F.when(F.col("heading_kind").isNotNull(), F.col("line_index"))
-    rows = rows.withColumn("next_heading", F.min(heading_at).over(order.rowsBetween(1, Window.unboundedFollowing)))
     rows = rows.withColumn("before", F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     rows = rows.withColumn("total", F.sum("words").over(doc))
+    # Read backwards: a frame that ends with the document would be summed anew for every line.
+    after = doc.orderBy(F.desc("line_index")).rowsBetween(Window.unboundedPreceding, -1)
     # The next heading's running sum is the smallest among the headings that follow, since sums only grow.
-    words_until = F.coalesce(F.min(F.when(F.col("heading_kind").isNotNull(), F.col("before"))).over(order.rowsBetween(1, Window.unboundedFollowing)), F.col("total"))
+    words_until = F.coalesce(F.min(F.when(F.col("heading_kind").isNotNull(), F.col("before"))).over(after), F.col("total"))
     unlabelled = F.col("is_column_start") & F.col("heading_kind").isNull() & (words_until - F.col("before") >= MIN_UNLABELLED_WORDS)
     rows = rows.withColumn("start_kind", F.coalesce("heading_kind", F.when(unlabelled, F.lit("other"))))
     start = F.last(F.when(F.col("start_kind").isNotNull(), F.col("line_index")), ignorenulls=True).over(order)
     kind = F.last("start_kind", ignorenulls=True).over(order)
     rows = rows.withColumn("start", start).withColumn("kind", F.coalesce(kind, F.lit("contact")))
-    return rows.withColumn("is_heading", F.col("heading_kind").isNotNull()).drop("next_heading", "before", "total")
+    return rows.withColumn("is_heading", F.col("heading_kind").isNotNull()).drop("before", "total")
 
 
 def sections(lines: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -75,8 +75,9 @@ def sections(lines: DataFrame, aliases: DataFrame) -> DataFrame:
     rows = rows.withColumn("size", F.when(body & begun.isNotNull(), F.length("text") + 1))
     rows = rows.withColumn("at", F.when(F.col("size").isNotNull(), F.coalesce(F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
     # Lines that begin within the excerpt, and a sign for text beyond them: a section of any length gives a short row.
-    needed = F.when(F.col("at") <= MAX_EXCERPT, F.struct("line_index", F.substring("text", 1, MAX_EXCERPT + 1).alias("text")))
-    beyond = F.coalesce(F.max(F.when((F.col("at") > MAX_EXCERPT) & (F.col("text") != ""), F.lit("…"))), F.lit(""))
+    needed = F.when(F.col("at") < MAX_EXCERPT, F.struct("line_index", F.substring("text", 1, MAX_EXCERPT).alias("text")))
+    # Lines have no blanks at their ends, so a line that ends behind the excerpt has a letter there.
+    beyond = F.coalesce(F.max(F.when((F.col("at") + F.length("text") > MAX_EXCERPT) & (F.col("text") != ""), F.lit("…"))), F.lit(""))
     shown = F.array_join(F.transform(F.sort_array(F.collect_list(needed)), lambda t: t["text"]), " ")
     built = rows.groupBy("doc_id", "start", "kind").agg(
         F.max(F.when(own_heading, F.col("text"))).alias("heading"),
