@@ -2,7 +2,8 @@
 
 A sketch keeps every shingle hash below a fixed fraction of the hash range.  Sketches of parts merge by
 union, and the shares of common hashes estimate resemblance and containment even between documents of
-very unequal lengths, because the fraction, not the size, is fixed.  All of it is DataFrame functions.
+very unequal lengths, because the fraction, not the size, is fixed.  A text whose hashes all lie above the threshold
+keeps its least one, so only texts without words have an empty sketch.  All of it is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 from docstrata.llm.common import whole_text
 
 WORDS = 5
-#: One shingle hash in eight is kept.
-SCALE = 8
+#: One shingle hash in two is kept.
+SCALE = 2
 #: Ranges of rows for each shuffle partition.
 RANGES = 4
 _FIRST = -(2**63)
@@ -40,14 +41,26 @@ def _hashes(w: Column, words: int) -> Column:
 
 
 def sketch(text: Column, words: int = WORDS, scale: int = SCALE) -> Column:
-    """The sorted hashes below the threshold; none where a text has no such shingle."""
+    """The sorted hashes below the threshold, or the least hash where none is; empty for a text without words."""
+    return _retained(shingle_hashes(text, words), scale)
+
+
+def _retained(hashes: Column, scale: int) -> Column:
     limit = _FIRST + (2**64 // scale)
-    return F.array_sort(F.array_distinct(F.filter(shingle_hashes(text, words), lambda x: x < limit)))
 
+    def kept(h: Column) -> Column:
+        return F.when(F.array_min(h) < limit, F.filter(h, lambda x: x < limit)).otherwise(F.array_compact(F.array(F.array_min(h))))
+
+    # Bound once: a use outside would hash the text again.
+    return F.sort_array(F.array_distinct(F.get(F.transform(F.array(hashes), kept), 0)))
 
-def merge(a: Column, b: Column) -> Column:
-    """The sketch of two texts together (without the shingles that span their border)."""
-    return F.array_sort(F.array_union(a, b))
+
+def merge(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """The sketch of two texts together (without the shingles that span their border).
+
+    A least hash that stood for a text is dropped where the other text has hashes below the threshold.
+    """
+    return _retained(F.array_union(a, b), scale)
 
 
 def resemblance(a: Column, b: Column, same: Column) -> Column:
@@ -119,12 +132,12 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     An empty table gives an empty result; in a table of one row the next document is the row itself.
     """
     rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("body"))
-    rows = rows.withColumn("prints", sketch(F.col("body"), words, scale))
-    pairs = with_next(rows, "id", ["body", "prints"], "body")
+    # Sketches are made behind the shuffle: their hashes would be most of its bytes.
+    pairs = with_next(rows, "id", ["body"], "body")
     n = F.length("body")
     k = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("body"), F.lit(1), n - k), F.substring(F.col("next_body"), F.lit(1), k))
-    pairs = pairs.select("id", "prints", "next_prints", n.cast("long").alias("n_chars"), edited.alias("edited"), (edited == F.col("body")).alias("unedited"), (F.col("body") == F.col("next_body")).alias("repeated"))
+    pairs = pairs.select("id", sketch(F.col("body"), words, scale).alias("prints"), sketch(F.col("next_body"), words, scale).alias("next_prints"), n.cast("long").alias("n_chars"), edited.alias("edited"), (edited == F.col("body")).alias("unedited"), (F.col("body") == F.col("next_body")).alias("repeated"))
     pairs = pairs.withColumn("edited_prints", sketch(F.col("edited"), words, scale))
     return pairs.select(
         F.col("id").alias(id_col),
