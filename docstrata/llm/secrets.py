@@ -4,8 +4,9 @@ Three base patterns find candidate credentials.  Every candidate value is hashed
 whole corpus by distinct repositories and distinct owners.  Values that many repositories of several
 owners share are widely copied examples; values that stay with one owner, in however many repositories,
 and look random are reported as live.
-Besides classing the base spans, the frequencies add spans of kind ``owned``: long mixed tokens
-outside every base span whose value stays with one owner.  All of it is DataFrame functions.
+Besides classing the base spans, the frequencies add spans outside every base span whose value stays with one
+owner: credentials by their form (bearer headers, passwords in addresses, keys by prefix, private-key blocks) and,
+of kind ``owned``, other long mixed tokens.  All of it is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -21,9 +22,17 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 #: A run of 24 or more token letters; it counts where a digit, a capital and a small letter are among them.
 MIXED = r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{24,}"
+#: Credentials by their form: kind, a string that every match holds (in small letters, searched without case), pattern,
+#: the group of the value, its least length.
+FORMS = (
+    ("bearer", "bearer", r"(?i:bearer)\x20+([A-Za-z0-9._~+/-]++=*+)", 1, 16),
+    ("address", "://", r"://[^\s/:@]++:([^\s/:@]++)@", 1, 6),
+    ("prefixed", None, r"(?<![A-Za-z0-9_-])(?:gh[pousr]_|github_pat_|glpat-|sk_live_|sk_test_|xox[abprs]-|AIza)[A-Za-z0-9_-]{16,}+", 0, 20),
+    ("private_key", "private key-----", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]++-----END [A-Z ]*PRIVATE KEY-----", 0, 64),
+)
 #: Matches whose positions are summed one by one.
 RUN = 128
-KINDS = ("assign", "access", "hex", "owned")
+KINDS = ("assign", "access", "hex", "owned", *[f[0] for f in FORMS])
 
 
 def _spans(text: Column, pattern: str, rank: int, value_group: int, least: int) -> Column:
@@ -73,15 +82,29 @@ def mixed_spans(text: Column) -> Column:
     return F.filter(_spans(text, MIXED, 3, 0, 24), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Z]") & s["value"].rlike("[a-z]"))
 
 
+def form_spans(text: Column) -> Column:
+    """Credentials by their form, by start."""
+    none = F.array().cast("array<struct<start:int,rank:int,end:int,value:string>>")
+    found = []
+    for rank, (_, hint, pattern, group, least) in enumerate(FORMS, 4):
+        spans = _spans(text, pattern, rank, group, least)
+        found.append(spans if hint is None else F.when(F.contains(F.lower(text), F.lit(hint)), spans).otherwise(none))
+    return F.array_sort(F.concat(*found))
+
+
 def _joined(spans: Column) -> Column:
     names = F.array(*[F.lit(k) for k in KINDS])
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["rank"]), s["start"], s["end"])), ",")
 
 
+def looks_real(value: Column) -> Column:
+    """None of the words that mark examples."""
+    return ~F.lower(value).rlike("example|sample|dummy|changeme|placeholder|your_?|xxxx|0000000")
+
+
 def looks_random(value: Column) -> Column:
     """At least ten different letters, and not one of the words that mark examples."""
-    letters = F.size(F.array_distinct(F.split(value, "")))
-    return (letters >= 10) & ~F.lower(value).rlike("example|sample|dummy|changeme|placeholder|your_?|xxxx|0000000")
+    return (F.size(F.array_distinct(F.split(value, ""))) >= 10) & looks_real(value)
 
 
 def scan_secrets(
@@ -98,16 +121,21 @@ def scan_secrets(
     ``repo_col`` names the repository; the owner is ``owner_col`` or, by default, the repository's name
     before a ``/``.  A null repository counts as one of its own name, ''.  A value with at most ``max_owners``
     owners that looks random is live; one of more owners in ``wide_repos`` or more repositories is an example.
+    A credential by its form need not look random, as its form says what it is; it is reported where its value
+    has at most ``max_owners`` owners.  Of added spans those that meet a base span are dropped, and mixed tokens that
+    meet a credential by its form.
     Null and empty texts have no spans; rows that repeat an id count once each and get equal results.
     Other columns are ignored.
     """
     text = whole_text(text_col)
     repo = F.coalesce(F.col(repo_col).cast("string"), F.lit(""))
     owner = F.coalesce(F.col(owner_col).cast("string"), F.lit("")) if owner_col else F.substring_index(repo, "/", 1)
-    first = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), repo.alias("repo"), owner.alias("owner"), base_spans(text).alias("base"), mixed_spans(text).alias("mixed"))
-    clear = lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-    keyed = lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("key"), looks_random(s["value"]).alias("random"))
-    rows = first.select("id", "mark", "repo", "owner", F.transform("base", keyed).alias("base"), F.transform(F.filter("mixed", clear), keyed).alias("mixed"))
+    first = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), repo.alias("repo"), owner.alias("owner"), base_spans(text).alias("base"), form_spans(text).alias("forms"), mixed_spans(text).alias("mixed"))
+    clear = lambda m, of: ~F.exists(of, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
+    random = lambda s: F.when(s["rank"] > 3, looks_real(s["value"])).otherwise(looks_random(s["value"]))
+    keyed = lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("key"), random(s).alias("random"))
+    added = F.concat(F.filter("forms", lambda m: clear(m, "base")), F.filter("mixed", lambda m: clear(m, "base") & clear(m, "forms")))
+    rows = first.select("id", "mark", "repo", "owner", F.transform("base", keyed).alias("base"), F.transform(added, keyed).alias("mixed"))
     # The texts are read once; what follows works on the few spans.  A row key tells repeated ids apart.
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "spans")
     spans = rows.select("row", "repo", "owner", F.explode(F.concat("base", "mixed")).alias("s")).select("row", "repo", "owner", "s.*")
