@@ -18,6 +18,8 @@ from docstrata.operators import admission, advise, ats, fit, gazetteer, layout,
 from docstrata.plans import samples
 from docstrata.plans.analyze import Dimensions, analyze, with_report
 from docstrata.sources import files
+from docstrata.streaming.admission import replay
+from docstrata.streaming.intake import intake
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -559,6 +561,12 @@ def limiter_retry_after(spark, sf_dir):
     return _admitted(spark, sf_dir).filter("NOT admitted").select("event_id", text.retry_after(F.col("wait_us") / 1e6).alias("retry_after"))
 
 
+@query(f"WITH RECURSIVE {_ADMIT} SELECT user_id, event_id, us, admitted, wait_us FROM walk")
+def limiter_stream(spark, sf_dir):
+    """Events that arrive in stretches of time; the stream stops and starts again from its checkpoint in between."""
+    return replay(_table(spark, sf_dir, "events", "event_id", "user_id", "ts"), 3, 172_800_000_000, key="user_id")
+
+
 @query("SELECT event_id FROM events WHERE event_type <> 'view'")
 def limiter_logged_requests(spark, sf_dir):
     """Views stand for health checks."""
@@ -614,23 +622,58 @@ def gazetteer_build(spark, sf_dir):
     return entries.select("entry_ord", "skill_id", "name", "category", "strict", F.array_join("aliases", ",").alias("aliases"))
 
 
-@query(
-    """WITH o AS (SELECT o_orderkey AS id, o_orderkey % 7 = 0 AS typed, o_totalprice::BIGINT * 15 AS size, o_orderkey % 11 <> 0 AS signed, o_custkey % 13 AS pages, o_custkey * 2 AS characters FROM orders),
+_UPLOADS = """WITH o AS (SELECT o_orderkey AS id, o_orderkey % 7 = 0 AS typed, o_totalprice::BIGINT * 15 AS size, o_orderkey % 11 <> 0 AS signed, o_custkey % 13 AS pages, o_custkey * 2 AS characters FROM orders),
     c AS (SELECT id, CASE WHEN typed THEN 'unsupported_media_type' WHEN size = 0 THEN 'empty_document' WHEN size > 5242880 THEN 'file_too_large' WHEN NOT signed THEN 'unsupported_media_type'
-        WHEN pages > 10 THEN 'too_many_pages' WHEN pages = 0 THEN 'empty_document' WHEN characters = 0 OR characters < 120 * pages THEN 'not_machine_readable' END AS code FROM o)
-    SELECT id, code, CASE code WHEN 'unsupported_media_type' THEN 415 WHEN 'file_too_large' THEN 413 WHEN 'empty_document' THEN 422 WHEN 'too_many_pages' THEN 422 WHEN 'not_machine_readable' THEN 422 END AS status FROM c"""
-)
-def upload_gate(spark, sf_dir):
+        WHEN pages > 10 THEN 'too_many_pages' WHEN pages = 0 THEN 'empty_document' WHEN characters = 0 OR characters < 120 * pages THEN 'not_machine_readable' END AS code FROM o)"""
+_ERRORS = ", ".join(f"('{code}', {status}, '{message}', '{remediation}')" for code, status, message, remediation in dims.ERRORS)
+
+
+def _uploads(orders: DataFrame) -> DataFrame:
     """Uploads whose sizes, pages and texts are made from orders."""
     key, custom = F.col("o_orderkey"), F.col("o_custkey")
-    rows = _table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice").select(
+    return orders.select(
         key.alias("id"), F.when(key % 7 == 0, "text/plain").otherwise(files.MEDIA_TYPES[0]).alias("content_type"), (F.rint("o_totalprice").cast("long") * 15).alias("length"),
         F.when(key % 11 == 0, F.lit("PK")).otherwise(F.lit("%PDF-1.7")).cast("binary").alias("content"), (custom % 13).cast("int").alias("pages"), (custom * 2).cast("int").alias("characters"),
     )
-    rows = rows.withColumn("code", files.upload_error(page_count=F.col("pages"), characters=F.col("characters")))
+
+
+_UPLOAD_ERROR = {"page_count": "pages", "characters": "characters"}
+
+
+def _upload_error():
+    return files.upload_error(**{k: F.col(c) for k, c in _UPLOAD_ERROR.items()})
+
+
+@query(
+    f"""{_UPLOADS} SELECT id, code, CASE code WHEN 'unsupported_media_type' THEN 415 WHEN 'file_too_large' THEN 413 WHEN 'empty_document' THEN 422 WHEN 'too_many_pages' THEN 422 WHEN 'not_machine_readable' THEN 422 END AS status FROM c"""
+)
+def upload_gate(spark, sf_dir):
+    rows = _uploads(_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice")).withColumn("code", _upload_error())
     return files.with_error(rows, "code", dims.errors(spark)).select("id", "code", F.col("error.status").alias("status"))
 
 
+@query(f"{_UPLOADS} SELECT id, code, status, message, remediation FROM c LEFT JOIN (VALUES {_ERRORS}) e(code, status, message, remediation) USING (code)")
+def intake_uploads(spark, sf_dir):
+    """The same uploads as a stream: what the intake has written to its results (without a code) and its rejects."""
+    path = f"{sf_dir}/orders.parquet"
+    # A stream takes a lone file, as a table may be one, only by a pattern.
+    arrived = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/orders.parque[t]")
+    results, rejects, state = (scratch_path(spark, f"intake-{name}") for name in ("results", "rejects", "state"))
+    intake(_uploads(arrived), _upload_error(), dims.errors(spark), results, rejects, state).awaitTermination()
+    taken = spark.read.parquet(results).select("id")
+    return taken.unionByName(spark.read.parquet(rejects).select("id", "code", "status", "message", "remediation"), allowMissingColumns=True)
+
+
+@query(f"{_UPLOADS} SELECT count(*) AS uploads, count(*) FILTER (WHERE c.code IS NULL) AS accepted, count(*) FILTER (WHERE c.code = 'file_too_large') AS too_large, sum(pages)::BIGINT AS pages FROM c JOIN o USING (id)")
+def log_counts(spark, sf_dir):
+    """Counts over the judged uploads, observed while these are written."""
+    rows = _uploads(_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice")).withColumn("code", _upload_error())
+    counts = files.write_results_observed(
+        rows.drop("content"), scratch_path(spark, "judged"), uploads=F.count(F.lit(1)), accepted=F.count_if(F.col("code").isNull()), too_large=F.count_if(F.col("code") == "file_too_large"), pages=F.sum("pages")
+    )
+    return dims.small_frame(spark, [tuple(counts.values())], "uploads long, accepted long, too_large long, pages long")
+
+
 @query(
     f"""WITH {_RUBRIC}, {_JUDGED}, s AS (SELECT doc_id, round(sum(CASE WHEN passed THEN weight ELSE 0 END) / sum(weight) * 100, 1)::DOUBLE AS score, count(*) FILTER (WHERE passed) AS passed, count(*) FILTER (WHERE NOT passed) AS failed
     FROM judged JOIN rubric USING (check_id) GROUP BY 1) SELECT doc_id, passed, failed, CASE WHEN score >= 80 THEN 'good' WHEN score >= 60 THEN 'fair' ELSE 'poor' END AS tone, floor(score + 0.5)::INTEGER AS shown FROM s"""

@@ -6,7 +6,7 @@ import os
 from dataclasses import dataclass, fields
 
 import yaml
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from docstrata import schemas
@@ -194,6 +194,13 @@ def write_results(result: DataFrame, path: str) -> None:
     result.write.mode("overwrite").json(path)
 
 
+def write_results_observed(result: DataFrame, path: str, **counts: Column) -> dict:
+    """Writes ``result`` like ``write_results`` and returns the aggregates ``counts`` over it, gathered in the same job."""
+    seen = Observation()
+    write_results(result.observe(seen, *[c.alias(name) for name, c in counts.items()]), path)
+    return seen.get
+
+
 def write_records(records: DataFrame, path: str) -> None:
     """Lines of JSON as they are."""
     records.select("value").write.mode("overwrite").text(path)
