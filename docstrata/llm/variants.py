@@ -11,10 +11,12 @@ first half the second: the walk starts in the middle of the word, once in each t
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
-from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,7 +32,9 @@ EVERY = 31
 
 # Fixed: a run's letters, and the letters that a lowered run may have.
 RUN = "[A-Za-zÀ-ÿ]"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+#: Different words from which on a task passes on what it has counted.
+HELD = 1 << 18
 #: The bit of a word's end in the mask of letters.
 END = f"{1 << 62}L"
 #: Masks of 64 bits that tell which rests of words cannot stand below a node.
@@ -40,19 +44,38 @@ _NEXT = ("low", "high", *[f"mark{k}" for k in range(MARKS)])
 _SEEDS, _FACTOR, _MASK = (0x9AE16A3B2F90404F, 0xC3A5C85C97CB3127), 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
-def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = MIN_LENGTH, min_count: int = MIN_COUNT) -> DataFrame:
+def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = MIN_LENGTH, min_count: int = MIN_COUNT, held: int = HELD) -> DataFrame:
     """(word, n): lowered runs of letters, some of which have lost a letter by a hash of id and run.
 
-    A null text has no runs; a null id is written as nothing.
+    A null text has no runs; a null id is written as nothing.  A task counts before it passes words on, at most ``held``
+    different ones and those of one more text.
     """
+    ship_package(docs.sparkSession)
     # Shorter runs cannot give a word, since runs only lose letters.
-    found = F.regexp_extract_all(F.translate(F.col(text_col), UPPER, LOWER), F.lit(RUN + f"{{{min_length},}}"), F.lit(0))
-    runs = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("d"), F.explode_outer(found).alias("run")).filter("run IS NOT NULL")
-    h = F.crc32(F.concat("d", F.lit(":"), "run").cast("binary"))
-    at = (h % F.length("run")).cast("int")
-    less = F.concat(F.substring(F.col("run"), F.lit(1), at), F.substring(F.col("run"), at + 2, F.length("run")))
-    words = runs.select(F.when(h % EVERY == 0, less).otherwise(F.col("run")).alias("word")).filter(F.length("word") >= min_length)
-    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_count)
+    pattern = re.compile(RUN + f"{{{min_length},}}")
+
+    def flushed(found: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"word": pa.array(found.keys(), pa.string()), "n": pa.array(found.values(), pa.int64())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = {}
+        for batch in batches:
+            for d, text in zip(batch.column("d"), batch.column("body"), strict=True):
+                begun = zlib.crc32(f"{d.as_py()}:".encode())
+                for word, n in Counter(pattern.findall(text.as_py().translate(LOWER).decode("utf-8", "replace"))).items():
+                    h = zlib.crc32(word.encode(), begun)
+                    if h % EVERY == 0:
+                        at = h % len(word)
+                        word = word[:at] + word[at + 1 :]
+                    found[word] = found.get(word, 0) + n
+                if len(found) >= held:
+                    yield flushed(found)
+                    found = {}
+        yield flushed(found)
+
+    texts = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("d"), F.col(text_col).cast("binary").alias("body")).filter("body IS NOT NULL")
+    words = texts.mapInArrow(run, "word string, n bigint").filter(F.length("word") >= min_length)
+    return words.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
 
 
 def _with_nodes(words: DataFrame, root: int) -> DataFrame:
@@ -86,11 +109,15 @@ def _bit(letter: Column) -> tuple[Column, Column]:
     return low.cast("bigint"), F.when(code >= 128, F.expr("shiftleft(1L, code - 192)")).otherwise(F.lit(0).cast("bigint"))
 
 
-def _marks(rest: Column) -> list[Column]:
-    """A rest of a word as one bit in ``MARKS`` masks; a node's masks hold those of all words below it."""
-    h = F.xxhash64(rest)
-    which, bit = F.pmod(h, F.lit(MARKS)), F.pmod(F.shiftright(h, 8), F.lit(64)).cast("int")
-    return [F.when(which == k, F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).otherwise(F.lit(0).cast("bigint")) for k in range(MARKS)]
+def _mark(h: Column) -> tuple[Column, Column]:
+    """The place of a rest of a word, by its hash: which of ``MARKS`` masks, and its bit there."""
+    return F.pmod(h, F.lit(MARKS)), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.shiftright(h, 8), F.lit(64)).cast("int"))
+
+
+def _marks(h: Column) -> list[Column]:
+    """A rest of a word, by its hash, as one bit in ``MARKS`` masks; a node's masks hold those of all words below it."""
+    which, bit = _mark(h)
+    return [F.when(which == k, bit).otherwise(F.lit(0).cast("bigint")) for k in range(MARKS)]
 
 
 @dataclass(frozen=True)
@@ -119,13 +146,14 @@ def build_trie(words: DataFrame, root: int) -> Trie:
     hashed = stored(_with_nodes(words, root), "prefixes")
     steps = hashed.select("way", "word", "n", F.posexplode("nodes").alias("k", "node"))
     steps = steps.select("way", "word", "n", (F.col("k") + root).alias("depth"), "node")
-    lettered = steps.select("node", "depth", F.substring(F.col("word"), F.col("depth") + 1, F.length("word")).alias("rest")).withColumn("code", F.ascii("rest"))
-    masks = zip(_NEXT, [*_bit(F.substring("rest", 1, 1)), *_marks(F.col("rest"))], strict=True)
+    lettered = steps.select("node", "depth", F.substring(F.col("word"), F.col("depth") + 1, F.length("word")).alias("rest")).withColumns({"code": F.ascii("rest"), "h": F.xxhash64("rest")})
+    masks = zip(_NEXT, [*_bit(F.substring("rest", 1, 1)), *_marks(F.col("h"))], strict=True)
     nodes = lettered.groupBy("node").agg(*[F.bit_or(m).alias(c) for c, m in masks], F.min("depth").alias("least"))
     kept = nodes.filter((F.col("least") == root) | (F.bit_count("low") + F.bit_count("high") > 1) | F.expr(f"low & {END} <> 0")).drop("least")
     kept = stored(kept, "nodes")
-    # A word has no more kept nodes than letters, so its window is bounded.
-    after = lambda c: F.expr(f"lead({c}) OVER (PARTITION BY way, word ORDER BY depth)").alias
+    # A word has no more kept nodes than letters, so its window is bounded.  Rows are sorted by the hash first, which
+    # is compared as a number, unlike the words.
+    after = lambda c: F.expr(f"lead({c}) OVER (PARTITION BY xxhash64(word), word, way ORDER BY depth)").alias
     path = steps.join(kept.select("node"), "node", "left_semi")
     path = stored(path.select("way", "word", "n", "depth", "node", after("node")("child"), after("depth")("child_depth")), "trie")
     label = F.substring(F.col("word"), F.col("depth") + 1, F.col("child_depth") - F.col("depth"))
@@ -145,8 +173,9 @@ def neighbours(words: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
     trie = build_trie(words, max(1, min_length // 2))
     # An edit with fewer letters before it than half of them, rounded down, has half of them, rounded up, behind it.
     middle = F.floor((F.length("word") + F.col("way")) / 2)
-    states = trie.path.filter(F.col("depth") <= middle).groupBy("way", "word").agg(F.max_by("node", "depth").alias("node"), F.max("depth").alias("at"))
-    states = states.select("way", "word", "at", "node", F.lit(0).alias("edits"))
+    # A word starts at its last kept node up to there: the next one lies behind the middle.
+    states = trie.path.filter((F.col("depth") <= middle) & F.coalesce(F.col("child_depth") > middle, F.lit(True)))
+    states = states.select("way", "word", F.col("depth").alias("at"), "node", F.lit(0).alias("edits"))
     levels = []
     while True:
         levels.append(stored(_advance(states, trie.edges), "frontier"))
@@ -156,32 +185,39 @@ def neighbours(words: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
     release(trie.edges)
     ended = reduce(DataFrame.unionByName, [level.filter("met").select("way", "word", "node") for level in levels])
     pairs = ended.join(trie.ends(), "node").select(F.when(F.col("way") == 0, F.col("word")).otherwise(F.reverse("word")).alias("word"), "near", "near_n")
-    # One pair may be met in both tries, and by edits of equal letters side by side.
-    return pairs.distinct().filter(F.levenshtein("word", "near", 1) == 1)
+    # One pair may be met in both tries, and by edits of equal letters side by side.  Dealt by word, pairs need no
+    # other shuffle, here or where they are counted by word.
+    return pairs.filter(F.levenshtein("word", "near", 1) == 1).repartition("word").distinct()
 
 
 def _advance(states: DataFrame, edges: DataFrame) -> DataFrame:
     """The states one edge further: those that go on, and (``met``) those that have come to the end of another word."""
-    rest = lambda k: F.substring(F.col("word"), F.col("at") + 1, k)
+    rest = lambda k, skip=0: F.substring(F.col("word"), F.col("at") + 1 + skip, k)
     met = states.withColumn("step", F.when(F.col("edits") == 0, "").otherwise(rest(F.lit(1)))).join(edges, ["node", "step"])
     m, length = F.length("label"), F.length("word")
+    below, begins = F.substring(F.col("label"), F.lit(2), m), F.substring("label", 1, 1) == rest(F.lit(1))
 
     def goes(k: Column, edits: int, fits: Column) -> Column:
         at = F.col("at") + k
-        return F.when((at <= length) & fits, F.struct(at.alias("at"), F.lit(edits).alias("edits")))
+        # What must stand below the node is asked of states with an edit alone.
+        behind = F.xxhash64(F.substring(F.col("word"), at + 1, length)) if edits else F.lit(0).cast("bigint")
+        return F.when((at <= length) & fits, F.struct(at.alias("at"), F.lit(edits).alias("edits"), behind.alias("h")))
+
+    def one(k: Column, after: Column) -> Column:
+        """One edit between label and rest; where their first letters differ, it is there, and ``after`` tells if all else is equal."""
+        return (F.col("edits") == 0) & F.when(begins, F.levenshtein("label", rest(k), 1) == 1).otherwise(after)
 
     same = rest(m) == F.col("label")
-    one = lambda k: (F.col("edits") == 0) & (F.levenshtein("label", rest(k), 1) == 1)
     tries = F.array(
-        goes(m, 0, (F.col("edits") == 0) & same), goes(m, 1, (F.col("edits") == 1) & same),
-        goes(m - 1, 1, one(m - 1)), goes(m, 1, one(m)), goes(m + 1, 1, one(m + 1)),
+        goes(m, 0, (F.col("edits") == 0) & begins & same), goes(m, 1, (F.col("edits") == 1) & same),
+        goes(m - 1, 1, one(m - 1, below == rest(m - 1))), goes(m, 1, one(m, below == rest(m - 1, 1))), goes(m + 1, 1, one(m + 1, F.col("label") == rest(m, 1))),
     )
     moved = met.select("way", "word", F.explode_outer(tries).alias("s"), "child", *_NEXT).filter("s IS NOT NULL")
-    moved = moved.select("way", "word", "s.at", "s.edits", F.col("child").alias("node"), *_NEXT)
-    moved = moved.withColumn("rest", rest(length))
+    moved = moved.select("way", "word", "s.at", "s.edits", "s.h", F.col("child").alias("node"), *_NEXT)
     over = F.col("at") == length
     # With an edit spent, only the rest as it is may follow; without one, anything that the node has.
-    held = reduce(or_, [F.col(f"mark{k}").bitwiseAND(m) != 0 for k, m in enumerate(_marks(F.col("rest")))])
+    which, bit = _mark(F.col("h"))
+    held = reduce(lambda found, k: found.when(which == k, F.col(f"mark{k}")), range(1, MARKS), F.when(which == 0, F.col("mark0"))).bitwiseAND(bit) != 0
     on = F.when(F.col("edits") == 1, ~over & held).otherwise(F.expr(f"(low & ~{END}) <> 0 OR high <> 0"))
     met = (F.col("edits") == 1) & over & F.expr(f"low & {END} <> 0")
     return moved.filter(on | met).select("way", "word", "at", "node", "edits", met.alias("met"))
