@@ -39,9 +39,7 @@ def document_outcomes(max_pages: int = 1) -> dict[str, Column]:
     }
 
 
-def headings_recognised(sections: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, headings_recognised): something was labelled, and nothing of kind ``other`` was."""
-    labelled = F.col("heading").isNotNull()
-    return sections.groupBy(key).agg(
-        (F.coalesce(F.bool_or(labelled), F.lit(False)) & ~F.coalesce(F.bool_or(labelled & (F.col("kind") == "other")), F.lit(False))).alias("headings_recognised")
-    )
+def headings_recognised(sections: Column) -> Column:
+    """Of a document's sections (array of structs), something was labelled and nothing of kind ``other`` was."""
+    labelled = F.filter(sections, lambda s: s["heading"].isNotNull())
+    return (F.size(labelled) > 0) & ~F.exists(labelled, lambda s: s["kind"] == "other")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,47 +70,93 @@ def bin_histogram(rows: DataFrame, key: list[str] = PAGE, bin_width: float = BIN
     return every.join(counted, [*key, "bin"], "left").select(*key, "n_bins", "bin", F.coalesce("crossings", F.lit(0)).cast("long").alias("crossings"))
 
 
-def sparse_runs(histogram: DataFrame, tolerance: DataFrame, key: list[str] = PAGE) -> DataFrame:
-    """Runs of bins with at most ``tolerance(key, tolerance)`` crossings in the searched middle of a page.
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, the value evaluated once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _in_body(line: Column) -> Column:
+    return ~at_page_edge(line["top"], line["bottom"], line["page_height"]) & (line["text"] != "")
 
-    Columns: key, n_bins, run_start, run_end (exclusive), occupied_left, occupied_right.
+
+def _sparse_runs(ends: Column, n_bins: Column, tolerance: Column) -> Column:
+    """Runs (run_start, run_end, exclusive) of bins with at most ``tolerance`` crossings in the searched middle of a page.
+
+    ``ends`` are the first and last bins (low, high) of lines.  Crossings change there alone, so a page costs
+    its lines, however many bins it has.
     """
-    w = Window.partitionBy(*key).orderBy("bin")
-    rows = histogram.join(tolerance.select(*key, "tolerance"), key)
-    rows = rows.withColumn("before", F.coalesce(F.sum("crossings").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rows = rows.withColumn("total", F.sum("crossings").over(Window.partitionBy(*key)))
-    inside = (F.col("bin") >= (F.col("n_bins") * SEARCH_MARGIN).cast("int")) & (F.col("bin") < (F.col("n_bins") * F.lit(1.0 - SEARCH_MARGIN)).cast("int"))
-    rows = rows.filter(inside).withColumn("island", F.sum((F.col("crossings") > F.col("tolerance")).cast("int")).over(w))
-    rows = rows.filter("crossings <= tolerance")
-    runs = rows.groupBy(*key, "n_bins", "island").agg(
-        F.min("bin").alias("run_start"), (F.max("bin") + 1).alias("run_end"),
-        F.min_by("before", "bin").alias("left_sum"), F.max_by(F.col("total") - F.col("before") - F.col("crossings"), "bin").alias("right_sum"),
-    )
-    return runs.select(*key, "n_bins", "run_start", "run_end", (F.col("left_sum") > 0).alias("occupied_left"), (F.col("right_sum") > 0).alias("occupied_right"))
+    begin, end = (n_bins * SEARCH_MARGIN).cast("int"), (n_bins * F.lit(1.0 - SEARCH_MARGIN)).cast("int")
+    event = lambda bin, change: F.struct(bin.alias("bin"), F.lit(change).alias("change"))
+    # The borders of the searched middle are events too, so that no stretch between events reaches over one.
+    events = F.concat(F.transform(ends, lambda e: event(e["low"], 1)), F.transform(ends, lambda e: event(e["high"] + 1, -1)), F.array(event(begin, 0), event(end, 0)))
+    run = lambda start, stop: F.array(F.struct(start.alias("run_start"), stop.alias("run_end")))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), begin.alias("begin"), end.alias("end"), tolerance.alias("tolerance"), F.slice(run(begin, end), 1, 0).alias("runs"))
+
+    def step(s: Column, e: Column) -> Column:
+        sparse = (e["bin"] > s["at"]) & (s["at"] >= s["begin"]) & (e["bin"] <= s["end"]) & (s["depth"] <= s["tolerance"])
+        before = F.size(s["runs"]) - 1
+        last = F.get(s["runs"], before)
+        longer = F.when(last["run_end"] == s["at"], F.concat(F.slice(s["runs"], F.lit(1), before), run(last["run_start"], e["bin"]))).otherwise(F.concat(s["runs"], run(s["at"], e["bin"])))
+        return F.struct(
+            e["bin"].alias("at"), (s["depth"] + e["change"]).alias("depth"), s["begin"].alias("begin"), s["end"].alias("end"), s["tolerance"].alias("tolerance"), F.when(sparse, longer).otherwise(s["runs"]).alias("runs")
+        )
+
+    return F.aggregate(F.sort_array(events), start, step, lambda s: s["runs"])
+
+
+def _widest_run(body: Column) -> Column:
+    """The middle of the widest run that lines stand on both sides of; null if there is none."""
+
+    def runs(page: Column) -> Column:
+        low = lambda x: F.greatest(F.lit(0), (x["x0"] / BIN_WIDTH).cast("int"))
+        high = lambda x: F.least(page["n_bins"] - 1, (x["x1"] / BIN_WIDTH).cast("int"))
+        # A sequence that would fall is an empty range.
+        ends = F.filter(F.transform(page["body"], lambda x: F.struct(low(x).alias("low"), high(x).alias("high"))), lambda e: e["low"] <= e["high"])
+        return _bound(F.struct(ends.alias("ends"), page["n_bins"].alias("n_bins"), page["tolerance"].alias("tolerance")), widest)
+
+    def widest(page: Column) -> Column:
+        first, last = F.array_min(F.transform(page["ends"], lambda e: e["low"])), F.array_max(F.transform(page["ends"], lambda e: e["high"]))
+        wide = F.greatest(F.lit(1), (page["n_bins"] * MIN_GUTTER_RATIO).cast("int"))
+        found = F.filter(_sparse_runs(page["ends"], page["n_bins"], page["tolerance"]), lambda r: (r["run_end"] - r["run_start"] >= wide) & (first < r["run_start"]) & (last >= r["run_end"]))
+        best = F.array_min(F.transform(found, lambda r: F.struct((r["run_start"] - r["run_end"]).alias("order"), r["run_start"].alias("run_start"), r["run_end"].alias("run_end"))))
+        return _bound(best, lambda r: (r["run_start"] + r["run_end"]) / 2 * BIN_WIDTH)
+
+    n_bins = F.greatest(F.lit(1), (F.get(body, 0)["page_width"] / BIN_WIDTH).cast("int"))
+    return _bound(F.struct(body.alias("body"), n_bins.alias("n_bins"), (F.size(body) * CROSSING_RATIO).cast("int").alias("tolerance")), runs)
+
+
+def _gutter(body: Column) -> Column:
+    """The gutter of a page from the lines of its body (array of structs), null unless it has two columns."""
+
+    def confirmed(page: Column) -> Column:
+        gutter, body = page["gutter"], page["body"]
+        left, right = F.filter(body, lambda x: x["x1"] <= gutter), F.filter(body, lambda x: x["x0"] >= gutter)
+        most = lambda side, c: F.array_max(F.transform(side, lambda x: x[c]))
+        least = lambda side, c: F.array_min(F.transform(side, lambda x: x[c]))
+        extent = lambda side: F.struct(F.size(side).alias("n"), least(side, "top").alias("top"), most(side, "bottom").alias("bottom"))
+        return _bound(F.struct(gutter.alias("gutter"), F.size(body).alias("n_lines"), extent(left).alias("left"), extent(right).alias("right")), two)
+
+    def two(page: Column) -> Column:
+        left, right = page["left"], page["right"]
+        overlap = F.least(left["bottom"], right["bottom"]) - F.greatest(left["top"], right["top"])
+        shorter = F.least(left["bottom"] - left["top"], right["bottom"] - right["top"])
+        wide = F.least(left["n"], right["n"]) >= page["n_lines"] * MIN_SHARE
+        tall = F.when((overlap > 0) & (shorter > 0), overlap / F.nullif(shorter, F.lit(0.0)) >= MIN_OVERLAP).otherwise(False)
+        return F.when(wide & tall, page["gutter"])
+
+    def found(body: Column) -> Column:
+        # Lines on both sides of a gutter: some line begins where another has ended, or the page is not searched.
+        beside = F.array_max(F.transform(body, lambda x: x["x0"])) >= F.array_min(F.transform(body, lambda x: x["x1"]))
+        return F.when((F.size(body) >= MIN_LINES) & beside, _bound(F.struct(_widest_run(body).alias("gutter"), body.alias("body")), confirmed))
+
+    return _bound(body, found)
 
 
 def gutters(placed: DataFrame, key: list[str] = PAGE) -> DataFrame:
     """(key, gutter) for the pages of ``placed`` lines that have two columns."""
-    body = placed.filter(~at_page_edge(F.col("top"), F.col("bottom"), F.col("page_height")) & (F.col("text") != ""))
-    sized = body.groupBy(*key).agg(F.count(F.lit(1)).alias("n_lines")).filter(F.col("n_lines") >= MIN_LINES)
-    body = body.join(sized, key)
-    tolerance = sized.withColumn("tolerance", (F.col("n_lines") * CROSSING_RATIO).cast("int"))
-    runs = sparse_runs(bin_histogram(body, key), tolerance, key).filter("occupied_left AND occupied_right")
-    runs = runs.withColumn("width", F.col("run_end") - F.col("run_start"))
-    runs = runs.filter(F.col("width") >= F.greatest(F.lit(1), (F.col("n_bins") * MIN_GUTTER_RATIO).cast("int")))
-    order = Window.partitionBy(*key).orderBy(F.desc("width"), "run_start")
-    widest = runs.withColumn("k", F.row_number().over(order)).filter("k = 1")
-    found = widest.select(*key, ((F.col("run_start") + F.col("run_end")) / 2 * BIN_WIDTH).alias("gutter"))
-    left, right = F.col("x1") <= F.col("gutter"), F.col("x0") >= F.col("gutter")
-    sides = body.join(found, key).groupBy(*key, "gutter", "n_lines").agg(
-        F.count_if(left).alias("n_left"), F.count_if(right).alias("n_right"),
-        *[f(F.when(side, F.col(c))).alias(f"{name}_{c}") for name, side in (("left", left), ("right", right)) for f, c in ((F.min, "top"), (F.max, "bottom"))],
-    )
-    overlap = F.least("left_bottom", "right_bottom") - F.greatest("left_top", "right_top")
-    shorter = F.least(F.col("left_bottom") - F.col("left_top"), F.col("right_bottom") - F.col("right_top"))
-    wide = F.least("n_left", "n_right") >= F.col("n_lines") * MIN_SHARE
-    tall = F.when((overlap > 0) & (shorter > 0), overlap / F.nullif(shorter, F.lit(0.0)) >= MIN_OVERLAP).otherwise(False)
-    return sides.filter(wide & tall).select(*key, "gutter")
+    line = F.struct("text", "x0", "x1", "top", "bottom", "page_width", "page_height")
+    pages = placed.groupBy(*key).agg(F.collect_list(line).alias("lines"))
+    return pages.select(*key, _gutter(F.filter("lines", _in_body)).alias("gutter")).filter("gutter IS NOT NULL")
 
 
 def row_numbers(items: Column, tolerance: Column) -> Column:
@@ -128,26 +176,31 @@ def row_numbers(items: Column, tolerance: Column) -> Column:
 
 
 def cluster_rows(placed: DataFrame, key: list[str]) -> DataFrame:
-    """Adds ``row`` and the reading order within a column: rows from the top, items from the left."""
+    """Adds ``row``, numbered within a column: rows from the top, items from the left.
+
+    Lines travel whole with their column, so none is looked up again for its row.
+    """
     height = F.when(F.col("bottom") > F.col("top"), F.col("bottom") - F.col("top"))
-    grouped = placed.groupBy(*key).agg(
-        F.sort_array(F.collect_list(F.struct("top", "x0", "line_seq"))).alias("items"), (F.coalesce(F.median(height), F.lit(0.0)) * ROW_TOLERANCE).alias("tolerance")
-    )
+    order = ["top", "x0", "line_seq"]
+    line = F.struct(*order, *[c for c in placed.columns if c not in (*key, *order)])
+    grouped = placed.groupBy(*key).agg(F.sort_array(F.collect_list(line)).alias("items"), (F.coalesce(F.median(height), F.lit(0.0)) * ROW_TOLERANCE).alias("tolerance"))
     rows = grouped.select(*key, F.explode_outer(F.arrays_zip("items", row_numbers(F.col("items"), F.col("tolerance")).alias("row"))).alias("z"))
-    return rows.select(*key, F.col("z.items.line_seq").alias("line_seq"), F.col("z.row").alias("row"))
+    return rows.select(*key, "z.items.*", "z.row")
 
 
 def reading_order(placed: DataFrame) -> DataFrame:
     """All lines of every document with ``line_index``, ``column`` and ``is_column_start``.
 
     Pages follow each other; a page with a gutter is read column by column, every line belonging to the
-    side of its middle.
+    side of its middle.  Each step needs a document's lines together and no more: lines that are dealt by
+    document do not travel again.
     """
-    sided = placed.join(gutters(placed), PAGE, "left")
+    line = F.struct(*[c for c in placed.columns if c not in PAGE])
+    pages = placed.groupBy(*PAGE).agg(F.collect_list(line).alias("lines")).withColumn("gutter", _gutter(F.filter("lines", _in_body)))
+    sided = pages.select(*PAGE, "gutter", F.explode("lines").alias("line")).select(*PAGE, "line.*", "gutter")
     middle = (F.col("x0") + F.col("x1")) / 2
     sided = sided.withColumn("column", F.when(F.col("gutter").isNull() | (middle <= F.col("gutter")), 0).otherwise(1))
-    rows = cluster_rows(sided, [*PAGE, "column"])
-    sided = sided.join(rows, [*PAGE, "column", "line_seq"])
+    sided = cluster_rows(sided, [*PAGE, "column"])
     order = Window.partitionBy("doc_id").orderBy("page_number", "column", "row", "x0", "top", "line_seq")
     sided = sided.withColumn("line_index", F.row_number().over(order) - 1)
     page, column = Window.partitionBy(*PAGE), Window.partitionBy(*PAGE, "column")
@@ -167,8 +220,11 @@ def font_families(styled: DataFrame, key: str = "doc_id") -> DataFrame:
     return styled.filter("font <> ''").groupBy(key).agg(F.sort_array(F.collect_set(font_family("font"))).alias("font_families"))
 
 
-def document_statistics(ordered: DataFrame, pages: DataFrame, styled: DataFrame) -> DataFrame:
-    """One row per document of ``pages``: counts, columns, furniture, fonts and the median font size."""
+def document_statistics(ordered: DataFrame, placed: DataFrame, pages: DataFrame, styled: DataFrame) -> DataFrame:
+    """One row per document of ``pages``: counts, columns, furniture, fonts and the median font size.
+
+    ``ordered`` are the ``placed`` lines in reading order, ``styled`` their spans.
+    """
     per_page = pages.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("page_count"), F.sum("character_count").alias("character_count"), F.sum("image_count").alias("image_count"), F.sum("table_count").alias("table_count")
     )
@@ -176,7 +232,7 @@ def document_statistics(ordered: DataFrame, pages: DataFrame, styled: DataFrame)
         F.sum("word_count").alias("word_count"), (F.max("column") + 1).alias("two"), F.max(F.col("gutter").isNotNull().cast("int") + 1).alias("column_count"),
         F.median(F.when(F.col("text") != "", F.col("max_font_size"))).alias("median_font_size"),
     )
-    out = per_page.join(per_line.drop("two"), "doc_id", "left").join(running_furniture(ordered), "doc_id", "left").join(font_families(styled), "doc_id", "left")
+    out = per_page.join(per_line.drop("two"), "doc_id", "left").join(running_furniture(placed), "doc_id", "left").join(font_families(styled), "doc_id", "left")
     return out.fillna({"word_count": 0, "column_count": 1, "median_font_size": 0.0, "text_in_header_footer": False}).withColumn(
         "font_families", F.coalesce("font_families", F.array().cast("array<string>"))
     )

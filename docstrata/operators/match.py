@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docstrata.functions.storage import stored
 from docstrata.functions.text import tokens
 
 MIN_FUZZY_LENGTH = 6
@@ -164,13 +165,16 @@ def extract_skills(section_texts: DataFrame, surfaces: DataFrame, longest: int,
     in the first section that has it.  Columns: doc, skill_id, name, category, evidence, found_in
     (sorted), confidence, skill_ord (demonstrated first, then category and name).
     """
-    exact = exact_matches(section_texts, surfaces, [doc, "kind"], longest, F.col("kind") == "skills").select(doc, "kind", "skill_id").distinct()
-    placed = section_texts.select(doc, "section_ord", "kind", F.posexplode_outer(tokens(F.lower("text"))).alias("pos", "token")).filter(F.length("token") >= MIN_FUZZY_LENGTH)
-    near = placed.join(fuzzy_best(placed.select("token").distinct(), surfaces), "token")
-    first = near.groupBy(doc, "skill_id").agg(F.min(F.struct("section_ord", "pos", "kind")).alias("at"))
-    added = first.join(exact.select(doc, "skill_id").distinct(), [doc, "skill_id"], "left_anti").select(doc, F.col("at.kind").alias("kind"), "skill_id")
-    found = exact.withColumn("confidence", F.lit(EXACT_CONFIDENCE)).unionByName(added.withColumn("confidence", F.lit(FUZZY_CONFIDENCE)))
-    skills = found.groupBy(doc, "skill_id").agg(F.sort_array(F.collect_set("kind")).alias("found_in"), F.max("confidence").alias("confidence"))
+    exact = exact_matches(section_texts, surfaces, [doc, "kind"], longest, F.col("kind") == "skills").select(doc, "skill_id", "kind", F.lit(None).cast("struct<section_ord:int,pos:int,kind:string>").alias("at"))
+    placed = section_texts.select(doc, F.col("section_ord").cast("int").alias("section_ord"), "kind", F.posexplode_outer(tokens(F.lower("text"))).alias("pos", "token")).filter(F.length("token") >= MIN_FUZZY_LENGTH)
+    # Written, so that its size is known: a short list goes to the tokens, which then stay where they are.
+    best = stored(fuzzy_best(placed.select("token").distinct(), surfaces).select("token", "skill_id"), "misspelt")
+    near = placed.join(best, "token").select(doc, "skill_id", F.lit(None).cast("string").alias("kind"), F.struct("section_ord", "pos", "kind").alias("at"))
+    found = exact.unionByName(near).groupBy(doc, "skill_id").agg(F.sort_array(F.collect_set("kind")).alias("kinds"), F.min("at").alias("at"))
+    spelt = F.size("kinds") > 0
+    skills = found.select(
+        doc, "skill_id", F.when(spelt, F.col("kinds")).otherwise(F.array("at.kind")).alias("found_in"), F.when(spelt, EXACT_CONFIDENCE).otherwise(FUZZY_CONFIDENCE).alias("confidence")
+    )
     shown = F.arrays_overlap("found_in", F.array(*[F.lit(k) for k in DEMONSTRATING]))
     named = surfaces.groupBy("skill_id").agg(F.first("name").alias("name"), F.first("category").alias("category"))
     skills = skills.join(named, "skill_id").withColumn("evidence", F.when(shown, "demonstrated").otherwise("claimed"))

@@ -30,8 +30,8 @@ def with_measures(lines: DataFrame) -> DataFrame:
 def find_headings(lines: DataFrame, aliases: DataFrame) -> DataFrame:
     """``lines`` with ``heading_kind``: a known alias's kind, ``other`` by typography, else null."""
     known = aliases.select(F.col("alias").alias("norm"), F.col("kind").alias("known"))
-    rows = with_measures(lines).withColumn("norm", heading_norm("text")).join(known, "norm", "left")
     candidate = F.col("words").between(1, MAX_HEADING_WORDS)
+    rows = with_measures(lines).withColumn("norm", F.when(candidate, heading_norm("text"))).join(known, "norm", "left")
     typographic = looks_like_heading(F.col("text"), F.col("max_font_size"), F.col("is_bold"), F.col("upper"), F.col("median"))
     kind = F.when(candidate, F.coalesce("known", F.when(typographic, F.lit("other"))))
     return rows.withColumn("heading_kind", kind).drop("norm", "known")
@@ -67,6 +67,11 @@ def sections(lines: DataFrame, aliases: DataFrame) -> DataFrame:
     kind that returns the first place and heading stay and the words add up; ``other`` never merges.  A
     start without a body has page 1 and lines 0 to 0.
     """
+    return sections_with_bodies(lines, aliases).drop("body")
+
+
+def sections_with_bodies(lines: DataFrame, aliases: DataFrame) -> DataFrame:
+    """``sections`` with ``body``, the text of lines ``line_start`` to ``line_end``; null without words."""
     rows = _owned(lines, aliases)
     own_heading = F.coalesce(F.col("is_heading") & (F.col("line_index") == F.col("start")), F.lit(False))
     body = ~own_heading
@@ -87,15 +92,21 @@ def sections(lines: DataFrame, aliases: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(body, F.col("words"))), F.lit(0)).alias("word_count"),
         # Padded up to the text beyond, so that it counts as longer than an excerpt.
         excerpt(F.when(beyond == "", shown).otherwise(F.concat(F.rpad(shown, MAX_EXCERPT, " "), beyond)), MAX_EXCERPT).alias("excerpt"),
+        (F.count_if(body) == 0).alias("bare"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(body, F.struct("line_index", "text")))), lambda t: t["text"]), " ").alias("body"),
+        F.max(F.when(F.col("line_index") == 0, F.col("text"))).alias("opening"),
     )
     place = F.coalesce("start", F.lit(-1))
     merge_key = F.when(F.col("kind") == "other", F.concat(F.lit("other:"), place.cast("string"))).otherwise(F.col("kind"))
     one = built.groupBy("doc_id", "kind", merge_key.alias("m")).agg(
-        F.min(F.struct(place.alias("place"), "heading", "page", "line_start", "line_end", "excerpt")).alias("f"), F.sum("word_count").alias("word_count")
-    )
-    order = Window.partitionBy("doc_id").orderBy("f.place")
+        F.min(F.struct(place.alias("place"), "heading", "page", "line_start", "line_end", "excerpt")).alias("f"), F.sum("word_count").alias("word_count"),
+        F.min(F.struct(place.alias("place"), "bare", "body")).alias("b"), F.max("opening").alias("opening"),
+    )
+    doc = Window.partitionBy("doc_id")
+    # Lines 0 to 0 of a start without a body are the document's first line.
+    text = F.when(F.col("word_count") > 0, F.when(F.col("b.bare"), F.max("opening").over(doc)).otherwise(F.col("b.body")))
     return one.select(
-        "doc_id", (F.row_number().over(order) - 1).alias("section_ord"), "kind", "f.heading", "f.page", "f.line_start", "f.line_end", "f.excerpt", "word_count"
+        "doc_id", (F.row_number().over(doc.orderBy("f.place")) - 1).alias("section_ord"), "kind", "f.heading", "f.page", "f.line_start", "f.line_end", "f.excerpt", "word_count", text.alias("body")
     )
 
 
@@ -110,11 +121,12 @@ def missing_sections(found: DataFrame, docs: DataFrame, expected: DataFrame) ->
     return every.join(found.select("doc_id", "kind").distinct(), ["doc_id", "kind"], "left_anti").select("doc_id", "ord", "kind")
 
 
-def section_texts(lines: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc_id, section_ord, kind, text): the lines of each section's place, joined; one row per kind."""
-    spans = found.filter("word_count > 0").select("doc_id", "section_ord", "kind", F.explode(F.sequence("line_start", "line_end")).alias("line_index"))
-    rows = spans.join(lines.select("doc_id", "line_index", stripped("text").alias("text")), ["doc_id", "line_index"])
-    bodies = rows.groupBy("doc_id", "kind", "section_ord").agg(F.sort_array(F.collect_list(F.struct("line_index", "text"))).alias("t"))
-    bodies = bodies.select("doc_id", "kind", "section_ord", F.array_join(F.transform("t", lambda t: t["text"]), " ").alias("body")).filter("body <> ''")
-    whole = bodies.groupBy("doc_id", "kind").agg(F.min("section_ord").alias("section_ord"), F.sort_array(F.collect_list(F.struct("section_ord", "body"))).alias("b"))
-    return whole.select("doc_id", "section_ord", "kind", stripped(F.array_join(F.transform("b", lambda b: b["body"]), " ")).alias("text"))
+def joined_bodies(parts: Column) -> Column:
+    """The text of a kind from its sections (array of structs with body, in order); empty where none has text."""
+    return stripped(F.array_join(F.filter(F.transform(parts, lambda p: p["body"]), lambda b: b != ""), " "))
+
+
+def section_texts(found: DataFrame) -> DataFrame:
+    """``sections_with_bodies`` to (doc_id, section_ord, kind, text): one row per kind that has text."""
+    whole = found.filter("body <> ''").groupBy("doc_id", "kind").agg(F.min("section_ord").alias("section_ord"), F.sort_array(F.collect_list(F.struct("section_ord", "body"))).alias("b"))
+    return whole.select("doc_id", "section_ord", "kind", joined_bodies(F.col("b")).alias("text"))

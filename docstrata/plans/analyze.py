@@ -36,6 +36,38 @@ def _gathered(rows: DataFrame, key: str, order: str, name: str, fields: list[str
     return rows.groupBy(key).agg(F.transform(packed, lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias(name))
 
 
+#: What is read of a span, and what a result tells of a section.
+SPAN = ["page_number", "line_seq", "span_seq", "text", "size", "bold", "font", "page_width", "page_height", "line_x0", "line_top", "line_x1", "line_bottom"]
+SECTION = ["kind", "heading", "page", "line_start", "line_end", "excerpt", "word_count"]
+
+
+def _dealt(styled: DataFrame) -> DataFrame:
+    """Spans dealt by document, as every later step needs them.
+
+    They travel packed: steps that read different columns of them share one shuffle.
+    """
+    return styled.groupBy("doc_id").agg(F.collect_list(F.struct(*SPAN)).alias("spans")).select("doc_id", F.inline("spans"))
+
+
+def _documents(raw_spans: DataFrame, raw_pages: DataFrame, d: Dimensions) -> DataFrame:
+    """One row per document of ``raw_pages``: statistics, ``sections`` in order and ``texts``, one per kind.
+
+    Texts are shuffled once, with their spans; all else is done where the document lies.
+    """
+    styled = _dealt(layout.spans(raw_spans))
+    placed = layout.lines(styled)
+    ordered = layout.reading_order(placed)
+    stats = layout.document_statistics(ordered, placed, raw_pages, styled)
+    found = segment.sections_with_bodies(ordered, d.aliases)
+    kinds = found.groupBy("doc_id", "kind").agg(F.sort_array(F.collect_list(F.struct("section_ord", *SECTION, "body"))).alias("parts"))
+    told = F.transform("parts", lambda p: F.struct(*[p[f].alias(f) for f in ["section_ord", *SECTION]]))
+    written = F.filter("parts", lambda p: p["body"] != "")
+    text = F.struct(F.get(written, 0)["section_ord"].alias("section_ord"), "kind", segment.joined_bodies(written).alias("text"))
+    gathered = kinds.groupBy("doc_id").agg(F.sort_array(F.flatten(F.collect_list(told))).alias("told"), F.collect_list(F.when(F.size(written) > 0, text)).alias("texts"))
+    sections = F.transform("told", lambda x: F.struct(*[x[f].alias(f) for f in SECTION]))
+    return stats.join(gathered.select("doc_id", sections.alias("sections"), "texts"), "doc_id", "left")
+
+
 def job_requirements(job_descriptions: DataFrame, d: Dimensions) -> DataFrame:
     """``job_descriptions(doc_id, jd_id, text)`` to the skills that each asks for."""
     return match.mention_counts(job_descriptions, d.surfaces, ["doc_id", "jd_id"], d.longest)
@@ -46,21 +78,17 @@ def analyze(raw_spans: DataFrame, raw_pages: DataFrame, d: Dimensions, job_descr
 
     ``job_descriptions(doc_id, jd_id, text)`` pairs at most one description with a document.
     """
-    styled = layout.spans(raw_spans)
-    ordered = stored(layout.reading_order(layout.lines(styled)), "lines")
-    stats = stored(layout.document_statistics(ordered, raw_pages, styled), "statistics")
-    found = stored(segment.sections(ordered, d.aliases), "sections")
-    texts = stored(segment.section_texts(ordered, found), "texts")
-    missing = stored(segment.missing_sections(found, raw_pages.select("doc_id"), d.expected), "missing")
-    skills = stored(match.extract_skills(texts, d.surfaces, d.longest), "skills")
-    facts = stats.join(ats.headings_recognised(found), "doc_id", "left").fillna({"headings_recognised": False})
+    documents = stored(_documents(raw_spans, raw_pages, d), "documents")
+    found = documents.select("doc_id", F.inline("sections"))
+    missing = stored(segment.missing_sections(found, documents, d.expected), "missing")
+    skills = stored(match.extract_skills(documents.select("doc_id", F.inline("texts")), d.surfaces, d.longest), "skills")
+    facts = documents.withColumn("headings_recognised", F.coalesce(ats.headings_recognised(F.col("sections")), F.lit(False)))
     judged = stored(ats.checks(facts, ats.document_outcomes(), d.rubric), "checks")
     scored = ats.score(judged)
     owned = skills.withColumn("tenths", fit.evidence_tenths())
     roles = fit.top_profiles(owned, d.roles)
     tips = advise.advise(judged, d.rubric, missing, d.section_advice, skills)
-    out = stats.join(_gathered(found, "doc_id", "section_ord", "sections", ["kind", "heading", "page", "line_start", "line_end", "excerpt", "word_count"]), "doc_id", "left")
-    out = out.join(_gathered(missing, "doc_id", "ord", "missing", ["kind"]), "doc_id", "left")
+    out = documents.drop("texts").join(_gathered(missing, "doc_id", "ord", "missing", ["kind"]), "doc_id", "left")
     out = out.join(_gathered(skills, "doc_id", "skill_ord", "skills", ["name", "skill_id", "category", "evidence", "found_in", "confidence"]), "doc_id", "left")
     out = out.join(_gathered(judged, "doc_id", "check_ord", "checks", ["check_id", "label", "passed", "weight", "severity", "explanation"]), "doc_id", "left")
     out = out.join(scored, "doc_id", "left").join(_gathered(roles, "doc_id", "rank", "predictions", ["role", "confidence"]), "doc_id", "left")
