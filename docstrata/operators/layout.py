@@ -220,19 +220,28 @@ def font_families(styled: DataFrame, key: str = "doc_id") -> DataFrame:
     return styled.filter("font <> ''").groupBy(key).agg(F.sort_array(F.collect_set(font_family("font"))).alias("font_families"))
 
 
-def document_statistics(ordered: DataFrame, placed: DataFrame, pages: DataFrame, styled: DataFrame) -> DataFrame:
-    """One row per document of ``pages``: counts, columns, furniture, fonts and the median font size.
+#: Statistics that ``with_line_statistics`` adds, and their values for a document without lines.
+LINE_STATISTICS = {"words_total": 0, "column_count": 1, "median_font_size": 0.0}
 
-    ``ordered`` are the ``placed`` lines in reading order, ``styled`` their spans.
-    """
+
+def with_line_statistics(ordered: DataFrame) -> DataFrame:
+    """Lines with what they tell of their document together: words, columns and the median font size."""
+    doc = Window.partitionBy("doc_id")
+    return ordered.withColumns({
+        "words_total": F.sum("word_count").over(doc), "column_count": F.max(F.col("gutter").isNotNull().cast("int") + 1).over(doc),
+        "median_font_size": F.median(F.when(F.col("text") != "", F.col("max_font_size"))).over(doc),
+    })
+
+
+def edge_lines(styled: DataFrame) -> DataFrame:
+    """The lines in headers and footers; spans elsewhere are left out before lines are put together."""
+    return lines(styled.filter(at_page_edge(F.col("line_top"), F.col("line_bottom"), F.col("page_height"))))
+
+
+def page_statistics(pages: DataFrame, styled: DataFrame) -> DataFrame:
+    """One row per document of ``pages``: counts, furniture and fonts."""
     per_page = pages.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("page_count"), F.sum("character_count").alias("character_count"), F.sum("image_count").alias("image_count"), F.sum("table_count").alias("table_count")
     )
-    per_line = ordered.groupBy("doc_id").agg(
-        F.sum("word_count").alias("word_count"), (F.max("column") + 1).alias("two"), F.max(F.col("gutter").isNotNull().cast("int") + 1).alias("column_count"),
-        F.median(F.when(F.col("text") != "", F.col("max_font_size"))).alias("median_font_size"),
-    )
-    out = per_page.join(per_line.drop("two"), "doc_id", "left").join(running_furniture(placed), "doc_id", "left").join(font_families(styled), "doc_id", "left")
-    return out.fillna({"word_count": 0, "column_count": 1, "median_font_size": 0.0, "text_in_header_footer": False}).withColumn(
-        "font_families", F.coalesce("font_families", F.array().cast("array<string>"))
-    )
+    out = per_page.join(running_furniture(edge_lines(styled)), "doc_id", "left").join(font_families(styled), "doc_id", "left")
+    return out.fillna({"text_in_header_footer": False}).withColumn("font_families", F.coalesce("font_families", F.array().cast("array<string>")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +24,12 @@ def looks_like_heading(text: Column, size: Column, bold: Column, upper: Column,
 
 
 def with_measures(lines: DataFrame) -> DataFrame:
-    """``lines`` (schema LINES) with words, capitals and the document's median font size."""
-    lines = lines.withColumn("text", stripped("text")).withColumn("words", word_count("text")).withColumn("upper", is_upper_case("text"))
+    """``lines`` (schema LINES) with words, capitals and the document's median font size.
+
+    Words and capitals that ``layout.lines`` has found are taken.
+    """
+    measured = "word_count" in lines.columns and "is_upper_case" in lines.columns
+    lines = lines.withColumn("text", stripped("text")).withColumn("words", F.col("word_count") if measured else word_count("text")).withColumn("upper", F.col("is_upper_case") if measured else is_upper_case("text"))
     return lines.withColumn("median", F.coalesce(F.median(F.when(F.col("text") != "", F.col("max_font_size"))).over(Window.partitionBy("doc_id")), F.lit(0.0)))
 
 
@@ -70,8 +76,12 @@ def sections(lines: DataFrame, aliases: DataFrame) -> DataFrame:
     return sections_with_bodies(lines, aliases).drop("body")
 
 
-def sections_with_bodies(lines: DataFrame, aliases: DataFrame) -> DataFrame:
-    """``sections`` with ``body``, the text of lines ``line_start`` to ``line_end``; null without words."""
+def sections_with_bodies(lines: DataFrame, aliases: DataFrame, facts: Sequence[str] = ()) -> DataFrame:
+    """``sections`` with ``body``, the text of lines ``line_start`` to ``line_end``; null without words.
+
+    ``facts`` are columns that all lines of a document share; its sections keep them.
+    """
+    kept = [F.first(c).alias(c) for c in facts]
     rows = _owned(lines, aliases)
     own_heading = F.coalesce(F.col("is_heading") & (F.col("line_index") == F.col("start")), F.lit(False))
     body = ~own_heading
@@ -95,18 +105,19 @@ def sections_with_bodies(lines: DataFrame, aliases: DataFrame) -> DataFrame:
         (F.count_if(body) == 0).alias("bare"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.when(body, F.struct("line_index", "text")))), lambda t: t["text"]), " ").alias("body"),
         F.max(F.when(F.col("line_index") == 0, F.col("text"))).alias("opening"),
+        *kept,
     )
     place = F.coalesce("start", F.lit(-1))
     merge_key = F.when(F.col("kind") == "other", F.concat(F.lit("other:"), place.cast("string"))).otherwise(F.col("kind"))
     one = built.groupBy("doc_id", "kind", merge_key.alias("m")).agg(
         F.min(F.struct(place.alias("place"), "heading", "page", "line_start", "line_end", "excerpt")).alias("f"), F.sum("word_count").alias("word_count"),
-        F.min(F.struct(place.alias("place"), "bare", "body")).alias("b"), F.max("opening").alias("opening"),
+        F.min(F.struct(place.alias("place"), "bare", "body")).alias("b"), F.max("opening").alias("opening"), *kept,
     )
     doc = Window.partitionBy("doc_id")
     # Lines 0 to 0 of a start without a body are the document's first line.
     text = F.when(F.col("word_count") > 0, F.when(F.col("b.bare"), F.max("opening").over(doc)).otherwise(F.col("b.body")))
     return one.select(
-        "doc_id", (F.row_number().over(doc.orderBy("f.place")) - 1).alias("section_ord"), "kind", "f.heading", "f.page", "f.line_start", "f.line_end", "f.excerpt", "word_count", text.alias("body")
+        "doc_id", (F.row_number().over(doc.orderBy("f.place")) - 1).alias("section_ord"), "kind", "f.heading", "f.page", "f.line_start", "f.line_end", "f.excerpt", "word_count", text.alias("body"), *facts
     )
 
 

@@ -55,17 +55,19 @@ def _documents(raw_spans: DataFrame, raw_pages: DataFrame, d: Dimensions) -> Dat
     Texts are shuffled once, with their spans; all else is done where the document lies.
     """
     styled = _dealt(layout.spans(raw_spans))
-    placed = layout.lines(styled)
-    ordered = layout.reading_order(placed)
-    stats = layout.document_statistics(ordered, placed, raw_pages, styled)
-    found = segment.sections_with_bodies(ordered, d.aliases)
-    kinds = found.groupBy("doc_id", "kind").agg(F.sort_array(F.collect_list(F.struct("section_ord", *SECTION, "body"))).alias("parts"))
+    ordered = layout.with_line_statistics(layout.reading_order(layout.lines(styled)))
+    # Statistics go along with the sections: lines are put in order once.
+    found = segment.sections_with_bodies(ordered, d.aliases, list(layout.LINE_STATISTICS))
+    kept = [F.first(c).alias(c) for c in layout.LINE_STATISTICS]
+    kinds = found.groupBy("doc_id", "kind").agg(F.sort_array(F.collect_list(F.struct("section_ord", *SECTION, "body"))).alias("parts"), *kept)
     told = F.transform("parts", lambda p: F.struct(*[p[f].alias(f) for f in ["section_ord", *SECTION]]))
     written = F.filter("parts", lambda p: p["body"] != "")
     text = F.struct(F.get(written, 0)["section_ord"].alias("section_ord"), "kind", segment.joined_bodies(written).alias("text"))
-    gathered = kinds.groupBy("doc_id").agg(F.sort_array(F.flatten(F.collect_list(told))).alias("told"), F.collect_list(F.when(F.size(written) > 0, text)).alias("texts"))
+    gathered = kinds.groupBy("doc_id").agg(F.sort_array(F.flatten(F.collect_list(told))).alias("told"), F.collect_list(F.when(F.size(written) > 0, text)).alias("texts"), *kept)
     sections = F.transform("told", lambda x: F.struct(*[x[f].alias(f) for f in SECTION]))
-    return stats.join(gathered.select("doc_id", sections.alias("sections"), "texts"), "doc_id", "left")
+    told_of_lines = gathered.select("doc_id", sections.alias("sections"), "texts", *layout.LINE_STATISTICS)
+    out = layout.page_statistics(raw_pages, styled).join(told_of_lines, "doc_id", "left").fillna(layout.LINE_STATISTICS)
+    return out.withColumnRenamed("words_total", "word_count")
 
 
 def job_requirements(job_descriptions: DataFrame, d: Dimensions) -> DataFrame:
